@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.catalog import table
-from graphloom.llm import leakage, lexicon, splitting
+from graphloom.llm import leakage, lexicon, personal, secrets, splitting
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,23 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_pieces, p6_found, p8_ids, p9_found, p9_phrases, p9_proximity, p9_report)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "evidence"), table(spark, sf_dir, "patch_changes"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf_dir, "evidence"), table(spark, sf_dir, "patch_changes"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(table(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.mentions(table(spark, sf_dir, "documents")).select("doc_id", F.size("found").alias("n_mentions"), "redacted")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p10_found, p10_redacted, p6_pieces, p6_found, p8_ids, p9_found, p9_phrases, p9_proximity, p9_report)}
 
 _GRAMS = r"""
 iw AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}_]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
