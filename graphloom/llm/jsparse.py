@@ -11,7 +11,7 @@ import re
 _ID_START = r"[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\}"
 _ID = rf"(?:{_ID_START})(?:[\w$‌‍]|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})*"
 _ESC = r"\\(?:u\{[0-9a-fA-F]{1,6}\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|\r\n|[^ux])"
-_NUMBER = r"0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:0|[1-9]\d*(?:_\d+)*)n|(?:(?:0|[1-9](?:_?\d)*)?\.\d(?:_?\d)*|(?:0|[1-9](?:_?\d)*)\.?|0\d+(?:\.\d*)?)(?:[eE][+-]?\d(?:_?\d)*)?"
+_NUMBER = r"0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?|(?:0|[1-9]\d*(?:_\d+)*)n|(?:0\d+(?:\.\d*)?|(?:0|[1-9](?:_?\d)*)?\.\d(?:_?\d)*|(?:0|[1-9](?:_?\d)*)\.?(?:\d(?:_?\d)*)?)(?:[eE][+-]?\d(?:_?\d)*)?"
 _PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
 _TOKEN = re.compile(
     rf"(?P<id>{_ID})|(?P<priv>#(?:{_ID}))|(?P<num>{_NUMBER})|(?P<str>'(?:[^'\\\r\n]|{_ESC})*'|\"(?:[^\"\\\r\n]|{_ESC})*\")|(?P<tpl>`)|(?P<p>{_PUNCT})", re.S
