@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.catalog import table
-from graphloom.llm import leakage, lexicon, personal, secrets, splitting
+from graphloom.llm import docpairs, leakage, lexicon, origin, personal, secrets, splitting, syntax
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,3 +77,47 @@ ORACLE = {
     "p9_report": f"""WITH {_GRAMS} SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(max(n) AS BIGINT) AS longest, count(*) AS n_passages
         FROM runs GROUP BY item_id""",
 }
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_files")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(_files(spark, sf_dir)).select("repository_id", "path", "qualified_name")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(_files(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(_files(spark, sf_dir)).select("file_id")
+
+
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(_files(spark, sf_dir))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return syntax.rates(files, syntax.invalid_files(files))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.reasons(_files(spark, sf_dir), table(spark, sf_dir, "third_party_files")).where("size(reasons) > 0").select("file_id")
+
+
+def p7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = origin.reasons(_files(spark, sf_dir), table(spark, sf_dir, "third_party_files"))
+    return got.select("file_id", "repository_id", "lang", F.array_join("reasons", "+").alias("reasons"))
+
+
+def p7_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = p7_reasons(spark, sf_dir)
+    return r.groupBy("repository_id").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.when(F.col("reasons") == "", 1).otherwise(0)).alias("n_handwritten")
+    )
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p4_rates, p7_found, p7_reasons, p7_repositories)}
