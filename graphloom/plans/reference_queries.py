@@ -901,3 +901,103 @@ def recovery_rate(spark, d):
     """A ratio that is 1 where nothing was tried."""
     g = table(spark, d, "source_files").groupBy("repository_id").agg(F.count_if("has_syntax_errors").alias("a"), F.count("has_syntax_errors").alias("b"))
     return g.select("repository_id", F.round(F.coalesce(F.try_divide(F.col("a").cast("double"), F.col("b").cast("double")), F.lit(1.0)), 6).alias("rate"))
+
+
+# -- parsing, resolution and embedding (U1-U11, J3, J4, E1-E3) --------------------------------------------------------
+def _parsed(spark, d):
+    from graphloom.sources import parsing
+
+    return materialize(parsing.parsed(table(spark, d, "source_files")), "parsed")
+
+
+@query()
+def parsed_entities(spark, d):
+    r = _parsed(spark, d).where("kind in ('class', 'function', 'method')")
+    return r.select("repository_id", "path", "kind", "class_name", "name", "is_async", "returns", F.size("params").alias("n_params"), "start_line", "end_line")
+
+
+@query()
+def parsed_imports(spark, d):
+    return _parsed(spark, d).where("kind = 'import'").select("repository_id", "path", F.col("expr").alias("module"), "name", "alias", "level", "start_line")
+
+
+@query()
+def parse_errors(spark, d):
+    return _parsed(spark, d).where("kind = 'error'").select("repository_id", "path", "expr")
+
+
+@query()
+def resolved_calls(spark, d):
+    from graphloom.sources import parsing
+
+    return parsing.resolve_calls(_parsed(spark, d))
+
+
+@query()
+def resolved_bases(spark, d):
+    from graphloom.sources import parsing
+
+    return parsing.resolve_bases(_parsed(spark, d))
+
+
+@query()
+def code_chunks(spark, d):
+    from graphloom.sources import parsing
+
+    return parsing.chunks(_parsed(spark, d), table(spark, d, "source_files").where("path like '%.py'"))
+
+
+@query()
+def document_embeddings(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", X.embedding_tokens(F.col("text")).alias("tokens"))
+    return R.embed(t, "doc_id", "tokens", 64)
+
+
+@query()
+def hybrid_retrieval(spark, d):
+    """Items against evidence by embedding, and against the graph by seeds and one hop, fused by reciprocal rank."""
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), X.embedding_tokens(F.col("item_text")).alias("tokens"))
+    ev = table(spark, d, "evidence").where("source_code is not null and qualified_name is not null")
+    code = F.concat_ws("\n ", "qualified_name", "source_code")
+    vecs = R.embed(ev.select("evidence_id", X.embedding_tokens(code).alias("tokens")), "evidence_id", "tokens", 64)
+    top = R.cosine_topk(R.embed(items, "qid", "tokens", 64).select("qid", F.col("embedding").alias("qvec")), vecs.select(F.col("evidence_id").alias("vid"), F.col("embedding").alias("vec")), 10)
+    v = top.join(ev.select(F.col("evidence_id").alias("vid"), F.concat_ws("|", "repository_id", "entity_id").alias("entity")), "vid").select("qid", "entity", "rank")
+    g = graph_ranking(spark, d).where("rank <= 10").select("qid", F.concat_ws("|", "repository_id", "id").alias("entity"), "rank")
+    return R.rrf(("vector", v), ("graph", g)).where("rank <= 10").select("qid", "entity", "score", "sources", big("rank"))
+
+
+# -- streams (§2.10) --------------------------------------------------------------------------------------------------
+def _stream(spark, d):
+    from graphloom.streaming import events
+
+    return events, events.event_stream(spark, d)
+
+
+@query()
+def stream_windows(spark, d):
+    ev, s = _stream(spark, d)
+    return ev.run_to_table(ev.windows(s))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    ev, s = _stream(spark, d)
+    return ev.run_to_table(ev.without_duplicates(s)).select("event_id", "user_id", "event_type")
+
+
+@query()
+def stream_sessions(spark, d):
+    ev, s = _stream(spark, d)
+    return ev.run_to_table(ev.sessions(s))
+
+
+@query()
+def stream_job_states(spark, d):
+    ev, s = _stream(spark, d)
+    return ev.run_to_table(ev.job_states(s))
+
+
+@query("SELECT user_id, max_by(event_id, ts) AS event_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1")
+def stream_upsert(spark, d):
+    ev, s = _stream(spark, d)
+    return ev.upsert_latest(s).select("user_id", "event_id", "event_type")
