@@ -47,6 +47,7 @@ def lex(lang: str, data: bytes) -> Lexed:
 
 
 # -- Python ---------------------------------------------------------------------------------------------------------
+_NUMBER = re.compile(tokenize.Number)
 _SOFT = ("match", "case", "type", "_")
 _HEADS = frozenset("if elif else while for try except finally with def class async @".split())
 
@@ -95,7 +96,7 @@ def _python_class(kind: int, text: str) -> str:
     if kind == tokenize.NAME:
         return text if keyword.iskeyword(text) else "NAME"
     if kind == tokenize.NUMBER:
-        return "NUM"
+        return "NUM" if _NUMBER.fullmatch(text) else "ERR"
     if kind == tokenize.STRING:
         return "STR"
     if kind == tokenize.FSTRING_START:
@@ -490,10 +491,15 @@ def file_error(lang: str, path: str, data: bytes) -> str | None:
     return json_error(data) if lang == "json" else toml_error(data)
 
 
-def shape_error(lang: str, shape: str) -> str | None:
-    """The grammar's productions tried on one statement shape; JavaScript in the reading that is given before a tab."""
+def shape_modes(lang: str, shape: str) -> int:
+    """In which readings a statement of this shape stands: 1 (in JavaScript, a module) and 2 (a function); 0 is none."""
     if lang == "python":
-        return python_shape_error(shape)
+        return 3 * (python_shape_error(shape) is None)
     if lang == "js":
-        return js_error(shape, ("module", "function"))
-    return toml_error(shape) if lang == "toml" else None
+        return (jsparse.js_error(shape, "module") is None) + 2 * (jsparse.js_error(shape, "function") is None)
+    return 3 * (toml_error(shape) is None) if lang == "toml" else 3
+
+
+def file_modes(path: str) -> int:
+    """The readings open to a file of this name, as in ``shape_modes``."""
+    return {"mjs": 1, "cjs": 2}.get(path.rpartition(".")[2].lower(), 3)

@@ -225,7 +225,8 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
             if len(c) > CACHE:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c.clear()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
     src = texts.select(F.col(text).alias("text")).where("text is not null and text <> ''")
     return src.mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -262,6 +263,8 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = None
         for pdf in batches:
+            if not len(pdf):
+                continue
             enc = enc or _encoder(vocabulary, name, source or shared.value)
             ids = enc.encode_batch([None if t is None or t is pd.NA else t for t in pdf["text"]])
             yield pd.DataFrame({"key": pdf["key"], "ids": ids})

@@ -30,7 +30,7 @@ from graphloom.llm import grammar, lexers
 
 LANGUAGES = ("python", "js", "json", "toml")
 _WIDE = 1024
-LEXED = "file_id bigint, lang string, tokens array<int>, at array<int>, mark array<int>, shapes array<string>, skeleton string, error string, context string"
+LEXED = "file_id bigint, lang string, modes int, tokens array<int>, at array<int>, mark array<int>, shapes array<string>, skeleton string, error string, context string"
 
 
 def _codes(lang: str) -> dict[str, int]:
@@ -56,14 +56,14 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     codes = {lang: _codes(lang) for lang in LANGUAGES}
     for pdf in batches:
         out = []
-        for i, lang, content in zip(pdf["file_id"], pdf["lang"], pdf["content"]):
+        for i, lang, path, content in zip(pdf["file_id"], pdf["lang"], pdf["path"], pdf["content"]):
             x = lexers.lex(lang, bytes(content))
             code = codes[lang]
             marks = [(at, _MARKS[c]) for at, c in x.brackets if lang == "json" or c not in ":,"]
             out.append(
-                (i, lang, [code.get(c, 0) for c in x.classes], [a for a, _ in marks], [m for _, m in marks], list(dict.fromkeys(x.shapes)), x.skeleton or None, x.error or None, x.context or None)
+                (i, lang, lexers.file_modes(path), [code.get(c, 0) for c in x.classes], [a for a, _ in marks], [m for _, m in marks], list(dict.fromkeys(x.shapes)), x.skeleton or None, x.error or None, x.context or None)
             )
-        yield pd.DataFrame(out, columns=["file_id", "lang", "tokens", "at", "mark", "shapes", "skeleton", "error", "context"])
+        yield pd.DataFrame(out, columns=["file_id", "lang", "modes", "tokens", "at", "mark", "shapes", "skeleton", "error", "context"])
 
 
 def lexed(files: DataFrame) -> DataFrame:
@@ -109,20 +109,24 @@ def bad_nesting(tokens: DataFrame) -> DataFrame:
 
 
 def _try_shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shapes that don't stand in every reading, with those in which they do."""
     sys.setrecursionlimit(20_000)
     for pdf in batches:
-        bad = [(lexers.python_error(s) if kind == "skeleton" else lexers.shape_error(lang, s)) is not None for lang, kind, s in zip(pdf["lang"], pdf["kind"], pdf["shape"])]
-        yield pdf[["lang", "kind", "shape"]][bad]
+        fit = [3 * (lexers.python_error(s) is None) if kind == "skeleton" else lexers.shape_modes(lang, s) for lang, kind, s in zip(pdf["lang"], pdf["kind"], pdf["shape"])]
+        out = pdf[["lang", "kind", "shape"]].assign(fit=fit)
+        yield out[out["fit"] != 3]
 
 
 def bad_productions(tokens: DataFrame) -> DataFrame:
-    """(file_id): files with a statement, or a block structure, that no production yields. Each shape is tried once."""
-    shapes = tokens.select("file_id", "lang", F.lit("statement").alias("kind"), F.explode("shapes").alias("shape")).unionByName(
-        tokens.where("skeleton is not null").select("file_id", "lang", F.lit("skeleton").alias("kind"), F.col("skeleton").alias("shape"))
+    """(file_id): files with a statement, or a block structure, that no production yields, or whose statements no one
+    reading (module or function) has all of. Each shape is tried once."""
+    shapes = tokens.select("file_id", "modes", "lang", F.lit("statement").alias("kind"), F.explode("shapes").alias("shape")).unionByName(
+        tokens.where("skeleton is not null").select("file_id", "modes", "lang", F.lit("skeleton").alias("kind"), F.col("skeleton").alias("shape"))
     )
-    tried = shapes.select("lang", "kind", "shape").distinct().mapInPandas(_try_shapes, "lang string, kind string, shape string")
+    tried = shapes.select("lang", "kind", "shape").distinct().mapInPandas(_try_shapes, "lang string, kind string, shape string, fit int")
     bad = materialize(tried, "bad-shapes")
-    return shapes.join(bad, ["lang", "kind", "shape"], "left_semi").select("file_id").distinct()
+    per_file = shapes.join(bad, ["lang", "kind", "shape"]).groupBy("file_id").agg(F.bit_and(F.col("fit").bitwiseAND(F.col("modes"))).alias("fit"))
+    return per_file.where("fit = 0").select("file_id")
 
 
 def flagged(tokens: DataFrame) -> DataFrame:
