@@ -81,9 +81,12 @@ def pack(items: DataFrame, group: str, order: list, size: str, key: str, max_ite
     """Greedy evidence packing per group: in order, an item is taken if it fits the budget (or nothing is taken yet),
     skipped otherwise, until ``max_items`` are taken. (group, key, position, citation).
 
-    Order decides, so this is a fold and no running sum; it runs over one group's candidates as an array in the JVM. Each
-    group's candidates are first cut to those that can matter: nothing behind the first ``max_items`` items of size 0.
+    Order decides, so this is a fold and no running sum; it runs over one group's candidates as an array in the JVM. The
+    array is bounded without a loss: what is used only grows, so if an item of some size doesn't fit, no later item of that
+    size does, and of each size (all above the budget being one) only the first ``max_items`` can be taken at all.
     """
+    same = Window.partitionBy(group, F.least(F.col(size).cast("bigint"), F.lit(budget + 1))).orderBy(*order)
+    items = items.withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= max_items)
     rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")))).alias("xs"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{items.schema[key].dataType.simpleString()}>").alias("taken"))
 
@@ -108,6 +111,8 @@ def embed(texts: DataFrame, key: str, tokens: str, dim: int = 384) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ramp = 3 * np.arange(dim)
         for pdf in batches:
+            if not len(pdf):
+                continue
             known: dict[str, np.ndarray] = {}
             out = []
             for ts in pdf["tokens"]:
