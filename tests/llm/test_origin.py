@@ -58,9 +58,11 @@ def test_operator(spark):
         (7, "r", "a/util/mine.py", "# local copy\n" + UPSTREAM.split("\n\n", 1)[1].replace("\n", "  \r\n")), (8, "r", "a/vendor/p/x.py", HAND + "\ny = 1\n"), (9, "r", "a/vendors/x.py", HAND + "\nz = 1\n"), (10, "r", "a/vendor.py", HAND + "\nq = 1\n"),
         (11, "r", "a.json", "{}"), (12, "r", "node_modules/p/package.json", "{}"), (13, "r", "e.py", ""), (14, "r", None, "x"), (15, "r", "a/other.py", UPSTREAM.replace("print", "emit")), (16, "r", "a/t2.py", GENERATED), (17, "r", "a/util/short.py", "x = 1\n"),
     ]
-    files = spark.createDataFrame([(i, r, p, bytearray(c.encode())) for i, r, p, c in rows] + [(18, "r", "n.py", None), (19, "r", "bin.py", bytearray(bytes(range(256)) * 4))], FILES)
+    files = spark.createDataFrame([(i, r, p, bytearray(c.encode())) for i, r, p, c in rows] + [(18, "r", "n.py", None)], FILES)
     up = spark.createDataFrame([(1, "p", "1", "x.py", "python", bytearray(UPSTREAM.encode())), (2, "p", "1", "s.py", "python", bytearray(b"# c\nx = 1\n")), (3, "p", "1", "n.py", None, None)], UP)
     got = {r.file_id: r.reasons for r in O.reasons(files.selectExpr("*", "1 as notice", "2 as rules"), up).collect() if r.reasons}
     assert got == {3: ["generated"], 4: ["generated"], 5: ["minified"], 6: ["blob"], 7: ["vendored"], 8: ["vendored"], 16: ["generated"], 17: ["vendored"]}
     assert O.reasons(files.limit(0), up.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "r", "bin.js", bytearray(bytes(range(256)) * 4)), (2, "r", "q.py", bytearray(b"'''open"))], FILES)
+    assert O.reasons(odd, up).count() == 2
     assert {r.file_id for r in O.reasons(files, up.limit(0)).where("size(reasons) > 0").collect()} == {3, 4, 5, 6, 8, 16}
