@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text (problem 9).
 
-Method: a distributed positional inverted index. The postings (term, document, position) of all terms that occur in the
-test items are stored; for every window of ``WORDS`` consecutive item words the two rarest terms are looked up, their
-lists intersected after adjusting offsets, and the diagonals that survive are checked word by word against the stored
-postings. Runs of matching words of at least ``WORDS`` are exact phrase matches; items whose words come back in order
-with gaps are proximity matches.
+Method: a distributed positional inverted index. One pass counts how often each term of the test items occurs in the
+corpus. For every window of ``WORDS`` consecutive item words the two rarest terms are the window's anchors, and the
+postings (term, document, position) of all anchor terms are stored. Their lists are intersected after adjusting offsets;
+the diagonals that survive are checked word by word in the documents they lie in. Runs of matching words of at least
+``WORDS`` are exact phrase matches; items whose words come back in order with gaps are proximity matches.
+
+Terms that are no anchor of any window (the frequent ones) are counted but not stored: no lookup would ever read them.
 
 Test items are a small table by nature, but its size is checked: only up to ``MAX_BROADCAST`` item words are broadcast;
 beyond that the same joins shuffle.
@@ -35,56 +37,63 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST else df
 
 
-def index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(postings, item words, number of item words): postings (term, doc_id, pos) of the terms of the items, item words
-    (item_id, ipos, term, n_words), term a number."""
+def _tokens(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "word"))
+
+
+def _item_words(items: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, ipos, word, n_words) and the number of rows."""
     raw = items.where("item_text is not null").select("item_id", words("item_text").alias("w"))
-    raw = raw.select("item_id", F.size("w").alias("n_words"), F.posexplode("w").alias("ipos", "word"))
-    terms = raw.select("word").distinct().select("word", F.xxhash64("word").alias("term"))
-    item_words = materialize(raw.select("item_id", "ipos", "n_words", F.xxhash64("word").alias("term"), "word"), "item-words")
-    n = item_words.count()
-    tokens = docs.where("text is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "word"))
-    # The join compares the words themselves, so equal hashes of different words can't meet here.
-    postings = tokens.join(_small(terms, n), "word").select("term", "doc_id", "pos")
-    return materialize(postings, "postings"), item_words.drop("word"), n
-
-
-def _anchors(postings: DataFrame, item_words: DataFrame, n: int, width: int) -> DataFrame:
-    """For each window of item words its two rarest terms: (item_id, term, ipos, term2, shift), shift from the first to
+    out = materialize(raw.select("item_id", F.size("w").alias("n_words"), F.posexplode("w").alias("ipos", "word")), "item-words")
+    return out, out.count()
+
+
+def _anchors(docs: DataFrame, item_words: DataFrame, n: int, width: int) -> DataFrame:
+    """For each window of item words its two rarest terms: (item_id, word, ipos, word2, shift), shift from the first to
     the second. A window with a term the corpus lacks is no anchor: nothing can match it."""
-    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    known = item_words.join(freq, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
+    terms = _small(item_words.select("word").distinct(), n)
+    freq = _tokens(docs).join(terms, "word").groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    known = item_words.join(freq, "word", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     w = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, width - 1)
     two = known.select(
         "item_id", F.col("ipos").alias("start"), "n_words", F.min("cf").over(w).alias("least"),
-        F.slice(F.array_sort(F.collect_list(F.struct("cf", "ipos", "term")).over(w)), 1, 2).alias("two"),
+        F.slice(F.array_sort(F.collect_list(F.struct("cf", "ipos", "word")).over(w)), 1, 2).alias("two"),
     ).where((F.col("start") + width <= F.col("n_words")) & (F.col("least") > 0))
     a, b = F.col("two")[0], F.col("two")[F.size("two") - 1]
-    return two.select("item_id", a["term"].alias("term"), a["ipos"].alias("ipos"), b["term"].alias("term2"), (b["ipos"] - a["ipos"]).alias("shift")).distinct()
+    return two.select("item_id", a["word"].alias("word"), a["ipos"].alias("ipos"), b["word"].alias("word2"), (b["ipos"] - a["ipos"]).alias("shift")).distinct()
+
+
+def _index(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
+    """The postings (word, doc_id, pos) of all anchor terms."""
+    terms = anchors.select("word").unionByName(anchors.select(F.col("word2").alias("word"))).distinct()
+    return materialize(_tokens(docs).join(_small(terms, n), "word").select("word", "doc_id", "pos"), "postings")
 
 
 def _diagonals(postings: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     """(doc_id, item_id, diag): document position less item position, where both rarest terms of a window agree."""
-    first = postings.join(_small(anchors, n), "term").select(
-        "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("term2").alias("term")
+    first = postings.join(_small(anchors, n), "word").select(
+        "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("word2").alias("word")
     )
-    second = postings.join(_small(anchors.select(F.col("term2").alias("term")).distinct(), n), "term", "left_semi")
-    return first.join(second, ["doc_id", "pos", "term"], "left_semi").select("doc_id", "item_id", "diag").distinct()
+    return first.join(postings, ["doc_id", "pos", "word"], "left_semi").select("doc_id", "item_id", "diag").distinct()
 
 
-def _agreeing(postings: DataFrame, item_words: DataFrame, diagonals: DataFrame, n: int) -> DataFrame:
-    """(doc_id, item_id, diag, ipos, n_words): item positions whose word stands in the document on that diagonal."""
+def _agreeing(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(doc_id, item_id, diag, ipos, n_words): item positions whose word stands in the document on a diagonal that two
+    anchors of a window of ``width`` words share."""
+    item_words, n = _item_words(items)
+    anchors = materialize(_anchors(docs, item_words, n, width), "anchors")
+    diagonals = materialize(_diagonals(_index(docs, anchors, n), anchors, n), "diagonals")
+    hit = diagonals.select("doc_id").distinct()
+    there = _tokens(docs.join(_small(hit, hit.count()), "doc_id", "left_semi"))
     wanted = diagonals.join(_small(item_words, n), "item_id").select(
-        "doc_id", "item_id", "diag", "ipos", "n_words", "term", (F.col("diag") + F.col("ipos")).alias("pos")
+        "doc_id", "item_id", "diag", "ipos", "n_words", "word", (F.col("diag") + F.col("ipos")).alias("pos")
     )
-    return wanted.join(postings, ["doc_id", "pos", "term"], "left_semi").drop("term")
+    return wanted.join(there, ["doc_id", "pos", "word"], "left_semi").drop("word")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, item_id, doc_from, item_from, n_words): maximal runs of at least ``width`` item words in a document."""
-    postings, item_words, n = index(docs, items)
-    anchors = materialize(_anchors(postings, item_words, n, width), "anchors")
-    agree = _agreeing(postings, item_words, _diagonals(postings, anchors, n), n)
+    agree = _agreeing(docs, items, width)
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("ipos")
     runs = agree.withColumn("run", F.col("ipos") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "run")
     return runs.agg(F.min("ipos").alias("item_from"), F.count(F.lit(1)).cast("int").alias("n_words")).where(F.col("n_words") >= width).select(
@@ -102,9 +111,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, cover: float = COVER, d
     Candidates come from windows of five words, so a passage with words put in or changed every few words is found;
     matches of diagonals in the same band of ``drift`` words add up, each item word once.
     """
-    postings, item_words, n = index(docs, items)
-    anchors = materialize(_anchors(postings, item_words, n, 5), "near-anchors")
-    agree = _agreeing(postings, item_words, _diagonals(postings, anchors, n), n)
+    agree = _agreeing(docs, items, 5)
     band = F.explode(F.array(F.floor(F.col("diag") / drift), F.floor(F.col("diag") / drift) + 1))
     near = agree.withColumn("band", band).groupBy("doc_id", "item_id", "band", "n_words").agg(F.countDistinct("ipos").alias("hits"))
     share = near.groupBy("doc_id", "item_id").agg(F.max(F.col("hits") / F.col("n_words")).alias("cover"))
