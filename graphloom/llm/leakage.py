@@ -49,8 +49,9 @@ def _item_words(items: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _anchors(docs: DataFrame, item_words: DataFrame, n: int, width: int) -> DataFrame:
-    """For each window of item words its two rarest terms: (item_id, word, ipos, word2, shift), shift from the first to
-    the second. A window with a term the corpus lacks is no anchor: nothing can match it."""
+    """The two rarest terms of the windows of item words: (item_id, word, ipos, word2, shift, reach), shift from the first
+    to the second, reach the item positions of all windows with these two. A window with a term the corpus lacks is no
+    anchor: nothing can match it."""
     terms = _small(item_words.select("word").distinct(), n)
     freq = _tokens(docs).join(terms, "word").groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
     known = item_words.join(freq, "word", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
@@ -60,7 +61,8 @@ def _anchors(docs: DataFrame, item_words: DataFrame, n: int, width: int) -> Data
         F.slice(F.array_sort(F.collect_list(F.struct("cf", "ipos", "word")).over(w)), 1, 2).alias("two"),
     ).where((F.col("start") + width <= F.col("n_words")) & (F.col("least") > 0))
     a, b = F.col("two")[0], F.col("two")[F.size("two") - 1]
-    return two.select("item_id", a["word"].alias("word"), a["ipos"].alias("ipos"), b["word"].alias("word2"), (b["ipos"] - a["ipos"]).alias("shift")).distinct()
+    two = two.select("item_id", a["word"].alias("word"), a["ipos"].alias("ipos"), b["word"].alias("word2"), (b["ipos"] - a["ipos"]).alias("shift"), F.explode(F.sequence("start", F.col("start") + (width - 1))).alias("r"))
+    return two.groupBy("item_id", "word", "ipos", "word2", "shift").agg(F.collect_set("r").alias("reach"))
 
 
 def _index(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
@@ -70,30 +72,33 @@ def _index(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
 
 
 def _diagonals(postings: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
-    """(doc_id, item_id, diag): document position less item position, where both rarest terms of a window agree."""
+    """(doc_id, item_id, diag, reach): document position less item position, where both rarest terms of a window agree,
+    and the item positions of those windows."""
     first = postings.join(_small(anchors, n), "word").select(
-        "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("word2").alias("word")
+        "doc_id", "item_id", "reach", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("word2").alias("word")
     )
-    return first.join(postings, ["doc_id", "pos", "word"], "left_semi").select("doc_id", "item_id", "diag").distinct()
+    return first.join(postings, ["doc_id", "pos", "word"], "left_semi").select("doc_id", "item_id", "diag", "reach")
 
 
-def _agreeing(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+def _agreeing(docs: DataFrame, items: DataFrame, width: int, whole: bool) -> DataFrame:
     """(doc_id, item_id, diag, ipos, n_words): item positions whose word stands in the document on a diagonal that two
-    anchors of a window of ``width`` words share."""
+    anchors of a window of ``width`` words share; positions of such windows only, or of the ``whole`` item."""
     item_words, n = _item_words(items)
     anchors = materialize(_anchors(docs, item_words, n, width), "anchors")
     diagonals = materialize(_diagonals(_index(docs, anchors, n), anchors, n), "diagonals")
     hit = diagonals.select("doc_id").distinct()
     there = _tokens(docs.join(_small(hit, hit.count()), "doc_id", "left_semi"))
-    wanted = diagonals.join(_small(item_words, n), "item_id").select(
-        "doc_id", "item_id", "diag", "ipos", "n_words", "word", (F.col("diag") + F.col("ipos")).alias("pos")
-    )
+    if whole:
+        wanted = diagonals.select("doc_id", "item_id", "diag").distinct().join(_small(item_words, n), "item_id")
+    else:
+        wanted = diagonals.select("doc_id", "item_id", "diag", F.explode("reach").alias("ipos")).distinct().join(_small(item_words, n), ["item_id", "ipos"])
+    wanted = wanted.select("doc_id", "item_id", "diag", "ipos", "n_words", "word", (F.col("diag") + F.col("ipos")).alias("pos"))
     return wanted.join(there, ["doc_id", "pos", "word"], "left_semi").drop("word")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, item_id, doc_from, item_from, n_words): maximal runs of at least ``width`` item words in a document."""
-    agree = _agreeing(docs, items, width)
+    agree = _agreeing(docs, items, width, whole=False)
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("ipos")
     runs = agree.withColumn("run", F.col("ipos") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "run")
     return runs.agg(F.min("ipos").alias("item_from"), F.count(F.lit(1)).cast("int").alias("n_words")).where(F.col("n_words") >= width).select(
@@ -111,7 +116,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, cover: float = COVER, d
     Candidates come from windows of five words, so a passage with words put in or changed every few words is found;
     matches of diagonals in the same band of ``drift`` words add up, each item word once.
     """
-    agree = _agreeing(docs, items, 5)
+    agree = _agreeing(docs, items, 5, whole=True)
     band = F.explode(F.array(F.floor(F.col("diag") / drift), F.floor(F.col("diag") / drift) + 1))
     near = agree.withColumn("band", band).groupBy("doc_id", "item_id", "band", "n_words").agg(F.countDistinct("ipos").alias("hits"))
     share = near.groupBy("doc_id", "item_id").agg(F.max(F.col("hits") / F.col("n_words")).alias("cover"))
