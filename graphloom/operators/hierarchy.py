@@ -51,20 +51,43 @@ def _place(col: str):
     )
 
 
-def _group(df: DataFrame, level: int, place: str = "place") -> DataFrame:
-    return df.withColumn("part", F.pmod(F.xxhash64(place), F.lit(FANS[level])).cast("int"))
+def _part(col: str, level: int, parts: int = 0):
+    """The group of a level that an id falls in; ``parts`` shortens its module to so many parts (0: whole)."""
+    place = F.substring_index(_place(col), ".", parts) if parts else _place(col)
+    return F.pmod(F.xxhash64(place), F.lit(FANS[level])).cast("int")
+
+
+def encode(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links in numbers, names): ids become 64-bit numbers, as strings would be most of what is shuffled.
+
+    links: (s, part, parent, child, parent_up, child_up), with the groups of the first two levels; names: (id, scope, node).
+    Equal numbers of different names are looked for, and another seed is taken until there are none.
+    """
+    nodes = links.select("scope", F.col("parent").alias("node")).unionByName(links.select("scope", F.col("child").alias("node"))).distinct()
+    for seed in range(8):
+        number = lambda c: F.xxhash64(F.lit(seed), "scope", c)  # noqa: B023, E731
+        names = materialize(nodes.select(number("node").alias("id"), "scope", "node"), "names")
+        if names.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed without equal numbers")
+    coded = links.select(
+        F.xxhash64("scope").alias("s"), _part("parent", 0).alias("part"), number("parent").alias("parent"), number("child").alias("child"),
+        _part("parent", 1, 2).alias("parent_up"), _part("child", 1, 2).alias("child_up"),
+    )
+    return materialize(coded, "coded-links"), names
 
 
 class WeightedForest:
     """Union-find with path compression and union by size; ``off[x]`` is x's level minus that of its root."""
 
     def __init__(self) -> None:
-        self.up: dict[str, str] = {}
-        self.off: dict[str, int] = {}
-        self.size: dict[str, int] = {}
-        self.bad: set[str] = set()
+        self.up: dict = {}
+        self.off: dict = {}
+        self.size: dict = {}
+        self.bad: set = set()
 
-    def find(self, x: str) -> tuple[str, int]:
+    def find(self, x) -> tuple:
         up, off = self.up, self.off
         if x not in up:
             up[x], off[x], self.size[x] = x, 0, 1
@@ -79,7 +102,7 @@ class WeightedForest:
             up[y], off[y] = x, total
         return x, total
 
-    def link(self, parent: str, child: str, weight: int = 1) -> None:
+    def link(self, parent, child, weight: int = 1) -> None:
         """States that ``child`` lies ``weight`` levels below ``parent``."""
         (a, x), (b, y) = self.find(parent), self.find(child)
         if a == b:
@@ -93,7 +116,7 @@ class WeightedForest:
         if b in self.bad:
             self.bad.add(a)
 
-    def rows(self) -> Iterator[tuple[str, str, int, bool]]:
+    def rows(self) -> Iterator[tuple]:
         for x in list(self.up):
             root, off = self.find(x)
             yield x, root, off, root in self.bad
@@ -115,74 +138,65 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield now, parts
 
 
+FOREST = "s bigint, part int, node bigint, root bigint, off int, bad boolean, node_up int, root_up int"
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (scope, part), parts in _groups(batches, ["scope", "part"]):
+    for (scope, part), parts in _groups(batches, ["s", "part"]):
         f = WeightedForest()
+        up: dict[int, int] = {}
         for pdf in parts:
-            for a, b, w, bad in zip(pdf["parent"], pdf["child"], pdf["weight"], pdf["bad"]):
-                f.link(a, b, int(w))
+            for a, b, w, bad, x, y in zip(*(pdf[c].tolist() for c in ("parent", "child", "weight", "bad", "parent_up", "child_up"))):
+                f.link(a, b, w)
+                up[a], up[b] = x, y
                 if bad:
                     f.bad.add(f.find(a)[0])
-        rows = list(f.rows())
-        out = pd.DataFrame(rows, columns=["node", "root", "off", "bad"])
-        out.insert(0, "scope", scope)
-        out.insert(1, "part", part)
-        yield out
+        rows = [(scope, part, x, r, o, bad, up[x], up[r]) for x, r, o, bad in f.rows()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOREST.split(", ")])
 
 
 def _run(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` over groups (scope, part), which lie together and sorted in a partition."""
-    return df.repartition("scope", "part").sortWithinPartitions("scope", "part").mapInPandas(fn, schema)
+    """``fn`` over groups (s, part), which lie together and sorted in a partition."""
+    return df.repartition("s", "part").sortWithinPartitions("s", "part").mapInPandas(fn, schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(scope, node, root, off, bad): the set of each node, its level against the set's root, and whether the set's
-    levels contradict each other (only then can it hold a cycle)."""
-    level = _group(
-        links.select("scope", "parent", "child", F.lit(1).alias("weight"), F.lit(False).alias("bad"), _place("parent").alias("place")), 0
-    )
+def components(coded: DataFrame) -> DataFrame:
+    """(node, root, off, bad) of encoded links: the set of each node, its level against the set's root, and whether the
+    set's levels contradict each other (only then can it hold a cycle)."""
+    level = coded.withColumn("weight", F.lit(1)).withColumn("bad", F.lit(False))
     steps: list[DataFrame] = []
-    for i, _ in enumerate(FANS):
-        forest = materialize(_run(level, _forest, "scope string, part int, node string, root string, off long, bad boolean"), f"forest-{i}")
+    for i in range(len(FANS)):
+        forest = materialize(_run(level, _forest, FOREST), f"forest-{i}")
+        steps.append(forest)
         if i + 1 == len(FANS):
-            steps.append(forest)
             break
-        shared = forest.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scope", "node")
-        # Boundary nodes, and the roots that stand for their sets, go up; a set without a boundary node is complete.
-        up = forest.join(shared, ["scope", "node"], "left_semi")
-        steps.append(forest)
-        level = _group(
-            up.select("scope", F.col("root").alias("parent"), F.col("node").alias("child"), F.col("off").alias("weight"), "bad", _coarse("root", i).alias("place")),
-            i + 1,
+        # Boundary nodes go up with the roots that stand for their sets; a set without one is complete.
+        shared = forest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+        level = forest.join(shared, "node", "left_semi").select(
+            "s", (F.col("root_up") if i == 0 else F.lit(0)).alias("part"), F.col("root").alias("parent"), F.col("node").alias("child"), F.col("off").alias("weight"), "bad",
+            F.col("root_up").alias("parent_up"), F.col("node_up").alias("child_up"),
         )
     # A node may lie in several groups of a level; any of its rows leads to the same final root.
-    known = steps[-1].select("scope", "node", "root", "off", "bad")
+    known = steps[-1].select("node", "root", "off", "bad")
     for forest in reversed(steps[:-1]):
-        one = forest.groupBy("scope", "node").agg(F.min(F.struct("root", "off", "bad")).alias("x")).select("scope", "node", "x.*")
-        top = known.select("scope", F.col("node").alias("root"), F.col("root").alias("root2"), F.col("off").alias("off2"), F.col("bad").alias("bad2"))
-        down = one.join(top, ["scope", "root"], "left").select(
-            "scope", "node", F.coalesce("root2", "root").alias("root"),
-            (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), (F.col("bad") | F.coalesce("bad2", F.lit(False))).alias("bad"),
+        one = forest.groupBy("node").agg(F.min(F.struct("root", "off", "bad")).alias("x")).select("node", "x.*")
+        top = known.select(F.col("node").alias("root"), F.col("root").alias("root2"), F.col("off").alias("off2"), F.col("bad").alias("bad2"))
+        down = one.join(top, "root", "left").select(
+            "node", F.coalesce("root2", "root").alias("root"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), (F.col("bad") | F.coalesce("bad2", F.lit(False))).alias("bad"),
         )
-        known = down.join(known, ["scope", "node"], "left_anti").unionByName(known)
-    bad = known.where("bad").select("scope", "root").distinct().withColumn("worse", F.lit(True))
-    return known.drop("bad").join(bad, ["scope", "root"], "left").select(
-        "scope", "node", "root", "off", F.coalesce("worse", F.lit(False)).alias("bad")
-    )
-
-
-def _coarse(col: str, level: int):
-    """A shorter locality for higher levels, so that neighbouring packages meet: the first ``len(FANS) - 1 - level`` parts."""
-    return F.substring_index(_place(col), ".", len(FANS) - 1 - level)
-
-
-def _strong(succ: dict[str, list[str]]) -> set[str]:
-    """Nodes that reach themselves (Tarjan, without recursion)."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    on: set[str] = set()
-    stack: list[str] = []
-    found: set[str] = set()
+        known = down.join(known, "node", "left_anti").unionByName(known)
+    known = materialize(known, "sets")
+    worse = known.where("bad").select("root").distinct().withColumn("worse", F.lit(True))
+    return known.drop("bad").join(worse, "root", "left").select("node", "root", "off", F.coalesce("worse", F.lit(False)).alias("bad"))
+
+
+def _strong(succ: dict) -> set[tuple]:
+    """(node, loop) of the nodes that reach themselves (Tarjan, without recursion)."""
+    index: dict = {}
+    low: dict = {}
+    on: set = set()
+    stack: list = []
+    found: set[tuple] = set()
     for start in succ:
         if start in index:
             continue
@@ -218,21 +232,25 @@ def _strong(succ: dict[str, list[str]]) -> set[str]:
     return found
 
 
+LEFT = "s bigint, parent bigint, child bigint, parent_up int"
+
+
 def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links left after nodes inside the group without a way in or a way out have gone, again and again."""
-    for (scope, part), parts in _groups(batches, ["scope", "part"]):
-        pdf = pd.concat(parts)
-        rows = list(dict.fromkeys(zip(pdf["parent"], pdf["child"], pdf["parent_shared"], pdf["child_shared"])))
-        out: dict[str, set[str]] = {}
-        into: dict[str, set[str]] = {}
-        fixed = set()
-        for a, b, x, y in rows:
-            out.setdefault(a, set()).add(b)
-            into.setdefault(b, set()).add(a)
-            if x:
-                fixed.add(a)
-            if y:
-                fixed.add(b)
+    for (scope, _), parts in _groups(batches, ["s", "part"]):
+        out: dict[int, set[int]] = {}
+        into: dict[int, set[int]] = {}
+        fixed: set[int] = set()
+        up: dict[int, int] = {}
+        for pdf in parts:
+            for a, b, x, y, u in zip(*(pdf[c].tolist() for c in ("parent", "child", "parent_shared", "child_shared", "parent_up"))):
+                out.setdefault(a, set()).add(b)
+                into.setdefault(b, set()).add(a)
+                up[a] = u
+                if x:
+                    fixed.add(a)
+                if y:
+                    fixed.add(b)
         todo = [n for n in {*out, *into} if n not in fixed and not (out.get(n) and into.get(n))]
         while todo:
             n = todo.pop()
@@ -245,45 +263,45 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out[m].discard(n)
                     if not out[m] and m not in fixed:
                         todo.append(m)
-        left = [(a, b) for a, bs in out.items() for b in bs]
+        left = [(scope, a, b, up[a]) for a, bs in out.items() for b in bs]
         if left:
-            res = pd.DataFrame(left, columns=["parent", "child"])
-            res.insert(0, "scope", scope)
-            yield res
+            yield pd.DataFrame(left, columns=["s", "parent", "child", "parent_up"])
 
 
 def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (scope, part), parts in _groups(batches, ["scope", "part"]):
-        succ: dict[str, list[str]] = {}
+    for _, parts in _groups(batches, ["s", "part"]):
+        succ: dict[int, list[int]] = {}
         for pdf in parts:
-            for a, b in zip(pdf["parent"], pdf["child"]):
+            for a, b in zip(pdf["parent"].tolist(), pdf["child"].tolist()):
                 succ.setdefault(a, []).append(b)
         found = sorted(_strong(succ))
         if found:
-            res = pd.DataFrame(found, columns=["node", "loop"])
-            res.insert(0, "scope", scope)
-            yield res
+            yield pd.DataFrame(found, columns=["id", "loop"])
 
 
-def cycle_nodes(links: DataFrame, comps: DataFrame | None = None) -> DataFrame:
-    """(scope, node, loop): nodes that reach themselves, with a representative of the loop they share.
+def cycle_nodes(links: DataFrame) -> DataFrame:
+    """(scope, node, loop): nodes that reach themselves, with a number for the loop they share.
 
     Only links of sets with contradicting levels are looked at. They are peeled level by level; on the last level a
     scope has only nodes on or between cycles left, and those are grouped.
     """
-    comps = components(links) if comps is None else comps
-    suspect = comps.where("bad").select("scope", F.col("node").alias("child"))
-    left = links.join(suspect, ["scope", "child"], "left_semi").select("scope", "parent", "child")
-    for i, _ in enumerate(FANS):
-        left = left.withColumn("place", _place("parent") if i == 0 else _coarse("parent", i - 1))
-        left = materialize(_group(left, i).drop("place"), f"peel-{i}")
-        ends = left.select("scope", F.col("parent").alias("node"), "part").unionByName(left.select("scope", F.col("child").alias("node"), "part")).distinct()
-        shared = ends.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scope", "node")
-        for end in ("parent", "child"):
-            s = shared.select("scope", F.col("node").alias(end), F.lit(True).alias(f"{end}_shared"))
-            left = left.join(s, ["scope", end], "left").withColumn(f"{end}_shared", F.coalesce(f"{end}_shared", F.lit(False)))
-        left = _run(left, _peel, "scope string, parent string, child string")
-    return _run(left.withColumn("part", F.lit(0)), _cycles, "scope string, node string, loop string")
+    coded, names = encode(links)
+    suspect = components(coded).where("bad").select(F.col("node").alias("child"))
+    left = coded.join(suspect, "child", "left_semi").select("s", "part", "parent", "child", "parent_up")
+    for i in range(len(FANS)):
+        if i:
+            left = left.withColumn("part", F.col("parent_up") if i == 1 else F.lit(0))
+        left = materialize(left, f"peel-{i}")
+        if i + 1 < len(FANS):
+            ends = left.select(F.col("parent").alias("node"), "part").unionByName(left.select(F.col("child").alias("node"), "part")).distinct()
+            shared = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+            for end in ("parent", "child"):
+                left = left.join(shared.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_shared")), end, "left").withColumn(f"{end}_shared", F.coalesce(f"{end}_shared", F.lit(False)))
+        else:  # one group per scope: no node is shared with another
+            left = left.withColumn("parent_shared", F.lit(False)).withColumn("child_shared", F.lit(False))
+        left = _run(left, _peel, LEFT)
+    found = materialize(_run(left.withColumn("part", F.lit(0)), _cycles, "id bigint, loop bigint"), "loops")
+    return found.join(names, "id").select("scope", "node", "loop")
 
 
 def back_links(links: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -295,7 +313,7 @@ def back_links(links: DataFrame, cycles: DataFrame) -> DataFrame:
 
 def _climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each node's path up to the first ancestor without a parent in the group; climbed paths are reused."""
-    for (scope, part), parts in _groups(batches, ["scope", "part"]):
+    for (scope, _), parts in _groups(batches, ["scope", "part"]):
         up: dict[str, str] = {}
         for pdf in parts:
             up.update(zip(pdf["child"], pdf["parent"]))
@@ -321,8 +339,8 @@ def hierarchy(links: DataFrame, cycles: DataFrame) -> DataFrame:
     nodes = links.select("scope", F.col("parent").alias("node")).unionByName(links.select("scope", F.col("child").alias("node"))).distinct()
     kept = links.join(back_links(links, cycles), ["scope", "parent", "child"], "left_anti")
     parent = kept.groupBy("scope", "child").agg(F.min("parent").alias("parent"))
-    placed = _group(parent.withColumn("place", _place("child")), 0).drop("place")
-    local = materialize(_run(placed, _climb, "scope string, node string, top string, path array<string>"), "climb")
+    placed = parent.withColumn("part", _part("child", 0)).repartition("scope", "part").sortWithinPartitions("scope", "part")
+    local = materialize(placed.mapInPandas(_climb, "scope string, node string, top string, path array<string>"), "climb")
     tops = local.select("scope", F.col("top").alias("node")).distinct()
     # Pointer doubling over the tops only: (node, top, path) with path from below ``top`` down to the node.
     jump = materialize(local.join(tops, ["scope", "node"], "left_semi"), "tops-0")
