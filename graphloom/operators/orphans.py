@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from graphloom.catalog import clean_id, materialize, trimmed
 
 SALTS = 8
+#: Before the key of a reference by module name; no cleaned id begins with it.
+MODULE = "\x01"
 FOREVER = "9999-12-31 00:00:00"
 
 
@@ -92,23 +94,19 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     refs = refs.where("key is not null")
     odd = refs.where("scope is null or at is null")
     refs = refs.where("scope is not null and at is not null")
+    lives = materialize(lives, "lives")
     used = refs.groupBy(*k).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     u, p = used.alias("u"), lives.alias("p")
     same = (F.col("u.scope") == F.col("p.scope")) & (F.col("u.key") == F.col("p.key"))
     covering = (F.col("p.born") <= F.col("u.first_at")) & (F.col("p.gone") > F.col("u.last_at"))
-    suspect = u.join(p, same & covering, "left_anti").select(*k)
-    known = lives.select(*k).distinct().withColumn("known", F.lit(True))
-    suspect = suspect.join(known, k, "left").select(*k, F.coalesce("known", F.lit(False)).alias("known"))
-    suspect = materialize(suspect, "suspect-keys")
-
-    salted = suspect.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id"), F.lit(SALTS)).cast("int")).join(
-        salted, [*k, "salt"]
-    ).drop("salt")
-
+    suspect = materialize(u.join(p, same & covering, "left_anti").select(*k), "suspect-keys")
+    some = lives.join(suspect, k, "left_semi")
+    known = some.select(*k).distinct().withColumn("known", F.lit(True))
+    salted = suspect.join(known, k, "left").select(*k, F.coalesce("known", F.lit(False)).alias("known")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id"), F.lit(SALTS)).cast("int")).join(salted, [*k, "salt"]).drop("salt")
+    hit = materialize(hit, "suspect-refs")
     absent = hit.where("not known").drop("known")
-    partly = _dead_at(hit.where("known").drop("known"), lives.join(suspect.where("known").select(*k), k, "left_semi"))
-    return absent.unionByName(partly).unionByName(odd)
+    return absent.unionByName(_dead_at(hit.where("known").drop("known"), some)).unionByName(odd)
 
 
 def _dead_at(refs: DataFrame, lives: DataFrame) -> DataFrame:
@@ -135,11 +133,17 @@ def all_references(edges: DataFrame, imports: DataFrame, external_modules: DataF
 
 
 def orphans(edges: DataFrame, imports: DataFrame, external_modules: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Orphaned edges and imports: (ref_table, ref_id, scope, key, at)."""
+    """Orphaned edges and imports: (ref_table, ref_id, scope, key, at).
+
+    Both kinds go through one set of joins. Imports name modules by name, edges name nodes by id, so the keys of imports
+    get a mark of their own; a Module node lives under both its id and its name.
+    """
     e, i = all_references(edges, imports, external_modules)
-    by_id = orphan_references(e, node_lives(nodes, clean_id("id")))
-    by_module = orphan_references(i, node_lives(nodes.where("label = 'Module'"), trimmed("name")))
-    return by_id.unionByName(by_module)
+    mark = F.lit(MODULE)
+    refs = e.unionByName(i.withColumn("key", F.concat(mark, "key")))
+    names = node_lives(nodes.where("label = 'Module'"), F.concat(mark, trimmed("name")))
+    out = orphan_references(refs, node_lives(nodes, clean_id("id")).unionByName(names))
+    return out.withColumn("key", F.regexp_replace("key", "^" + MODULE, ""))
 
 
 def orphan_report(refs: DataFrame, found: DataFrame) -> DataFrame:
