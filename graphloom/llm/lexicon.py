@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.catalog import shared_dir
+from graphloom.catalog import shared_dir, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern of the byte-level vocabularies (a fixed value).
@@ -229,7 +229,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
     src = texts.select(F.col(text).alias("text")).where("text is not null and text <> ''")
-    return src.mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(src).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(texts: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> bytes:
@@ -270,5 +270,5 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
             yield pd.DataFrame({"key": pdf["key"], "ids": ids})
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(encode, f"key {kind}, ids array<int>")
+    out = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(encode, f"key {kind}, ids array<int>")
     return out.select(F.col("key").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.catalog import materialize
+from graphloom.catalog import materialize, spread
 from graphloom.llm import docpairs
 from graphloom.llm.syntax import with_language
 
@@ -202,7 +202,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def file_features(files: DataFrame) -> DataFrame:
     take = with_language(files.select("file_id", "repository_id", "path", "content")).where("content is not null and lang in ('python', 'js') and length(content) > 0")
-    return take.select("file_id", "repository_id", "lang", "path", "content").mapInPandas(_run, FEATURES)
+    return spread(take.select("file_id", "repository_id", "lang", "path", "content")).mapInPandas(_run, FEATURES)
 
 
 def upstream_features(third_party: DataFrame) -> DataFrame:

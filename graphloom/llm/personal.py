@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.catalog import spread
+
 #: Common given names of several languages (fixed values; extend or replace by parameter).
 GIVEN_NAMES = (
     "Aiko", "Aisha", "Alice", "Amina", "Ana", "André", "Anna", "Antonio", "Begoña", "Bianca", "Björn", "Callum", "Carlos", "Carmen", "Chiara",
@@ -378,7 +380,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "found", "redacted"])
 
     take = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> ''")
-    return take.mapInPandas(run, "doc_id bigint, found array<struct<kind:string,value:string>>, redacted string")
+    return spread(take).mapInPandas(run, "doc_id bigint, found array<struct<kind:string,value:string>>, redacted string")
 
 
 def found(docs: DataFrame) -> DataFrame:

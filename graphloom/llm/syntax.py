@@ -25,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.catalog import materialize
+from graphloom.catalog import materialize, spread
 from graphloom.llm import grammar, lexers
 
 LANGUAGES = ("python", "js", "json", "toml")
 _WIDE = 1024
+#: Up to so many different shapes are broadcast; more of them are joined by a shuffle.
+MAX_BAD_SHAPES = 20_000
 LEXED = "file_id bigint, lang string, modes int, tokens array<int>, at array<int>, mark array<int>, shapes array<string>, skeleton string, error string, context string"
 
 
@@ -67,7 +69,7 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    return materialize(_sources(files).mapInPandas(_lex, LEXED), "lexed")
+    return materialize(spread(_sources(files)).mapInPandas(_lex, LEXED), "lexed")
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:
@@ -125,6 +127,7 @@ def bad_productions(tokens: DataFrame) -> DataFrame:
     )
     tried = shapes.select("lang", "kind", "shape").distinct().mapInPandas(_try_shapes, "lang string, kind string, shape string, fit int")
     bad = materialize(tried, "bad-shapes")
+    bad = F.broadcast(bad) if bad.count() <= MAX_BAD_SHAPES else bad
     per_file = shapes.join(bad, ["lang", "kind", "shape"]).groupBy("file_id").agg(F.bit_and(F.col("fit").bitwiseAND(F.col("modes"))).alias("fit"))
     return per_file.where("fit = 0").select("file_id")
 
