@@ -46,6 +46,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, by turns, if it has fewer partitions than there are cores.
+
+    For what follows as Python over whole texts: a table of a few small files would keep most cores idle, and the texts
+    are cheaper to move than to parse. Tables with enough partitions stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def trimmed(col):
     """``col`` without blanks (any white space, no-break space, byte-order mark) on either side."""
     c = F.col(col) if isinstance(col, str) else col
