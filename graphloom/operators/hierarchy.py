@@ -10,9 +10,10 @@ way in or out, again level by level, and looks for strongly connected sets in wh
 Paths are then materialised by indexed parent traversal: each group climbs its own parent index as far as it reaches;
 the group tops, few because links are grouped by the module they lie in, are resolved by pointer doubling.
 
-Grouping. A link is placed by the scope and by the module its parent lies in, so that a file's classes and methods meet
+Grouping. A link is placed by the scope and by the module its child lies in, so that a file's classes and methods meet
 in one group and only package links cross groups. A scope that holds a third of all rows is spread over ``FANS[0]``
-groups at first; what reaches the last level is its boundary only, not its rows.
+groups at first; what reaches the last level is its boundary only, not its rows. The links of a parent with more than
+``HOT_PARENT`` children are dealt out further by child: any grouping is valid, it only makes that parent a boundary node.
 
 Defined cases: links with a null end or scope are left out; repeated links count once; a link from a node to itself is a
 cycle of one; an empty table gives empty results; ids are compared as given (callers clean them first).
@@ -31,6 +32,7 @@ from graphloom.catalog import clean_id, materialize
 FANS = (64, 8, 1)
 TYPES = ("CONTAINS", "DEFINES")
 MAX_DOUBLINGS = 40
+HOT_PARENT, HOT_SALTS = 100_000, 64
 
 
 def hierarchy_links(edges: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
@@ -57,6 +59,14 @@ def _part(col: str, level: int, parts: int = 0):
     return F.pmod(F.xxhash64(place), F.lit(FANS[level])).cast("int")
 
 
+def _salted(links: DataFrame) -> DataFrame:
+    """``links`` with ``part``, the group of the first level. Hot parents are found by a count that combines on the map
+    side; there are at most as many as links / HOT_PARENT, and they are joined by value, not broadcast by hint."""
+    hot = links.groupBy("scope", "parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PARENT).select("scope", "parent", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("child"), F.lit(HOT_SALTS)).cast("int") + 1).otherwise(0)
+    return links.join(hot, ["scope", "parent"], "left").withColumn("part", _part("child", 0) + FANS[0] * salt).drop("hot")
+
+
 def encode(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links in numbers, names): ids become 64-bit numbers, as strings would be most of what is shuffled.
 
@@ -71,8 +81,8 @@ def encode(links: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     else:
         raise RuntimeError("no seed without equal numbers")
-    coded = links.select(
-        F.xxhash64("scope").alias("s"), _part("parent", 0).alias("part"), number("parent").alias("parent"), number("child").alias("child"),
+    coded = _salted(links).select(
+        F.xxhash64("scope").alias("s"), "part", number("parent").alias("parent"), number("child").alias("child"),
         _part("parent", 1, 2).alias("parent_up"), _part("child", 1, 2).alias("child_up"),
     )
     return materialize(coded, "coded-links"), names
@@ -232,7 +242,7 @@ def _strong(succ: dict) -> set[tuple]:
     return found
 
 
-LEFT = "s bigint, parent bigint, child bigint, parent_up int"
+LEFT = "s bigint, parent bigint, child bigint, child_up int"
 
 
 def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,10 +253,10 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixed: set[int] = set()
         up: dict[int, int] = {}
         for pdf in parts:
-            for a, b, x, y, u in zip(*(pdf[c].tolist() for c in ("parent", "child", "parent_shared", "child_shared", "parent_up"))):
+            for a, b, x, y, u in zip(*(pdf[c].tolist() for c in ("parent", "child", "parent_shared", "child_shared", "child_up"))):
                 out.setdefault(a, set()).add(b)
                 into.setdefault(b, set()).add(a)
-                up[a] = u
+                up[b] = u
                 if x:
                     fixed.add(a)
                 if y:
@@ -263,9 +273,9 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out[m].discard(n)
                     if not out[m] and m not in fixed:
                         todo.append(m)
-        left = [(scope, a, b, up[a]) for a, bs in out.items() for b in bs]
+        left = [(scope, a, b, up[b]) for a, bs in out.items() for b in bs]
         if left:
-            yield pd.DataFrame(left, columns=["s", "parent", "child", "parent_up"])
+            yield pd.DataFrame(left, columns=["s", "parent", "child", "child_up"])
 
 
 def _cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,10 +297,10 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     """
     coded, names = encode(links)
     suspect = components(coded).where("bad").select(F.col("node").alias("child"))
-    left = coded.join(suspect, "child", "left_semi").select("s", "part", "parent", "child", "parent_up")
+    left = coded.join(suspect, "child", "left_semi").select("s", "part", "parent", "child", "child_up")
     for i in range(len(FANS)):
         if i:
-            left = left.withColumn("part", F.col("parent_up") if i == 1 else F.lit(0))
+            left = left.withColumn("part", F.col("child_up") if i == 1 else F.lit(0))
         left = materialize(left, f"peel-{i}")
         if i + 1 < len(FANS):
             ends = left.select(F.col("parent").alias("node"), "part").unionByName(left.select(F.col("child").alias("node"), "part")).distinct()
@@ -339,7 +349,7 @@ def hierarchy(links: DataFrame, cycles: DataFrame) -> DataFrame:
     nodes = links.select("scope", F.col("parent").alias("node")).unionByName(links.select("scope", F.col("child").alias("node"))).distinct()
     kept = links.join(back_links(links, cycles), ["scope", "parent", "child"], "left_anti")
     parent = kept.groupBy("scope", "child").agg(F.min("parent").alias("parent"))
-    placed = parent.withColumn("part", _part("child", 0)).repartition("scope", "part").sortWithinPartitions("scope", "part")
+    placed = _salted(parent).repartition("scope", "part").sortWithinPartitions("scope", "part")
     local = materialize(placed.mapInPandas(_climb, "scope string, node string, top string, path array<string>"), "climb")
     tops = local.select("scope", F.col("top").alias("node")).distinct()
     # Pointer doubling over the tops only: (node, top, path) with path from below ``top`` down to the node.

@@ -65,11 +65,14 @@ def test_loops_are_reported_not_followed(spark):
     assert t["d"] == ["c", "d"] and t["a"] == ["z", "a"] and t["b"] == ["b"]
 
 
-def test_long_chain_and_hot_parent(spark):
+def test_long_chain_and_hot_parent(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT_PARENT", 20)
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("hub", f"leaf{i}") for i in range(500)]
     ln = links(spark, pairs)
     t = {r.node: r.depth for r in H.hierarchy(ln, H.cycle_nodes(ln)).collect()}
     assert t["n300"] == 300 and t["leaf7"] == 1
+    loop = links(spark, [*pairs, ("leaf3", "hub")])
+    assert {r.node for r in H.cycle_nodes(loop).collect()} == {"hub", "leaf3"}
 
 
 def test_nulls_empty_and_repeats(spark):
