@@ -36,6 +36,8 @@ MAX_WORDS = 50_000
 MIN_COUNT = 3
 MAX_BYTES = 48
 CACHE = 200_000
+#: Texts that are held as id lists at a time.
+SLICE = 1_000
 
 _WORDS = regex.compile(PATTERN)
 
@@ -262,9 +264,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[i : i + SLICE] for b in batches for i in range(0, len(b), SLICE)):
             enc = enc or _encoder(vocabulary, name, source or shared.value)
             ids = enc.encode_batch([None if t is None or t is pd.NA else t for t in pdf["text"]])
             yield pd.DataFrame({"key": pdf["key"], "ids": ids})

@@ -30,6 +30,8 @@ from graphloom.llm import grammar, lexers
 
 LANGUAGES = ("python", "js", "json", "toml")
 _WIDE = 1024
+#: Files that are held as token lists at a time.
+SLICE = 500
 #: Up to so many different shapes are broadcast; more of them are joined by a shuffle.
 MAX_BAD_SHAPES = 20_000
 LEXED = "file_id bigint, lang string, modes int, tokens array<int>, at array<int>, mark array<int>, shapes array<string>, skeleton string, error string, context string"
@@ -56,7 +58,7 @@ def _sources(files: DataFrame) -> DataFrame:
 def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(20_000)
     codes = {lang: _codes(lang) for lang in LANGUAGES}
-    for pdf in batches:
+    for pdf in (b.iloc[i : i + SLICE] for b in batches for i in range(0, len(b), SLICE)):
         out = []
         for i, lang, path, content in zip(pdf["file_id"], pdf["lang"], pdf["path"], pdf["content"]):
             x = lexers.lex(lang, bytes(content))
