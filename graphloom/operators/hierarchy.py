@@ -387,7 +387,28 @@ def descendants(tree: DataFrame) -> DataFrame:
     )
 
 
-def with_descendant_counts(tree: DataFrame) -> DataFrame:
-    """``tree`` with n_descendants, counted with a map-side combine over the ancestors of every path."""
-    n = descendants(tree).groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_descendants"))
+def all_descendants(links: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(scope, node, descendant, distance) over every parent, not only the one a path goes by; distance is the least.
+
+    Links that lead back are left out, so no node is below itself. Pairs are found by doubling: a way of length between
+    2^k and 2^(k+1) goes on from a pair at exactly 2^k, so that in a tree each pair is formed once.
+    """
+    kept = links.join(back_links(links, cycles), ["scope", "parent", "child"], "left_anti")
+    coded, names = encode(kept)
+    known = coded.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1).alias("distance"))
+    for k in range(MAX_DOUBLINGS):
+        far = known.where(F.col("distance") == 1 << k).select("a", F.col("b").alias("m"))
+        on = known.select(F.col("a").alias("m"), "b", "distance")
+        longer = far.join(on, "m").groupBy("a", "b").agg((F.min("distance") + (1 << k)).alias("distance"))
+        new = materialize(longer.join(known, ["a", "b"], "left_anti"), f"pairs-{k}")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    node, below = (names.select(F.col("id").alias(c), "scope", F.col("node").alias(n)) for c, n in (("a", "node"), ("b", "descendant")))
+    return known.join(node, "a").join(below.drop("scope"), "b").select("scope", "node", "descendant", "distance")
+
+
+def with_descendant_counts(tree: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``tree`` with n_descendants, counted over ``pairs``; without them over the ancestors of every path, combined map-side."""
+    n = (descendants(tree) if pairs is None else pairs).groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_descendants"))
     return tree.join(n, ["scope", "node"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("bigint"))

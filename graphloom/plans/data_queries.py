@@ -55,7 +55,25 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_back_links, p2_hierarchy, p2_descendants)}
+def p2_all_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p2_hierarchy`` with the descendants over every parent counted; the path is that over the least parents."""
+    links = _links(spark, sf_dir)
+    cycles = materialize(H.cycle_nodes(links), "cycles")
+    return H.with_descendant_counts(H.hierarchy(links, cycles), H.all_descendants(links, cycles)).select(
+        F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), "root", F.col("depth").cast("bigint").alias("depth"),
+        F.array_join("path", " > ").alias("path"), "n_descendants",
+    )
+
+
+def p2_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descendants over every parent. ``p2_descendants`` follows its statement, which keeps the least parent only."""
+    links = _links(spark, sf_dir)
+    return H.all_descendants(links, materialize(H.cycle_nodes(links), "cycles")).select(
+        F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), "descendant", F.col("distance").cast("bigint").alias("distance")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_back_links, p2_hierarchy, p2_descendants, p2_all_hierarchy, p2_all_descendants)}
 
 _LIVES = f"""
 lives AS (

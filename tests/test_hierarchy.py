@@ -82,3 +82,30 @@ def test_nulls_empty_and_repeats(spark):
     assert [(r.parent, r.child) for r in ln.collect()] == [("a", "a")]
     empty = H.hierarchy_links(e.limit(0))
     assert H.cycle_nodes(empty).count() == 0 and H.hierarchy(empty, H.cycle_nodes(empty)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_descendants_over_every_parent(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [("a", "c"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "y"), ("y", "d"), ("u", "v"), ("v", "u"), ("v", "w"), ("w", "w"), ("w", "d")]
+    pairs += [(f"m{rnd.randrange(i)}", f"m{i}") for i in range(1, 40) for _ in range(2)]
+    ln = links(spark, pairs)
+    cycles = H.cycle_nodes(ln)
+    kept = set(pairs) - {("u", "v"), ("v", "u"), ("w", "w")}
+    want = {}
+    for s in {x for p in kept for x in p}:
+        level, n = {s}, 0
+        while level := {b for a, b in kept if a in level}:
+            n += 1
+            for b in level:
+                want.setdefault((s, b), n)
+    pairs = H.all_descendants(ln, cycles)
+    got = [((r.node, r.descendant), r.distance) for r in pairs.collect()]
+    assert len(got) == len(want) and dict(got) == want and want["a", "d"] == 2 and ("b", "d") in want
+    n = {r.node: r.n_descendants for r in H.with_descendant_counts(H.hierarchy(ln, cycles), pairs).collect()}
+    assert n["b"] == 2 and n["a"] == 4 and n["w"] == 1 and n["u"] == 0
+
+
+def test_no_links_have_no_descendants(spark):
+    ln = links(spark, [("a", "a")])
+    assert H.all_descendants(ln, H.cycle_nodes(ln)).count() == 0
