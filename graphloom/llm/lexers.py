@@ -48,6 +48,9 @@ def lex(lang: str, data: bytes) -> Lexed:
 
 # -- Python ---------------------------------------------------------------------------------------------------------
 _NUMBER = re.compile(tokenize.Number)
+#: Longer integers may be too long to read.
+MAX_DIGITS = 4000
+_PY_ESCAPE = re.compile(r"\\[xuUN]")
 _SOFT = ("match", "case", "type", "_")
 _HEADS = frozenset("if elif else while for try except finally with def class async @".split())
 
@@ -81,6 +84,10 @@ def _python(data: bytes) -> Lexed:
                 line.append((cls, text))
                 if text in ("global", "nonlocal", "__debug__", "__future__"):
                     out.context = text
+                elif cls == "NAME" and not text.isascii() or cls == "NUM" and len(text) > MAX_DIGITS:
+                    out.context = out.context or "name or number"
+                elif cls in ("STR", "FMID") and (_PY_ESCAPE.search(text) or not text.isascii() and "b" in text[:2].lower()):
+                    out.context = out.context or "literal"
     except (tokenize.TokenError, SyntaxError, UnicodeDecodeError, LookupError, ValueError) as e:
         out.error = f"{type(e).__name__}: {e.args[0] if e.args else ''}"[:200]
     if line:
@@ -138,14 +145,19 @@ def _python_line(out: Lexed, line: list[tuple[str, str]], depth: int, skeleton:
     pad = " " * depth
     flags = []
     lambdas = "lambda" in words
+    is_header = head in _HEADS or texts[0] in ("match", "case")
+    if ("yield" in words or "await" in words or "async" in words[1:]) and (lambdas or is_header and words[-1] == ":" or head in ("elif", "except", "@", "def", "class", "async") or texts[0] == "case"):
+        out.context = out.context or "await or yield"  # the skeleton doesn't say in which scope it stands
+    if texts[0] == "match" and words[-1] == ":" or ":=" in words and "for" in words:
+        out.context = out.context or "match or :="  # names and the order of cases decide
     for w, body in (("return", "return"), ("break", "break"), ("continue", "continue"), ("yield", "yield"), ("await", "await x")):
         if w in words and not (w in ("yield", "await") and lambdas):
             flags.append(body)
-    if "return" in words and head == "return" and len(words) > 1:
+    if any(a == "return" and b != ";" for a, b in zip(words, words[1:])):
         flags[flags.index("return")] = "return x"
-    if head == "from" and words[-1] == "*":
+    if "from" in words and ("import", "*") in zip(words, words[1:]):
         flags.append("from x import *")
-    if "yield" in words and "from" in words[words.index("yield") :][:2]:
+    if "yield" in flags and ("yield", "from") in zip(words, words[1:]):
         flags[flags.index("yield")] = "yield from x"
     if "async" in words and head != "async":
         flags.append("[x async for x in y]")
@@ -237,7 +249,7 @@ def _js(data: bytes) -> Lexed:
     stack: list[str] = []
     heads: list[str] = []
     stmt: list[tuple[str, str, bool]] = []
-    declared: list[str] = []
+    declared: tuple[list[str], set[str]] = ([], set())
     prev, value_paren = "START", False
     while True:
         begin = at
@@ -248,6 +260,8 @@ def _js(data: bytes) -> Lexed:
         c = s[at]
         if c == "/" and not (prev in _OPERAND and not (prev == ")" and value_paren)) and (m := jsparse._REGEX.match(s, at)):
             cls, text, at = "REGEX", "/r/" + m[2], m.end()
+            if not jsparse._regex_ok(m[1]):
+                out.context = "regex"
         elif c == "`" or c == "}" and stack and stack[-1] == "${":
             m = jsparse._TPL.match(s, at + 1)
             if not m:
@@ -286,13 +300,15 @@ def _js(data: bytes) -> Lexed:
                         break
             elif kind == "str":
                 cls = "STR"
-                if re.search(r"\\[0-9]", text):
+                if re.search(r"\\[0-9xu]", text):
                     out.context = "escape"
             else:
                 cls = text
         if not stack and stmt and (nl or prev == ";" or prev == "}") and (prev == ";" or cls in _STARTERS and (prev in ("}", ";") or prev in _OPERAND) and not (cls == "while" and stmt[0][0] == "do")):
             _js_statement(out, stmt, declared)
             stmt = []
+            if prev == "}" and not nl:
+                out.context = out.context or "joined"  # right after a block, wrong after an object
         out.add(cls)
         stmt.append((cls, text, nl))
         if cls in ("(", "[", "{"):
@@ -305,13 +321,14 @@ def _js(data: bytes) -> Lexed:
         prev = cls
     if stmt:
         _js_statement(out, stmt, declared)
-    if len(set(declared)) != len(declared):
+    once, hoisted = declared
+    if len(set(once)) != len(once) or not hoisted.isdisjoint(once):
         out.context = out.context or "redeclared"
     out.classes.append("END")
     return out
 
 
-def _js_statement(out: Lexed, stmt: list[tuple[str, str, bool]], declared: list[str]) -> None:
+def _js_statement(out: Lexed, stmt: list[tuple[str, str, bool]], declared: tuple[list[str], set[str]]) -> None:
     names: dict[str, str] = {}
     parts = []
     for cls, text, nl in stmt:
@@ -325,23 +342,61 @@ def _js_statement(out: Lexed, stmt: list[tuple[str, str, bool]], declared: list[
             text = "'s'"
         parts.append(("\n" if nl else " ") + text)
     out.shapes.append("".join(parts).strip())
-    first = [c for c, _, _ in stmt[:3]]
-    texts = [t for _, t, _ in stmt]
-    if first[0] == "export":
-        if "{" in first[1:2] and "from" not in texts:
+    words = [c for c, _, _ in stmt]
+    if words[0] == "export":
+        if {"{", "*"} & set(words[1:2]):
             out.context = out.context or "export"
-        declared += ["export " + texts[3]] if first[1:2] == ["function"] and len(texts) > 3 else []
-        first, texts = first[1:], texts[1:]
-    if first and first[0] in ("const", "let", "class", "function") and len(texts) > 1:
-        declared.append(texts[1])
-        if "," in texts or texts[1] in "[{*":
-            out.context = out.context or ("declarations" if first[0] in ("const", "let") and len(re.findall(r"[,]", " ".join(texts))) > 0 and any(texts[1] in "[{" for _ in (0,)) else "")
-    elif first and first[0] == "async" and len(texts) > 2 and texts[1] == "function":
-        declared.append(texts[2])
-    elif first and first[0] == "import":
-        declared += [t for c, t, _ in stmt if c == "NAME"]
-    if texts and texts[0] == "'use strict'" or texts and texts[0] == '"use strict"':
-        out.context = out.context or ""
+        if words[1:2] == ["default"]:
+            declared[0].append("export default")
+    if stmt[0][1][1:-1] == "use strict":
+        out.context = out.context or "strict"
+    _js_bindings(stmt, declared)
+
+
+def _js_bindings(stmt: list[tuple[str, str, bool]], declared: tuple[list[str], set[str]]) -> None:
+    """Adds the names a statement binds at its top level, those by ``var`` (at any depth, as they may rise) to the set.
+
+    Rather too many than too few: all names of a pattern count, and function expressions like declarations.
+    """
+    once, hoisted = declared
+    n, depth = len(stmt), 0
+    for i, (cls, text, _) in enumerate(stmt):
+        if cls in ("(", "[", "{", "THEAD"):
+            depth += 1
+        elif cls in (")", "]", "}", "TTAIL"):
+            depth -= 1
+        elif cls == "import" and not i:
+            once += sorted({t for c, t, _ in stmt if _js_name(c)})
+        elif not depth and cls in ("function", "class"):
+            k = i + 2 if i + 1 < n and stmt[i + 1][0] == "*" else i + 1
+            if k < n and _js_name(stmt[k][0]):
+                once.append(stmt[k][1])
+        elif cls == "var" or not depth and cls in ("let", "const"):
+            names: set[str] = set()
+            inner, pattern, begins = 0, False, True
+            for c, t, nl in stmt[i + 1 :]:
+                if c in (")", "]", "}", "TTAIL"):
+                    inner -= 1
+                    if inner < 0:
+                        break
+                    pattern = pattern and inner > 0
+                    continue
+                if not inner and (c == ";" or nl and c in _STARTERS):
+                    break
+                if c in ("(", "[", "{", "THEAD"):
+                    pattern = pattern or begins
+                    inner += 1
+                elif (begins or pattern) and _js_name(c):
+                    names.add(t)
+                begins = not inner and c == ","
+            if cls == "var":
+                hoisted |= names
+            else:
+                once += sorted(names)
+
+
+def _js_name(cls: str) -> bool:
+    return cls == "NAME" or cls.isalpha() and cls.islower() and cls not in jsparse.RESERVED
 
 
 def js_modes(path: str) -> tuple[str, ...]:
@@ -415,8 +470,8 @@ def _toml(data: bytes) -> Lexed:
     at, depth, began = 0, 0, 0
     line: list[str] = []
     key_side = True
-    paths: list[str] = []
-    where = ""
+    paths: list[tuple[str, tuple[str, ...]]] = []
+    where: tuple[str, ...] = ()
     while at < len(s):
         m = _TOML.match(s, at)
         if not m:
@@ -453,25 +508,42 @@ def _toml(data: bytes) -> Lexed:
         line.append(text)
     if line:
         _toml_line(out, s[began:], line, paths, where)
-    if len(set(paths)) != len(paths) or any(b.startswith(a + ".") for a, b in zip(sorted(paths), sorted(paths)[1:])):
+    if _toml_undecided(paths):
         out.context = "keys"
     out.classes.append("END")
     return out
 
 
-def _toml_line(out: Lexed, raw: str, line: list[str], paths: list[str], where: str) -> str:
+def _toml_line(out: Lexed, raw: str, line: list[str], paths: list[tuple[str, tuple[str, ...]]], where: tuple[str, ...]) -> tuple[str, ...]:
     out.shapes.append(raw.strip())
-    if line[0] == "[[":
-        return f"{'.'.join(x for x in line[1:-1] if x != '.')}#{len(paths)}"
-    if line[0] == "[":
-        where = ".".join(x.strip("'\"") for x in line[1:-1] if x != ".")
-        paths.append(where + ".")
-        return where
-    key = line[: line.index("=")] if "=" in line else line
-    paths.append(where + "/" + ".".join(x.strip("'\"") for x in key if x != "."))
+    if line[0] in ("[", "[["):
+        where = _toml_key(line[1:-1])
+        paths.append((line[0], where))
+        return where if line[0] == "[" else (*where, f"#{len(paths)}")
+    key = _toml_key(line[: line.index("=")] if "=" in line else line)
+    paths.append(("=", where + key))
+    paths += [(".", where + key[:i]) for i in range(1, len(key))]
+    if any("\\" in x for x in line if x[0] == '"') and any("\\" in x for x in key):
+        out.context = "keys"
     return where
 
 
+def _toml_key(parts: list[str]) -> tuple[str, ...]:
+    """The parts of a key; a bare part may hold dots, as numbers do."""
+    return tuple(y for x in parts if x != "." for y in ([x[1:-1]] if x[0] in "'\"" else x.split(".")))
+
+
+def _toml_undecided(paths: list[tuple[str, tuple[str, ...]]]) -> bool:
+    """Whether a key or table is named twice, or below what is no plain table: only the exact check knows which may be."""
+    keys, dotted = [p for k, p in paths if k == "="], {p for k, p in paths if k == "."}
+    tables, arrays = [p for k, p in paths if k == "["], {p for k, p in paths if k == "[["}
+    taken = {*keys, *tables}
+    if len(taken) != len(keys) + len(tables) or not dotted.isdisjoint(taken) or not arrays.isdisjoint(taken | dotted):
+        return True
+    closed = {*keys, *arrays, *dotted}  # nothing but their own keys may follow
+    return any(p[:i] in closed for k, p in paths if k != "." for i in range(1, len(p)) if k != "=" or p[:i] not in dotted and p[:i] not in arrays)
+
+
 def toml_error(data: bytes | str) -> str | None:
     import tomllib
 

@@ -83,6 +83,31 @@ def test_method_finds_what_the_exact_check_finds(spark):
     assert rates[("r", "toml")] == (len(TEXTS["toml"][0]) + len(TEXTS["toml"][1]), len(TEXTS["toml"][1]))
 
 
+UNSEEN = {
+    "py": [
+        'x = "C:\\Users\\x"\n', 'x = "\\x1"\n', 'x = f"{a}\\N{nope}"\n', "x = b'\u00e9'\n", "def f():\n    g = lambda: 1; await x\n", "x = [lambda: 1, (yield)]\n", "if a:\n    pass\nelif await x:\n    pass\n", "try:\n    pass\nexcept (yield):\n    pass\n",
+        "match x:\n    case a:\n        pass\n    case 1:\n        pass\n", "match x:\n    case 1 if (await y):\n        pass\n", "async def h():\n    x = lambda: 1; y = yield from z\n", "async def f(a=await x): pass\n", "@(yield)\ndef f(): pass\n", "async def f():\n    yield 1\n    if a: return 2\n",
+        "class C:\n    x = [(y := 1) for z in w]\n", "def f():\n    import a; from b import *\n", f"x = {'1' * 5000}\n", "async def f():\n    return lambda: [i async for i in x]\n",
+    ],
+    "mjs": [
+        "let a; var a", "let a=1, b=2; let b", "const {a}=x, {a:b}=y; let b", "var {a}=x; let a", "{var z} const z=1", "let a; for(var [a] of b);", "import {c as d} from 'b'; const d=1", "export const a=1; export {a}", "export default 1; export default 2", "label: function h(){}\nlet h;",
+        "x = {} const y = 1", "'\\x1'", "/(/", "let of; let of", "export * as a from 'b'; export {a} from 'c'",
+    ],
+    "cjs": ["'use strict'; with(a){}", "class A{}\nvar A;", "let a\nif (b) function a(){}"],
+    "toml": ["a.b = 1\n[a]\n", "[p]\na.b=1\n[q]\n[p.a]\n", "a={b=1}\n[a.c]\n", "a=1\na-b=1\na.c=1\n", "[[x]]\ny=1\n[x.y]\n", "'a'=1\na=2\n", '"\\u0061"=1\na=2\n', "a=[1]\n[[a]]\n", "[fruit]\napple.color=1\n[fruit.apple]\n", "[x]\na=1\n[z]\n[x.a.b]\n"],
+}
+
+
+def test_errors_that_shapes_do_not_show_are_undecided(spark):
+    cases = [(ext, t.encode()) for ext, ts in UNSEEN.items() for t in ts]
+    for ext, t in cases:
+        assert lexers.file_error(lexers.EXTENSIONS[ext], f"x.{ext}", t) is not None, (ext, t)
+    good = [("py", b"x = '\\x41'\n"), ("py", b"match x:\n    case 1:\n        pass\n    case _:\n        pass\n"), ("py", b"async def f():\n    g = lambda: 1; await x\n"), ("py", b"def f():\n    g = lambda: (yield from x); yield\n"), ("mjs", b"let a; function f(){var a}"), ("toml", b"[a]\nb=1\n[a.c]\nd.e=1\nd.f=2\n[[x]]\ny=1\n[[x]]\ny=2\n")]
+    df = spark.createDataFrame([(i, "r", f"a/f{i}.{ext}", bytearray(t)) for i, (ext, t) in enumerate(cases + good)], SCHEMA)
+    got = {r.file_id for r in syntax.invalid_files(df).collect()}
+    assert got == set(range(len(cases))), [(cases + good)[i] for i in got ^ set(range(len(cases)))]
+
+
 def test_empty_table(spark):
     assert syntax.invalid_files(spark.createDataFrame([], SCHEMA)).count() == 0
 
