@@ -483,6 +483,16 @@ def _second(spark, d):
     return q.join(v, "l").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("qid", "vid", "rank")
 
 
+def _second_all(spark, d):
+    """``_second`` over every stored row. Within a label the order is by id only, so ten rows of each label are enough."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("vid"), F.col("label").alias("l"))
+    by_id = Window.partitionBy("l").orderBy("vid")
+    least = e.withColumn("n", F.row_number().over(by_id)).where("n <= 10").drop("n")
+    q = e.where("vid % 20 = 0").select(F.col("vid").alias("qid"), F.explode(F.array(F.struct("l", F.lit(0.9).alias("s")), F.struct((F.col("l") + 1).alias("l"), F.lit(0.5).alias("s")))).alias("x")).select("qid", "x.l", "x.s")
+    w = Window.partitionBy("qid").orderBy(F.desc("s"), "vid")
+    return q.join(least, "l").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("qid", "vid", "rank")
+
+
 @query(
     f"""WITH {_TOP}, {_SECOND}, u AS (SELECT qid, vid, rank, 'vector' AS source FROM tv UNION ALL SELECT qid, vid, rank, 'graph' FROM sl WHERE rank <= 10),
       f AS (SELECT qid, vid AS entity, round(sum(1::DOUBLE / (60 + rank)), 8) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY 1, 2)
@@ -494,6 +504,14 @@ def hybrid_rrf(spark, d):
     return R.rrf(("vector", v), ("graph", g)).where("rank <= 10").select("qid", "entity", "score", "sources", big("rank"))
 
 
+@query()
+def hybrid_rrf_all(spark, d):
+    """``hybrid_rrf``, whose statement lets only every seventh row into the second list, with all rows in both lists."""
+    v = _top(spark, d).select("qid", F.col("vid").alias("entity"), "rank")
+    g = _second_all(spark, d).withColumnRenamed("vid", "entity")
+    return R.rrf(("vector", v), ("graph", g)).where("rank <= 10").select("qid", "entity", "score", "sources", big("rank"))
+
+
 @query(
     f"""WITH {_TOP}, u AS (SELECT qid, vid // 2 AS entity, rank FROM tv)
       SELECT qid, entity, round(sum(1::DOUBLE / (60 + rank)), 8) AS score, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) > 1"""
