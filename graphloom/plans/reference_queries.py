@@ -623,47 +623,74 @@ _LINES = r"string_split(replace(replace(source_code, chr(13) || chr(10), chr(10)
 
 
 @query(f"SELECT evidence_id, array_to_string({_LINES}[2:3], chr(10)) AS part, CAST(len({_LINES}) - CASE WHEN {_LINES}[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM evidence WHERE source_code IS NOT NULL AND NOT regexp_matches(source_code, '[\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AND NOT ends_with(source_code, chr(10)) AND NOT ends_with(source_code, chr(13))")
-def chunk_slice(spark, d):
+def chunk_slice(spark, d, whole=False):
     c = F.col("source_code")
-    t = table(spark, d, "evidence").where(c.isNotNull() & ~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]") & ~c.endswith("\n") & ~c.endswith("\r"))
+    t = table(spark, d, "evidence").where(c.isNotNull())
+    t = t if whole else t.where(~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]") & ~c.endswith("\n") & ~c.endswith("\r"))
     return t.select("evidence_id", X.line_slice(c, F.lit(1), F.lit(2)).alias("part"), F.size(X.lines(c)).cast("bigint").alias("n_lines"))
 
 
+@query()
+def chunk_slice_all(spark, d):
+    """``chunk_slice``, whose statement leaves out texts that end in a line end or hold rarer ones, on every text."""
+    return chunk_slice(spark, d, whole=True)
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT regexp_matches(text, '[\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')),
       h AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS rn FROM l WHERE contains(lower(line), 'snapshot') OR contains(lower(line), 'manifest'))
       SELECT doc_id, no, line FROM h WHERE rn <= 5""")
-def keyword_scan(spark, d):
+def keyword_scan(spark, d, whole=False):
     """The first five lines of each document with one of the words."""
     c = F.col("text")
-    t = table(spark, d, "documents").where(c.isNotNull() & ~c.contains("\r") & ~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]"))
+    t = table(spark, d, "documents").where(c.isNotNull())
+    t = t if whole else t.where(~c.contains("\r") & ~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]"))
     hits = F.filter(F.transform(X.lines(c), lambda x, i: F.struct((i + 1).cast("bigint").alias("no"), x.alias("line"))), lambda s: F.lower(s["line"]).contains("snapshot") | F.lower(s["line"]).contains("manifest"))
     return t.select("doc_id", F.explode(F.slice(hits, 1, 5)).alias("h")).select("doc_id", "h.no", "h.line")
 
 
+@query()
+def keyword_scan_all(spark, d):
+    """``keyword_scan``, whose statement knows one line end only, on every document."""
+    return keyword_scan(spark, d, whole=True)
+
+
 _SYM = r"""ln0 AS (SELECT doc_id, no, unnest(string_split_regex(line, '[^\p{L}\p{M}\p{N}_]+')) AS sym FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)))),
       sy AS (SELECT doc_id, no, sym FROM ln0 WHERE regexp_full_match(sym, '[A-Z][a-zA-Z0-9_]+') AND regexp_matches(sym, '(Graph|Store|Index|Queue|Cache|Router|Parser|Scanner)$'))"""
 SUFFIXES = ("Graph", "Store", "Index", "Queue", "Cache", "Router", "Parser", "Scanner")
 
 
-def _doc_symbols(spark, d):
-    t = table(spark, d, "documents").where("text is not null and not contains(text, '\r')").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+def _doc_symbols(spark, d, whole=False):
+    """``whole`` takes documents with any line ends; the statements split at chr(10) and leave out those with chr(13)."""
+    t = table(spark, d, "documents").where("text is not null")
+    t = t if whole else t.where("not contains(text, '\r')")
+    t = t.select("doc_id", F.posexplode(X.lines(F.col("text")) if whole else F.split("text", "\n")).alias("no", "line"))
     s = t.select("doc_id", "no", F.explode(X.symbols(F.col("line"))).alias("sym"))
     return s.where(F.exists(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.endswith(F.col("sym"), x)))
 
 
 @query(f"WITH {_SYM} SELECT sym, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM sy GROUP BY 1")
-def symbol_mentions(spark, d):
-    return _doc_symbols(spark, d).groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+def symbol_mentions(spark, d, whole=False):
+    return _doc_symbols(spark, d, whole).groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query()
+def symbol_mentions_all(spark, d):
+    return symbol_mentions(spark, d, whole=True)
 
 
 @query(f"WITH {_SYM}, s AS (SELECT DISTINCT doc_id, no, sym FROM sy) SELECT a.sym AS a, b.sym AS b, count(*) AS n FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.no = b.no AND a.sym <> b.sym GROUP BY 1, 2")
-def symbol_comention(spark, d):
+def symbol_comention(spark, d, whole=False):
     """Ordered pairs of different symbols of one line; formed inside the line's own array, so nothing is joined."""
-    per = _doc_symbols(spark, d).groupBy("doc_id", "no").agg(F.collect_set("sym").alias("s")).where("size(s) > 1")
+    per = _doc_symbols(spark, d, whole).groupBy("doc_id", "no").agg(F.collect_set("sym").alias("s")).where("size(s) > 1")
     pairs = F.filter(F.flatten(F.transform("s", lambda x: F.transform("s", lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda p: p["a"] != p["b"])
     return per.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def symbol_comention_all(spark, d):
+    return symbol_comention(spark, d, whole=True)
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')), lambda t: length(t) >= 2)) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '[a-z_][a-z0-9_]')")
 def token_counts(spark, d):
     t = table(spark, d, "documents").where(F.col("text").isNotNull() & F.lower("text").rlike("[a-z_][a-z0-9_]"))
@@ -773,12 +800,12 @@ _DRIFT = f"""WITH {_GRAPH}, {_SYM}, s AS (SELECT DISTINCT d.repository_id, sy.do
 
 
 @query(_DRIFT)
-def doc_drift(spark, d):
+def doc_drift(spark, d, whole=False):
     """Relations that documents state against relations of the code: found, contradicted, or unknown."""
     n, e = graph_of(spark, d)
     name = n.select("repository_id", "id", F.lower("name").alias("nm"))
     code = e.where("rel in ('CALLS', 'INHERITS')").join(name.select("repository_id", F.col("id").alias("src"), F.col("nm").alias("ks")), ["repository_id", "src"]).join(name.select("repository_id", F.col("id").alias("dst"), F.col("nm").alias("kd")), ["repository_id", "dst"]).select("repository_id", "ks", "kd").distinct()
-    s = _doc_symbols(spark, d).groupBy("doc_id", "no").agg(F.array_sort(F.collect_set("sym")).alias("s")).where("size(s) > 1")
+    s = _doc_symbols(spark, d, whole).groupBy("doc_id", "no").agg(F.array_sort(F.collect_set("sym")).alias("s")).where("size(s) > 1")
     pairs = F.filter(F.flatten(F.transform("s", lambda x: F.transform("s", lambda y: F.struct(x.alias("src"), y.alias("dst"))))), lambda p: p["src"] < p["dst"])
     doc = s.select("doc_id", F.explode(pairs).alias("p")).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "p.src", "p.dst").distinct()
     doc = doc.withColumn("ks", F.lower("src")).withColumn("kd", F.lower("dst"))
@@ -786,14 +813,24 @@ def doc_drift(spark, d):
     return j.select("repository_id", "src", "dst", F.when(F.col("m") == 1, "MATCH").when(F.col("c") == 1, "CONFLICT").otherwise("MISSING").alias("status"))
 
 
+@query()
+def doc_drift_all(spark, d):
+    return doc_drift(spark, d, whole=True)
+
+
 @query(f"WITH {_NODES}, {_SYM}, s AS (SELECT DISTINCT repository_id, sym FROM sy JOIN documents USING (doc_id)), k AS (SELECT repository_id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS nm, min(cid) AS id FROM ln WHERE label = 'Class' GROUP BY 1, 2) SELECT s.repository_id, sym, k.id FROM s JOIN k ON k.repository_id = s.repository_id AND k.nm = lower(regexp_replace(sym, '[^A-Za-z0-9]', '', 'g'))")
-def symbol_map(spark, d):
+def symbol_map(spark, d, whole=False):
     norm = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    s = _doc_symbols(spark, d).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "sym").distinct().withColumn("nm", norm("sym"))
+    s = _doc_symbols(spark, d, whole).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "sym").distinct().withColumn("nm", norm("sym"))
     k = nodes_of(spark, d).where("label = 'Class'").groupBy("repository_id", norm("name").alias("nm")).agg(F.min("id").alias("id"))
     return s.join(k, ["repository_id", "nm"]).select("repository_id", "sym", "id")
 
 
+@query()
+def symbol_map_all(spark, d):
+    return symbol_map(spark, d, whole=True)
+
+
 # -- events: spans, latencies, transitions, budgets (A10-A15, A23, A24, F20-F22, F26, W6-W8, W10, W11, M36) -----------
 @query("SELECT user_id, count(*) AS n_spans, round(sum(value), 4) AS total, CASE WHEN bool_or(event_type = 'error') THEN 'ERROR' ELSE 'OK' END AS status FROM events GROUP BY 1")
 def trace_summary(spark, d):
