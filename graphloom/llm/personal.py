@@ -55,6 +55,7 @@ _SPELLED = re.compile(r"\sdot\s|[\[({]\s*(?:dot|punkt|punto|point|\.)\s*[\])}]",
 #: Between groups of digits; a line end counts as a blank, as text may be wrapped inside a number.
 _SEP = r"(?:\r\n|[\s.\-/])"
 _PHONE = re.compile(rf"(?:(?:\+|00)[1-9]\d{{0,2}}{_SEP}?)?(?:\(0?\d{{1,5}}\){_SEP}?)?\d{{1,8}}(?:{_SEP}\(?\d{{1,8}}\)?){{0,6}}")
+_GROUP = re.compile(r"\D*\d+")
 #: Words before a number that make it something else than a phone number.
 _NO_PHONE = re.compile(r"(?i)\b(?:range|ticket|build|release|version|port|rows?|lines?|ids?|offset|step|from|between|dated?|isbn|order|invoice|trace)[\s:#]+\Z")
 _ID_CUE = (
@@ -143,7 +144,8 @@ class Finder:
                         continue
                     m = self._phone(text, at)
                     if m:
-                        digits_to = m[1]
+                        # A number may stand behind another; a run that is none goes on at its next group of digits.
+                        digits_to = m[1] if m[2] else _GROUP.match(text, at).end()
                         if m[2]:
                             spans.add((m[0], m[1], "phone"))
                     continue

@@ -61,3 +61,11 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as found", "2 as kind")
     assert sorted(tuple(r) for r in P.found(df).collect()) == [(1, "email", "a@b.example"), (6, "email", "a@b.example"), (7, "email", "a@b.example")]
     assert P.found(df.limit(0)).count() == 0
+
+
+def test_phone_behind_another_number():
+    f = P.Finder()
+    for text, number in (("on 2024-05-01 030 1234567 ok", "030 1234567"), ("Room 12 0171 2345678", "0171 2345678"), ("version 3 0171 2345678", "0171 2345678")):
+        assert [text[a:b] for a, b, k in f.find(text) if k == "phone"] == [number]
+    for text in ("range 1000 2000 3000", "ticket 030 1234567", "rows 12 345 678 901", "2024-05-01 12 30 45"):
+        assert not f.find(text)
