@@ -16,6 +16,7 @@ first, the longer of two; texts are searched whole.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -98,6 +99,15 @@ _NOT_NAME = frozenset("The This That These A An In On At If It We I No Yes Not A
 _SIGN_OFF = re.compile(r"(?:thanks|thank you|regards|best regards|kind regards|cheers|best|viele grüße|mit freundlichen grüßen|gruß|saludos|un saludo|cordialement|bien à vous|merci|gracias|danke),?[ \t]*(?:\r\n|\r|\n|[ \t])[ \t]*\Z", re.I)
 
 
+#: Parts of addresses that are no person's.
+_ROLES = frozenset("support team info data admin sales help service services contact office hr billing security dev ops build release noreply reply platform core web mail list lists group news press legal jobs careers customer desk help helpdesk system server test user api bot docs abuse privacy marketing finance research engineering infra storage search index query graph store".split())
+
+
+def _plain(word: str) -> str:
+    """Lower case, without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ß", "ss").replace("ø", "o")) if not unicodedata.combining(c))
+
+
 def _gap_class() -> str:
     return _GAP
 
@@ -155,6 +165,9 @@ class Finder:
                     got = getattr(self, "_" + kind)(text, at, n)
                 if got:
                     spans.add(got)
+        for start, end, kind in [x for x in spans if x[2] == "email"]:
+            taken = [x for x in spans if x[2] == "name"]
+            spans.update(x for x in self._beside(text, start, end) if all(x[1] <= y[0] or y[1] <= x[0] for y in taken))
         return _settle(spans)
 
     # -- e-mail -------------------------------------------------------------------------------------------------
@@ -303,6 +316,23 @@ class Finder:
             return self._name_at(text, at)
         return None
 
+    def _beside(self, text: str, start: int, end: int):
+        """Names on the line of an e-mail address whose local part is made of them: given name or initial, and surname."""
+        parts = [p for p in re.split(r"[^a-z]+", _plain(re.split(r"@|[\s(\[{<]+at\b", text[start:end], maxsplit=1, flags=re.I)[0])) if p and p != "dot"]
+        joined = "".join(parts)
+        if len(joined) < 4 or not _ROLES.isdisjoint(parts):
+            return
+        left, right = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1, re.compile(r"[\r\n]|\Z").search(text, end).start()
+        left, right = max(left, start - 80), min(right, end + 80)
+        for m in re.compile(r"(?<![\w@.'’/-])[A-ZÀ-ÖØ-Þ]").finditer(text, left, right):
+            got = self._name_at(text, m.start())
+            if not got or got[1] > right or got[0] < end and got[1] > start or "," in text[got[0] : got[1]]:
+                continue
+            words = [_plain(w) for w in re.findall(r"[^\W\d_]+", text[got[0] : got[1]])]
+            given, surname = words[0], words[-1]
+            if len(surname) > 1 and _ROLES.isdisjoint(words) and joined in (given + surname, given[0] + surname, given + surname[0], surname + given, surname + given[0], "".join(words)):
+                yield got
+
     def _titled(self, text: str, at: int, n: int):
         if at and (text[at - 1].isalnum() or text[at - 1] in "_@.-/") or not text[at].isupper():
             return None

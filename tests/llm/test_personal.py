@@ -69,3 +69,10 @@ def test_phone_behind_another_number():
         assert [text[a:b] for a, b, k in f.find(text) if k == "phone"] == [number]
     for text in ("range 1000 2000 3000", "ticket 030 1234567", "rows 12 345 678 901", "2024-05-01 12 30 45"):
         assert not f.find(text)
+
+
+def test_names_beside_their_email_need_no_list():
+    for text, name in (("ask Zuzana Kovač <zuzana.kovac@x.example> for it", "Zuzana Kovač"), ("tkowalski@x.example (Tadeusz Kowalski)", "Tadeusz Kowalski"), ("Write to Oluwaseun A. Adeyemi, adeyemi.oluwaseun@x.example", "Oluwaseun A. Adeyemi")):
+        assert [v for k, v in found(text) if k == "name"] == [name]
+    for text in ("Support Team <support.team@x.example>", "Zuzana Kovač\nand anna@x.example", "Node Cache uses a.b@x.example", "Query Router query.router@x.example"):
+        assert [v for k, v in found(text) if k == "name"] == []
