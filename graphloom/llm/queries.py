@@ -120,4 +120,8 @@ def p7_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES |= {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p4_rates, p7_found, p7_reasons, p7_repositories)}
+def p7_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.shared_rules(_files(spark, sf_dir))
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p4_rates, p7_found, p7_reasons, p7_repositories, p7_shared_rules)}

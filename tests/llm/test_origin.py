@@ -66,3 +66,28 @@ def test_operator(spark):
     odd = spark.createDataFrame([(1, "r", "bin.js", bytearray(bytes(range(256)) * 4)), (2, "r", "q.py", bytearray(b"'''open"))], FILES)
     assert O.reasons(odd, up).count() == 2
     assert {r.file_id for r in O.reasons(files, up.limit(0)).where("size(reasons) > 0").collect()} == {3, 4, 5, 6, 8, 16}
+
+
+def test_grammar_decides(spark, monkeypatch):
+    """High rule reuse needs no notice, a notice on code without reuse says nothing, and without Re-Pair the rows change."""
+    silent = GENERATED.split("\n", 1)[1]
+    table = "# kept by hand\n" + silent
+    words = "# Code generated by tool. DO NOT EDIT.\n" + HAND
+    loud = "DATA = (\n" + '    "the same words again and again, "\n' * 60 + ")\n"
+    rows = [(1, silent), (2, table), (3, words), (4, BLOB), (5, loud + "# kept by hand\n")]
+    feats = {i: O.features(i, "r", "python", "a/x.py", c.encode()) for i, c in rows}
+    files = spark.createDataFrame([(i, "r", "a/x.py", bytearray(c.encode())) for i, c in rows], FILES)
+    up = spark.createDataFrame([], UP)
+    got = {r.file_id: r.reasons for r in O.reasons(files, up).collect() if r.reasons}
+    assert got == {1: ["generated"], 4: ["blob"]}
+    monkeypatch.setattr(O, "repair", lambda tokens, least=2: (len(tokens), [], 0))
+    without = {i: O.features(i, "r", "python", "a/x.py", c.encode()) for i, c in rows}
+    reuse = O._COLUMNS.index("reuse")
+    assert feats[1][reuse] >= O.REUSE["python"][1] > O.REUSE["python"][0] > without[1][reuse]
+
+
+def test_shared_rules(spark):
+    files = spark.createDataFrame([(i, r, "a/x.py", bytearray(GENERATED.encode())) for i, r in ((1, "r"), (2, "q"), (3, "q"))], FILES)
+    got = O.shared_rules(files).collect()
+    assert {r.file_id for r in got} == {1, 2, 3} and all(r.most == 2 and r.n_shared == r.n_rules > 0 for r in got)
+    assert O.shared_rules(files.limit(0)).count() == 0
