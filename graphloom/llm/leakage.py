@@ -1,18 +1,19 @@
 """Evaluation texts leaking into training text (problem 9).
 
-Method: a distributed positional inverted index. One pass counts how often each term of the test items occurs in the
-corpus. For every window of ``WORDS`` consecutive item words the two rarest terms are the window's anchors, and the
-postings (term, document, position) of all anchor terms are stored. Their lists are intersected after adjusting offsets;
-the diagonals that survive are checked word by word in the documents they lie in. Runs of matching words of at least
-``WORDS`` are exact phrase matches; items whose words come back in order with gaps are proximity matches.
-
-Terms that are no anchor of any window (the frequent ones) are counted but not stored: no lookup would ever read them.
+Method: a distributed positional inverted index. ``build_index`` reads the corpus once and stores a posting (word, doc_id,
+pos) for every token of every document, sorted by word inside each shard; a shard holds the documents of one partition, so
+nothing is shuffled to build it. All searches read that table only, over any number of item sets: term counts come from its
+word column; for every window of ``WORDS`` consecutive item words the two rarest terms are the window's anchors, whose
+lists are intersected after adjusting offsets; the diagonals that survive are checked word by word against the postings of
+the documents they lie in. Runs of matching words of at least ``WORDS`` are exact phrase matches; items whose words come back
+in order with gaps are proximity matches.
 
 Test items are a small table by nature, but its size is checked: only up to ``MAX_BROADCAST`` item words are broadcast;
-beyond that the same joins shuffle.
+beyond that the same joins shuffle, with ``SALTS`` parts of the postings of each word, as a frequent one may be a large share.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than ``WORDS`` words has no window; repeated
-items are items of their own; the same passage twice in a document gives one pair; words are compared in lower case.
+items are items of their own; the same passage twice in a document gives one pair; words are compared in lower case; other
+columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from graphloom.catalog import materialize
 
 WORDS = 13
 MAX_BROADCAST = 2_000_000
+SALTS = 32
 #: Share of an item's words that must come back, within so many words of a diagonal, for a proximity match.
 COVER, DRIFT = 0.6, 20
 
@@ -37,8 +39,18 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST else df
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "word"))
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored postings (word, doc_id, pos) of all documents."""
+    tokens = docs.where("text is not null").select("doc_id", F.posexplode(words("text")).alias("pos", "word"))
+    return materialize(tokens.select("word", "doc_id", "pos").sortWithinPartitions("word", "doc_id", "pos"), "positional-index")
+
+
+def _of_words(index: DataFrame, by_word: DataFrame, n: int) -> DataFrame:
+    """The join of postings with a table keyed by word that has up to ``n`` rows."""
+    if n <= MAX_BROADCAST:
+        return index.join(F.broadcast(by_word), "word")
+    salted = by_word.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["word", "salt"]).drop("salt")
 
 
 def _item_words(items: DataFrame) -> tuple[DataFrame, int]:
@@ -48,12 +60,11 @@ def _item_words(items: DataFrame) -> tuple[DataFrame, int]:
     return out, out.count()
 
 
-def _anchors(docs: DataFrame, item_words: DataFrame, n: int, width: int) -> DataFrame:
+def _anchors(index: DataFrame, item_words: DataFrame, n: int, width: int) -> DataFrame:
     """The two rarest terms of the windows of item words: (item_id, word, ipos, word2, shift, reach), shift from the first
     to the second, reach the item positions of all windows with these two. A window with a term the corpus lacks is no
     anchor: nothing can match it."""
-    terms = _small(item_words.select("word").distinct(), n)
-    freq = _tokens(docs).join(terms, "word").groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    freq = _of_words(index.select("word", "doc_id"), item_words.select("word").distinct(), n).groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
     known = item_words.join(freq, "word", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
     w = Window.partitionBy("item_id").orderBy("ipos").rowsBetween(0, width - 1)
     two = known.select(
@@ -65,29 +76,25 @@ def _anchors(docs: DataFrame, item_words: DataFrame, n: int, width: int) -> Data
     return two.groupBy("item_id", "word", "ipos", "word2", "shift").agg(F.collect_set("r").alias("reach"))
 
 
-def _index(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
-    """The postings (word, doc_id, pos) of all anchor terms."""
-    terms = anchors.select("word").unionByName(anchors.select(F.col("word2").alias("word"))).distinct()
-    return materialize(_tokens(docs).join(_small(terms, n), "word").select("word", "doc_id", "pos"), "postings")
-
-
-def _diagonals(postings: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
+def _diagonals(index: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     """(doc_id, item_id, diag, reach): document position less item position, where both rarest terms of a window agree,
     and the item positions of those windows."""
-    first = postings.join(_small(anchors, n), "word").select(
+    terms = anchors.select("word").unionByName(anchors.select(F.col("word2").alias("word"))).distinct()
+    postings = materialize(_of_words(index, terms, n), "anchor-postings")
+    first = _of_words(postings, anchors, n).select(
         "doc_id", "item_id", "reach", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("pos") + F.col("shift")).alias("pos"), F.col("word2").alias("word")
     )
     return first.join(postings, ["doc_id", "pos", "word"], "left_semi").select("doc_id", "item_id", "diag", "reach")
 
 
-def _agreeing(docs: DataFrame, items: DataFrame, width: int, whole: bool) -> DataFrame:
+def _agreeing(index: DataFrame, items: DataFrame, width: int, whole: bool) -> DataFrame:
     """(doc_id, item_id, diag, ipos, n_words): item positions whose word stands in the document on a diagonal that two
     anchors of a window of ``width`` words share; positions of such windows only, or of the ``whole`` item."""
     item_words, n = _item_words(items)
-    anchors = materialize(_anchors(docs, item_words, n, width), "anchors")
-    diagonals = materialize(_diagonals(_index(docs, anchors, n), anchors, n), "diagonals")
+    anchors = materialize(_anchors(index, item_words, n, width), "anchors")
+    diagonals = materialize(_diagonals(index, anchors, n), "diagonals")
     hit = diagonals.select("doc_id").distinct()
-    there = _tokens(docs.join(_small(hit, hit.count()), "doc_id", "left_semi"))
+    there = index.join(_small(hit, hit.count()), "doc_id", "left_semi")
     if whole:
         wanted = diagonals.select("doc_id", "item_id", "diag").distinct().join(_small(item_words, n), "item_id")
     else:
@@ -96,9 +103,9 @@ def _agreeing(docs: DataFrame, items: DataFrame, width: int, whole: bool) -> Dat
     return wanted.join(there, ["doc_id", "pos", "word"], "left_semi").drop("word")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, doc_from, item_from, n_words): maximal runs of at least ``width`` item words in a document."""
-    agree = _agreeing(docs, items, width, whole=False)
+def phrase_matches(index: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
+    """(doc_id, item_id, doc_from, item_from, n_words): maximal runs of at least ``width`` item words in an indexed document."""
+    agree = _agreeing(index, items, width, whole=False)
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("ipos")
     runs = agree.withColumn("run", F.col("ipos") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "run")
     return runs.agg(F.min("ipos").alias("item_from"), F.count(F.lit(1)).cast("int").alias("n_words")).where(F.col("n_words") >= width).select(
@@ -106,17 +113,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WORDS) -> Dat
     )
 
 
-def leaked_pairs(docs: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
-    return phrase_matches(docs, items, width).select("doc_id", "item_id").distinct()
+def leaked_pairs(index: DataFrame, items: DataFrame, width: int = WORDS) -> DataFrame:
+    return phrase_matches(index, items, width).select("doc_id", "item_id").distinct()
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, cover: float = COVER, drift: int = DRIFT) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, cover: float = COVER, drift: int = DRIFT) -> DataFrame:
     """(doc_id, item_id, cover): items of which at least ``cover`` of the words stand in a document close to one diagonal.
 
     Candidates come from windows of five words, so a passage with words put in or changed every few words is found;
     matches of diagonals in the same band of ``drift`` words add up, each item word once.
     """
-    agree = _agreeing(docs, items, 5, whole=True)
+    agree = _agreeing(index, items, 5, whole=True)
     band = F.explode(F.array(F.floor(F.col("diag") / drift), F.floor(F.col("diag") / drift) + 1))
     near = agree.withColumn("band", band).groupBy("doc_id", "item_id", "band", "n_words").agg(F.countDistinct("ipos").alias("hits"))
     share = near.groupBy("doc_id", "item_id").agg(F.max(F.col("hits") / F.col("n_words")).alias("cover"))

@@ -23,15 +23,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_pairs(leakage.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.phrase_matches(leakage.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.proximity_matches(leakage.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
