@@ -36,8 +36,11 @@ def test_forest_offsets():
     assert all(bad for *_, bad in f.rows())
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_cycles_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "group", "most"), [(1, 50_000, 2_000_000), (2, 4, 2_000_000), (3, 10, 5), (4, 1, 1)])
+def test_cycles_against_brute_force(spark, monkeypatch, seed, group, most):
+    """One group, many groups that merge level by level, and boundaries too large for a task."""
+    monkeypatch.setattr(H, "GROUP_LINKS", group)
+    monkeypatch.setattr(H, "MAX_GROUP", most)
     rnd = random.Random(seed)
     pairs = [(f"module:p{i // 4}.m{i}", f"module:p{rnd.randrange(12)}.m{rnd.randrange(50)}") for i in range(50)]
     pairs += [(f"module:p{i}.m{i}", f"class:p{i}.m{i}:C{j}") for i in range(10) for j in range(3)]
@@ -66,7 +69,7 @@ def test_loops_are_reported_not_followed(spark):
 
 
 def test_long_chain_and_hot_parent(spark, monkeypatch):
-    monkeypatch.setattr(H, "HOT_PARENT", 20)
+    monkeypatch.setattr(H, "GROUP_LINKS", 20)
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("hub", f"leaf{i}") for i in range(500)]
     ln = links(spark, pairs)
     t = {r.node: r.depth for r in H.hierarchy(ln, H.cycle_nodes(ln)).collect()}
@@ -109,3 +112,31 @@ def test_descendants_over_every_parent(spark, seed):
 def test_no_links_have_no_descendants(spark):
     ln = links(spark, [("a", "a")])
     assert H.all_descendants(ln, H.cycle_nodes(ln)).count() == 0
+
+
+def test_groups_by_size_whatever_the_ids_look_like(spark, monkeypatch):
+    monkeypatch.setattr(H, "GROUP_LINKS", 50)
+    for pairs in ([(f"n{i // 3}", f"n{i}") for i in range(1, 2001)], [("hub", f"n{i}") for i in range(2000)], [("module:m", f"class:m:C{i}") for i in range(2000)]):
+        sizes = [r["count"] for r in H._grouped(links(spark, pairs)).groupBy("part").count().collect()]
+        assert len(sizes) >= 20 and max(sizes) <= 6 * H.GROUP_LINKS and sum(sizes) == 2000
+
+
+def test_contraction_equals_merging(spark, monkeypatch):
+    """Sets and levels are the same whether boundaries meet in a task or are contracted by joins."""
+    rnd = random.Random(5)
+    pairs = [(f"n{rnd.randrange(max(1, i - 30), i + 1)}" if i % 17 else f"r{i}", f"n{i + 1}") for i in range(70)] + [("n2", "n1"), ("n50", "n49")]
+    coded, names = H.encode(links(spark, pairs))
+    name = {r.id: r.node for r in names.collect()}
+
+    def sets(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.root, []).append((name[r.node], r.off, r.bad))
+        return {(frozenset(n for n, _, _ in v), frozenset((n, o - min(x for _, x, _ in v)) for n, o, _ in v) if not v[0][2] else None, v[0][2]) for v in out.values()}
+
+    one = sets(H.components(coded).collect())
+    monkeypatch.setattr(H, "GROUP_LINKS", 3)
+    monkeypatch.setattr(H, "MAX_GROUP", 2)
+    coded, names = H.encode(links(spark, pairs))
+    name = {r.id: r.node for r in names.collect()}
+    assert sets(H.components(coded).collect()) == one and any(bad for *_, bad in one) and not all(bad for *_, bad in one)
