@@ -200,7 +200,7 @@ JS_GROUPS = {
     "INFIX": ["=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??=", "??", "||", "&&", "|", "^", "&", "==", "!=", "===", "!==", "<", ">", "<=", ">=", "instanceof", "<<", ">>", ">>>", "+", "-", "*", "/", "%", "**"],
     "PREFIX": ["+", "-", "!", "~", "++", "--", "typeof", "void", "delete", "await", "yield", "new", "async"],
     "POST": ["++", "--"],
-    "MOD": ["static", "async", "get", "set", "*", "accessor"],
+    "MOD": ["static", "async", "get", "set", "*"],
     "KEY": [],
     "NAME": ["NAME", "let", "async", "get", "set", "static", "of", "as", "from", "await", "yield", "accessor", "super", "null", "true", "false"],
 }

@@ -7,6 +7,9 @@ early errors (redeclared names, misplaced break, return, await and yield, bad ta
 from __future__ import annotations
 
 import re
+import sys
+
+from graphloom.llm.jsregex import regex_ok
 
 _ID_START = r"[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\}"
 _ID = rf"(?:{_ID_START})(?:[\w$‌‍]|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})*"
@@ -28,7 +31,8 @@ _BINARY = {
     "??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8,
     "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12,
 }
-MAX_DEPTH = 1200
+#: Frames of the recogniser: calls between Python functions take no C stack, so only memory bounds the nesting.
+MAX_FRAMES = 2_000_000
 
 
 class JSError(Exception):
@@ -56,7 +60,6 @@ class Recogniser:
         self.exports: set[str] = set()
         self.wanted: list[str] = []
         self.not_arrow: set[int] = set()
-        self.depth = 0
         self.in_ok = True
         self.start = 0
         if text.startswith("#!"):
@@ -215,13 +218,7 @@ class Recogniser:
         self.next()
 
     def statement(self, decl: bool = False, top: bool = False, label: bool = False) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise RecursionError
-        try:
-            self._statement(decl, top, label)
-        finally:
-            self.depth -= 1
+        self._statement(decl, top, label)
 
     def _statement(self, decl: bool, top: bool, label: bool) -> None:
         if self.kind == "p":
@@ -302,9 +299,6 @@ class Recogniser:
         return kind, n, inits, lacks
 
     def binding(self, kind: str) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise RecursionError
         if self.eat("["):
             while not self.at("]"):
                 if self.eat(","):
@@ -340,7 +334,6 @@ class Recogniser:
             self.need("}")
         else:
             self.declare(self.name(), kind)
-        self.depth -= 1
 
     def with_in(self, f):
         was, self.in_ok = self.in_ok, True
@@ -850,8 +843,6 @@ class Recogniser:
             if val not in ("(", "=", ";", "}", ",") and not (nl and val == "*"):
                 accessor = self.val
                 self.next()
-        if not (is_async or gen or accessor) and self.at("accessor") and not self.peek()[2] and self.peek()[1] not in ("(", "=", ";", "}"):
-            self.next()
         private = self.kind == "priv"
         raw = self.val.strip("'\"") if self.kind in ("id", "str", "priv") else ""
         self.property_name(True)
@@ -943,13 +934,7 @@ class Recogniser:
             self.fail("bad assignment target")
 
     def assign(self, cover: bool = False):
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise RecursionError
-        try:
-            return self._assign(cover)
-        finally:
-            self.depth -= 1
+        return self._assign(cover)
 
     def _assign(self, cover: bool):
         if self.kind == "id":
@@ -1028,7 +1013,7 @@ class Recogniser:
 
     def arrow_paren(self, is_async: bool) -> bool:
         st, start = self.state(), self.tok_start
-        scopes, privs, depth = len(self.scopes), len(self.privates), self.depth
+        scopes, privs = len(self.scopes), len(self.privates)
         outer, in_ok = self.fn, self.in_ok
         try:
             fn = _Fn(is_async, False, outer.strict, arrow=True)
@@ -1041,7 +1026,7 @@ class Recogniser:
         except JSError:
             del self.scopes[scopes:]
             del self.privates[privs:]
-            self.depth, self.fn, self.in_ok = depth, outer, in_ok
+            self.fn, self.in_ok = outer, in_ok
             self.restore(st)
             self.not_arrow.add(start)
             return False
@@ -1115,38 +1100,32 @@ class Recogniser:
             left = ("logic", group) if group else ("other",)
 
     def unary(self):
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise RecursionError
-        try:
-            if self.kind == "p" and self.val in ("+", "-", "!", "~"):
-                self.next()
-                self.no_cover(self.unary())
-                return ("unary",)
-            if self.kind == "p" and self.val in ("++", "--"):
-                self.next()
-                self.simple_target(self.unary())
-                return ("other",)
-            if self.kind == "id" and self.val in ("typeof", "void", "delete"):
-                op = self.val
-                self.next()
-                x = self.unary()
-                self.no_cover(x)
-                if op == "delete" and self.fn.strict and (x[0] == "id" or x[0] == "paren" and x[1][0] == "id"):
-                    self.fail("delete of a name")
-                return ("unary",)
-            if self.kind == "id" and self.val == "await" and (self.fn.is_async or self.module and self.fn.top):
-                self.next()
-                self.no_cover(self.unary())
-                return ("unary",)
-            node = self.left_hand()
-            if self.kind == "p" and self.val in ("++", "--") and not self.nl:
-                self.simple_target(node)
-                self.next()
-                return ("other",)
-            return node
-        finally:
-            self.depth -= 1
+        if self.kind == "p" and self.val in ("+", "-", "!", "~"):
+            self.next()
+            self.no_cover(self.unary())
+            return ("unary",)
+        if self.kind == "p" and self.val in ("++", "--"):
+            self.next()
+            self.simple_target(self.unary())
+            return ("other",)
+        if self.kind == "id" and self.val in ("typeof", "void", "delete"):
+            op = self.val
+            self.next()
+            x = self.unary()
+            self.no_cover(x)
+            if op == "delete" and self.fn.strict and (x[0] == "id" or x[0] == "paren" and x[1][0] == "id"):
+                self.fail("delete of a name")
+            return ("unary",)
+        if self.kind == "id" and self.val == "await" and (self.fn.is_async or self.module and self.fn.top):
+            self.next()
+            self.no_cover(self.unary())
+            return ("unary",)
+        node = self.left_hand()
+        if self.kind == "p" and self.val in ("++", "--") and not self.nl:
+            self.simple_target(node)
+            self.next()
+            return ("other",)
+        return node
 
     def simple_target(self, node) -> None:
         if node[0] == "paren":
@@ -1316,7 +1295,7 @@ class Recogniser:
                 return self.object()
             if v in ("/", "/="):
                 m = _REGEX.match(self.s, self.tok_start)
-                if not m or len(set(m[2])) != len(m[2]) or set(m[2]) - set("dgimsuvy") or {"u", "v"} <= set(m[2]) or not _regex_ok(m[1]):
+                if not m or not regex_ok(m[1], m[2]):
                     self.fail("bad regular expression")
                 self.end = m.end()
                 self.next()
@@ -1409,48 +1388,17 @@ class Recogniser:
 _STATEMENTS = frozenset("var const function class if while do for continue break return throw with switch try debugger import export".split())
 
 
-def _regex_ok(body: str) -> bool:
-    """Balanced groups and something before each quantifier."""
-    body = re.sub(r"\\.", "x", body)
-    body = re.sub(r"\[[^\]]*\]", "x", body)
-    depth, operand = 0, False
-    i = 0
-    while i < len(body):
-        c = body[i]
-        if c == "(":
-            depth += 1
-            operand = False
-            if m := re.compile(r"\?(?:[:=!]|<[=!]|<[^\W\d][\w$]*>|[ims]*(?:-[ims]+)?:)").match(body, i + 1):
-                i = m.end() - 1
-            elif body[i + 1 : i + 2] == "?":
-                return False
-        elif c == ")":
-            depth -= 1
-            if depth < 0:
-                return False
-            operand = True
-        elif c in "*+?":
-            if not operand:
-                return False
-            if body[i + 1 : i + 2] == "?":
-                i += 1
-            operand = False
-        elif c in "|^":
-            operand = False
-        elif c == "{" and re.compile(r"\{\d+(?:,\d*)?\}").match(body, i) and not operand:
-            return False
-        else:
-            operand = True
-        i += 1
-    return depth == 0
-
-
 def js_error(text: str, mode: str) -> str | None:
-    """None if ``text`` is valid in ``mode`` (module, script, function), else why not."""
+    """None if ``text`` is valid in ``mode`` (module, script, function), else why not. What is nested beyond memory's reach is
+    undecided, and so not called invalid."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, MAX_FRAMES))
     try:
         Recogniser(text, mode).run()
         return None
     except JSError as e:
         return str(e)
-    except RecursionError:
-        return "nested too deeply"
+    except (RecursionError, MemoryError):
+        return None
+    finally:
+        sys.setrecursionlimit(limit)

@@ -18,6 +18,8 @@ from graphloom.llm import jsparse
 
 EXTENSIONS = {"py": "python", "js": "js", "mjs": "js", "cjs": "js", "json": "json", "toml": "toml"}
 OPEN, CLOSE = "([{", ")]}"
+#: Notes of files that could not be lexed to the end; the exact check decides them.
+UNDECIDED = ("RecursionError", "MemoryError", "OverflowError")
 
 
 @dataclass
@@ -42,7 +44,7 @@ def language(path: str) -> str | None:
 def lex(lang: str, data: bytes) -> Lexed:
     try:
         return {"python": _python, "js": _js, "json": _json, "toml": _toml}[lang](data)
-    except (RecursionError, MemoryError, OverflowError) as e:  # left to the exact check
+    except (RecursionError, MemoryError, OverflowError) as e:
         return Lexed(classes=["START", "END"], error=type(e).__name__)
 
 
@@ -122,7 +124,7 @@ def _python_line(out: Lexed, line: list[tuple[str, str]], depth: int, skeleton:
     parts = []
     for cls, text in line:
         if cls == "NAME":
-            parts.append(text if text in _SOFT else names.setdefault(text, f"n{len(names)}"))
+            parts.append(text if text in _SOFT or parts[-1:] == ["!"] else names.setdefault(text, f"n{len(names)}"))
         elif cls == "NUM":
             low = text.lower()
             parts.append("1j" if low.endswith("j") else "1.5" if "." in low or "e" in low and not low.startswith("0x") else "1")
@@ -137,7 +139,7 @@ def _python_line(out: Lexed, line: list[tuple[str, str]], depth: int, skeleton:
     shape = ""
     inside = 0
     for p in parts:  # inside an f-string only the braces may be spaced
-        shape += p if shape.endswith("f'''") or not shape else " " + p
+        shape += p if shape.endswith(("f'''", " !")) or not shape else " " + p
     out.shapes.append(re.sub(r"f''' *(?=''')", "f'''", shape))
     words = [c for c, _ in line]
     head = words[0]
@@ -260,7 +262,7 @@ def _js(data: bytes) -> Lexed:
         c = s[at]
         if c == "/" and not (prev in _OPERAND and not (prev == ")" and value_paren)) and (m := jsparse._REGEX.match(s, at)):
             cls, text, at = "REGEX", "/r/" + m[2], m.end()
-            if not jsparse._regex_ok(m[1]):
+            if not jsparse.regex_ok(m[1], m[2]):
                 out.context = "regex"
         elif c == "`" or c == "}" and stack and stack[-1] == "${":
             m = jsparse._TPL.match(s, at + 1)
@@ -304,7 +306,7 @@ def _js(data: bytes) -> Lexed:
                     out.context = "escape"
             else:
                 cls = text
-        if not stack and stmt and (nl or prev == ";" or prev == "}") and (prev == ";" or cls in _STARTERS and (prev in ("}", ";") or prev in _OPERAND) and not (cls == "while" and stmt[0][0] == "do")):
+        if not stack and stmt and (nl or prev == ";" or prev == "}") and cls != "else" and (prev == ";" or cls in _STARTERS and (prev in ("}", ";") or prev in _OPERAND) and not (cls == "while" and stmt[0][0] == "do")):
             _js_statement(out, stmt, declared)
             stmt = []
             if prev == "}" and not nl:
@@ -515,7 +517,7 @@ def _toml(data: bytes) -> Lexed:
 
 
 def _toml_line(out: Lexed, raw: str, line: list[str], paths: list[tuple[str, tuple[str, ...]]], where: tuple[str, ...]) -> tuple[str, ...]:
-    out.shapes.append(raw.strip())
+    out.shapes.append(_toml_shape(raw.strip()))
     if line[0] in ("[", "[["):
         where = _toml_key(line[1:-1])
         paths.append((line[0], where))
@@ -528,6 +530,29 @@ def _toml_line(out: Lexed, raw: str, line: list[str], paths: list[tuple[str, tup
     return where
 
 
+_TOML_PLAIN = re.compile(r'"[^"\\\x00-\x1f\x7f]*"|\'[^\'\x00-\x1f\x7f]*\'|(?<![\w.+-])[1-9][0-9]*(?![\w.:+-])(?![ \t]*[=.])|#[^\x00-\x08\x0b-\x1f\x7f\n]*(?=\r?\n|\Z)')
+_TOML_NAME = re.compile(r"(?<![\w.\"'-])[A-Za-z][A-Za-z_-]*(?=\s*[=.\]])")
+
+
+def _toml_shape(raw: str) -> str:
+    """A line with its plain strings, plain numbers, comments and bare keys reduced to their kind; all else, as escapes, dates,
+    floats and long strings, stays as it is, so that the line is as valid as it was."""
+    if '"""' in raw or "'''" in raw or "__k" in raw:
+        return raw
+    names: dict[str, str] = {}
+
+    def plain(m: re.Match) -> str:
+        return "" if m[0][0] == "#" else m[0] if m[0][0] in "\"'" and _quoted_key(raw, m.end()) else m[0][0] + "s" + m[0][0] if m[0][0] in "\"'" else "1"
+
+    shape = _TOML_PLAIN.sub(plain, raw)
+    return _TOML_NAME.sub(lambda m: m[0] if m[0] in ("inf", "nan", "true", "false") else names.setdefault(m[0], f"__k{len(names)}"), shape).strip()
+
+
+def _quoted_key(raw: str, at: int) -> bool:
+    """Whether a string that ends here is a key: keys must stay apart."""
+    return raw[at:].lstrip(" \t")[:1] in ("=", ".", "]")
+
+
 def _toml_key(parts: list[str]) -> tuple[str, ...]:
     """The parts of a key; a bare part may hold dots, as numbers do."""
     return tuple(y for x in parts if x != "." for y in ([x[1:-1]] if x[0] in "'\"" else x.split(".")))
@@ -550,7 +575,9 @@ def toml_error(data: bytes | str) -> str | None:
     try:
         tomllib.loads(data.decode("utf-8").replace("\r\n", "\n") if isinstance(data, bytes) else data.replace("\r\n", "\n"))
         return None
-    except (ValueError, RecursionError) as e:
+    except RecursionError:
+        return None  # deep, and undecided is not invalid
+    except ValueError as e:
         return f"{type(e).__name__}: {e}"
 
 

@@ -104,6 +104,10 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(files, syntax.invalid_files(files))
 
 
+def p4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.step_quality(_files(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.reasons(_files(spark, sf_dir), table(spark, sf_dir, "third_party_files")).where("size(reasons) > 0").select("file_id")
 
@@ -124,4 +128,4 @@ def p7_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.shared_rules(_files(spark, sf_dir))
 
 
-QUERIES |= {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p4_rates, p7_found, p7_reasons, p7_repositories, p7_shared_rules)}
+QUERIES |= {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p4_rates, p4_steps, p7_found, p7_reasons, p7_repositories, p7_shared_rules)}

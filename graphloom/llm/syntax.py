@@ -9,8 +9,12 @@ Method
        closing one; in JSON also the alternation of ``:`` and ``,`` in objects.
     4. Statement productions: each *different* statement shape of the corpus is tried against the grammar once, and so is
        each different block skeleton of a Python file; files with a shape that fails are found by joining back.
-    5. What the steps flag, together with files in which names decide (redeclared names, exports, escapes), goes through
-       the exact check of the whole file, which confirms or clears it. Files that no step flags are valid.
+    5. A file that one of these steps flags is invalid; no further check is asked. What shapes cannot keep is which names a
+       file binds: files in which names decide (redeclared names, exports, escapes, repeated keys), and those too deep to be
+       lexed, are *undecided* unless steps 1 to 3 flag them, and go through the exact check of the whole file. All others are
+       valid.
+
+``step_quality`` holds what the steps say against the exact check of every file.
 
 Defined cases: null content or path, and other extensions, are no cases; empty files are valid Python, JavaScript and
 TOML but no JSON; repeated rows are rows of their own; files are lexed whole.
@@ -62,10 +66,11 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, lang, path, content in zip(pdf["file_id"], pdf["lang"], pdf["path"], pdf["content"]):
             x = lexers.lex(lang, bytes(content))
+            undecided = x.error in lexers.UNDECIDED
             code = codes[lang]
             marks = [(at, _MARKS[c]) for at, c in x.brackets if lang == "json" or c not in ":,"]
             out.append(
-                (i, lang, lexers.file_modes(path), [code.get(c, 0) for c in x.classes], [a for a, _ in marks], [m for _, m in marks], list(dict.fromkeys(x.shapes)), x.skeleton or None, x.error or None, x.context or None)
+                (i, lang, lexers.file_modes(path), [code.get(c, 0) for c in x.classes], [a for a, _ in marks], [m for _, m in marks], list(dict.fromkeys(x.shapes)), x.skeleton or None, None if undecided else x.error or None, x.error if undecided else x.context or None)
             )
         yield pd.DataFrame(out, columns=["file_id", "lang", "modes", "tokens", "at", "mark", "shapes", "skeleton", "error", "context"])
 
@@ -135,19 +140,18 @@ def bad_productions(tokens: DataFrame) -> DataFrame:
 
 
 def flagged(tokens: DataFrame) -> DataFrame:
-    """(file_id, reasons): what the steps say; ``names`` marks files that only the exact check can judge."""
+    """(file_id, reasons): what the steps say, by step."""
     parts = [
         tokens.where("error is not null").select("file_id", F.lit("lexing").alias("reason")),
         bad_pairs(tokens).withColumn("reason", F.lit("pair")),
         bad_nesting(tokens).withColumn("reason", F.lit("nesting")),
         bad_productions(tokens).withColumn("reason", F.lit("production")),
-        tokens.where("context is not null").select("file_id", F.lit("names").alias("reason")),
+        tokens.where("lang = 'json' and size(tokens) <= 2 and context is null").select("file_id", F.lit("pair").alias("reason")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    empty = tokens.where("lang = 'json' and size(tokens) <= 2").select("file_id", F.lit("pair").alias("reason"))
-    return out.unionByName(empty).groupBy("file_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return out.groupBy("file_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,11 +162,43 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["error"].notna()]
 
 
+CONFIRMED = "file_id bigint, lang string, error string"
+
+
+def judged(files: DataFrame) -> DataFrame:
+    """(file_id, lang, reasons, undecided) of the files that a step flags, or that the steps leave undecided."""
+    tokens = lexed(files)
+    marks = tokens.where("context is not null").select("file_id", F.col("context").alias("undecided"))
+    got = flagged(tokens).join(marks, "file_id", "full_outer")
+    only_shapes = F.col("undecided").isNotNull() & (F.col("reasons") == F.array(F.lit("production")))
+    got = got.withColumn("reasons", F.when(~F.coalesce(only_shapes, F.lit(False)), F.col("reasons")))
+    return materialize(got.join(tokens.select("file_id", "lang"), "file_id"), "judged-files")
+
+
 def invalid_files(files: DataFrame) -> DataFrame:
     """(file_id, lang, error, reasons) of the files that are not valid in the language of their path."""
-    suspects = materialize(flagged(lexed(files)), "flagged-files")
-    take = _sources(files).join(suspects.select("file_id"), "file_id", "left_semi")
-    return take.mapInPandas(_confirm, "file_id bigint, lang string, error string").join(suspects, "file_id")
+    got = judged(files)
+    certain = got.where("reasons is not null").select("file_id", "lang", F.array_join("reasons", "+").alias("error"), "reasons")
+    open_ = got.where("reasons is null").select("file_id")
+    exact = _sources(files).join(open_, "file_id", "left_semi").mapInPandas(_confirm, CONFIRMED)
+    return certain.unionByName(exact.withColumn("reasons", F.array(F.lit("names"))))
+
+
+def step_quality(files: DataFrame) -> DataFrame:
+    """(lang, n_files, n_invalid, n_flagged, n_right, n_undecided, n_missed): the steps against the exact check of every file.
+
+    ``n_right`` of ``n_flagged`` is the precision of the steps and ``n_right`` of ``n_invalid`` their recall; ``n_missed``
+    are invalid files that are neither flagged nor undecided.
+    """
+    everything = _sources(files).select("file_id", "lang")
+    got = judged(files).drop("lang").withColumn("flagged", F.col("reasons").isNotNull())
+    bad = spread(_sources(files)).mapInPandas(_confirm, CONFIRMED).select("file_id", F.lit(True).alias("bad"))
+    j = everything.join(got, "file_id", "left").join(bad, "file_id", "left")
+    flag, wrong = F.coalesce("flagged", F.lit(False)), F.coalesce("bad", F.lit(False))
+    return j.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(wrong).alias("n_invalid"), F.count_if(flag).alias("n_flagged"), F.count_if(flag & wrong).alias("n_right"),
+        F.count_if(~flag & F.col("undecided").isNotNull()).alias("n_undecided"), F.count_if(wrong & ~flag & F.col("undecided").isNull()).alias("n_missed"),
+    )
 
 
 def rates(files: DataFrame, invalid: DataFrame) -> DataFrame:

@@ -137,3 +137,35 @@ def test_lexers_take_any_bytes(lang):
         x = lexers.lex(lang, data)
         assert x.classes[0] == "START" and x.classes[-1] == "END"
         lexers.file_error(lang, "a.js" if lang == "js" else "a", data)
+
+
+BAD_REGEX = ["/[z-a]/", "/a{2,1}/", "/\\u{110000}/u", "/\\p{Foo}/u", "/(?<n>a)\\k<m>/", "/(?<n>a)(?<n>b)/", "/(/", "/a**/", "/[\\d-z]/u", "/{1}/", "/\\2/u", "/(?<!a)*/", "/]/u", "/a/gg", "/$*/", "/\\c/u"]
+GOOD_REGEX = ["/a{,5}/", "/\\u{110000}/", "/[\\d-z]/", "/\\p{Lu}\\p{Script=Greek}/u", "/\\k<x>/", "/(?=a)*/", "/\\2/", "/[[a-z]--[aeiou]]/v", "/]}/", "/(?<y>\\d{4})-\\k<y>/", "/a{1,}b{2}c{2,3}?/", "/[^\\]]/u"]
+
+
+def test_regular_expressions_and_depth():
+    for t in BAD_REGEX:
+        assert jsparse.js_error(t, "script") is not None, t
+    for t in GOOD_REGEX:
+        assert jsparse.js_error(t, "script") is None, t
+    assert jsparse.js_error("class A { accessor z = 2 }", "script") and jsparse.js_error("class A { accessor = 2 }", "script") is None
+    for n in (600, 1500, 5000):
+        for a, b in ("[]", "{}"):
+            assert jsparse.js_error("x = " * (a == "[") + a * n + b * n, "script") is None
+        assert jsparse.js_error("x = " + "(" * n + "1" + ")" * n, "script") is None and jsparse.js_error("x = " + "(" * n + "1" + ")" * (n - 1), "script")
+
+
+def test_toml_shapes_are_as_valid_as_their_lines():
+    rnd = random.Random(8)
+    lines = ['a = "x" # c', '"a b".c = 12', "[t.p]", "[[x]]", 'k = {a = 1, b = "q", c-d = [1, 2]}', "d = 1979-05-27", "f = 1.5e3", "a = inf", "n = 012", 'q = "a#b"', "w = 'it' 3", "{a = 1}", "x = [true, 'b', 3]", "__k0 = 1"]
+    for t in lines + [x[:i] + rnd.choice("\"'=[]{}#,. 1a") + x[i + rnd.randrange(2) :] for x in lines for i in range(len(x)) for _ in range(4)]:
+        assert (lexers.toml_error(t) is None) == (lexers.toml_error(lexers._toml_shape(t)) is None), t
+    assert lexers._toml_shape('name = "b" # x') == lexers._toml_shape('other = "c"')
+
+
+def test_steps_against_the_exact_check(spark, sf_dir):
+    """Precision and recall of the steps alone, without the exact check of undecided files."""
+    files = spark.read.parquet(f"{sf_dir}/source_files.parquet")
+    got = syntax.step_quality(files).groupBy().sum("n_invalid", "n_flagged", "n_right", "n_missed").first()
+    invalid, flagged, right, missed = got
+    assert invalid and missed == 0 and right >= 0.9 * flagged and right >= 0.9 * invalid
