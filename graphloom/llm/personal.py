@@ -5,8 +5,13 @@ disguises, cues of identity numbers and street words, titles and given names. Ph
 the few characters a number can begin with. At each anchor a deterministic local parser expands to both sides as far as
 its grammar allows and validates what it has: the shape of an address, the digits of a number, the parts of a name.
 
-Given names are a parameter (``GIVEN_NAMES``); a name is also taken without a known given name where the text says that a
-person follows or stands beside ("Reported by ...", "Signed-off-by: ...").
+Identity numbers behind a cue need the format of their kind; without a cue they need its check digit (Spanish DNI and NIE,
+French NIR, German tax identification number).
+
+Given names are a parameter (``GIVEN_NAMES``). Without a known given name a name is taken by structure: behind a label or verb
+that takes a person ("owner:", "reported by", "please ask", "contactez"), before a verb that a person does ("approved",
+"schrieb"), behind a title or sign-off, with initials behind a preposition, and beside an e-mail address made of it. The words
+looked at around an anchor are counted (``_back`` and ``_ahead``), not their characters.
 
 Defined cases: null, empty and blank texts give nothing; a mention may run over a line end, and its value keeps it; the
 same mention twice is one row of the result, and both places are replaced; overlapping mentions keep the one that begins
@@ -15,6 +20,7 @@ first, the longer of two; texts are searched whole.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,16 +46,17 @@ TITLES = ("Dr", "Mr", "Mrs", "Ms", "Mx", "Prof", "Herr", "Frau", "Mme", "M", "Sr
 
 _WORD = r"[^\W\d_]"
 _PART = rf"(?:{_WORD}[^\W\d_'’]*(?:['’]{_WORD}+)?)"
-_SURNAME = re.compile(rf"(?:(?:van|von|de|del|della|da|di|du|la|le|den|der|bin|al|el)\s+)*([A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)?(?:[-‐][A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
+_SURNAME = re.compile(rf"(?:(?:van|von|de|del|della|da|di|du|la|le|den|der|bin|al|el)\s+)*([A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’](?!s\b)[A-ZÀ-ÖØ-Þ]?[^\W\d_]+)?(?:[-‐][A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
 _INITIALS = re.compile(r"(?:[A-ZÀ-ÖØ-Þ]\.(?:-?[A-ZÀ-ÖØ-Þ]\.)*\s+)+")
 _GAP = r"(?:[ \t ]+|[ \t]*\r?\n[ \t]*|[ \t]*\r[ \t]*)"
 
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9.!#$%&'*+/=?^_{|}~-]+\Z")
-_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.!#$%&'*+/=?^_{|}~-")
+_DOMAIN = re.compile(r"(?:[^\W_](?:(?:[^\W_]|-)*[^\W_])?\.)+[^\W\d_]{2,}")
 _AT = r"\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|<\s*at\s*>|\(\s*@\s*\)|\[\s*@\s*\]|\s_?at_?\s|\s+AT\s+|\s@\s)\s*"
 _DOT = r"(?:\s*(?:\(\s*(?:dot|punkt|punto|point|\.)\s*\)|\[\s*(?:dot|punkt|punto|point|\.)\s*\]|\{\s*dot\s*\}|\s(?:dot|punkt|punto)\s)\s*|\.)"
 _AT_HERE = re.compile(_AT, re.I)
-_HIDDEN_BACK = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9_+-]|{_DOT})*\Z", re.I)
+_HIDDEN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+-")
+_DOT_BACK = re.compile(rf"{_DOT}\Z", re.I)
 _HIDDEN_DOMAIN = re.compile(rf"(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,}}(?![\w@])", re.I)
 _SPELLED = re.compile(r"\sdot\s|[\[({]\s*(?:dot|punkt|punto|point|\.)\s*[\])}]", re.I)
 
@@ -71,6 +78,35 @@ _ID_CUE = (
 _ID_CUE = tuple((kind, cue.replace(" ", r"\s+"), num.replace("[- ]", r"[-\s]").replace(" ?", r"\s?")) for kind, cue, num in _ID_CUE)
 _IDS = [(kind, re.compile(rf"{cue}(?:\s*(?:number|no\.?|nr\.?|nummer|n[.º°]|#))?\s*(?:[:=#]|is|ist|es|est|lautet)?\s*[\"']?(?:{num})(?![\w])", re.I), re.compile(rf"(?:{num})(?![\w])", re.I)) for kind, cue, num in _ID_CUE]
 
+
+
+def _dni(v: str) -> bool:
+    d = re.sub(r"[^0-9A-Z]", "", v.upper())
+    d = d.translate(str.maketrans("XYZ", "012")) if d[0] in "XYZ" else d
+    return d[:-1].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(d[:-1]) % 23] == v.upper()[-1]
+
+
+def _nir(v: str) -> bool:
+    d = re.sub(r"\s", "", v).upper().replace("2A", "19").replace("2B", "18")
+    return len(d) == 15 and d.isdigit() and 1 <= int(d[3:5]) <= 12 and 97 - int(d[:13]) % 97 == int(d[13:])
+
+
+def _steuer(v: str) -> bool:
+    d = re.sub(r"\s", "", v)
+    if len(d) != 11 or d[0] == "0" or sorted(d[:10].count(c) for c in set(d[:10]))[-1] not in (2, 3):
+        return False
+    p = 10
+    for c in d[:10]:
+        p = ((int(c) + p) % 10 or 10) * 2 % 11
+    return (11 - p) % 10 == int(d[10])
+
+
+#: Identity numbers that tell themselves by their check digit, without a cue.
+_SELF_CHECKED = (
+    (re.compile(r"(?:[XYZ][- ]?\d{7}|\d{8})[- ]?[A-Z](?![\w-])"), _dni),
+    (re.compile(r"[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}(?![\w-])"), _nir),
+    (re.compile(r"\d{2} \d{3} \d{3} \d{3}(?![\w-])"), _steuer),
+)
 _EN_STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Crescent|Way|Court|Close|Terrace|Square|Place|Parkway|Row|Mews|Hill|Walk|Quay|Grove|Gardens)"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 _EN_ADDRESS = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?:[ ]?[A-Za-z])?(?:\s?[-–/]\s?\d+[A-Za-z]?)?,?{_GAP}(?:{_CAP}{_GAP}){{1,4}}{_EN_STREET}(?![\w-])")
@@ -87,15 +123,40 @@ _STREETS = {
     **dict.fromkeys(("rue", "avenue ", "boulevard ", "place ", "chemin", "impasse", "allée", "quai", "route", "cours", "passage"), "fr"),
     **dict.fromkeys(("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "carretera"), "es"),
 }
+#: Labels and verbs that take a person, in four languages.
 _SAYS_NAME = re.compile(
-    r"(?:(?:reported|tested|signed-off|reviewed|written|approved|acked|co-authored|authored|suggested)[ -]by:?|assignee[=:]|owner:|reporter\"?\s*[:=]\s*\"?|on call this week\s?:|gemeldet von|bereitschaft diese woche\s?:|signalé par|astreinte de la semaine\s?:|informe de|guardia de esta semana\s?:|next to the name|name=['\"]|contact:|author:|maintainer:)\s*\Z",
+    r"(?:(?:reported|tested|signed-off|reviewed|written|approved|acked|co-authored|authored|suggested|assigned|maintained|owned|led|raised|filed|fixed|merged)[ -](?:by|to):?"
+    r"|(?:assignee|owner|reporter|author|maintainer|reviewer|contact|name|assigned to|cc|verfasser|autor|autora|auteur|ansprechpartner|zuständig|responsable|contacto|persona de contacto)[\"']?\s*[:=]\s*[\"']?"
+    r"|(?:on call|on duty|guardia|astreinte|bereitschaft|rufbereitschaft|dienst|de permanence)\b[^:\n.]{0,24}:"
+    r"|(?:please |bitte |kindly )?(?:ask|asked|asking|contact|ping|pinged|notify|tell|told|thank|thanked|thanks to|speak to|spoke to|talk to|talked to|e-?mail|call|phone|introduce|meet|met)"
+    r"|(?:gemeldet|geprüft|geschrieben|freigegeben|erstellt|betreut) von|(?:fragen sie|frag|fragt|kontaktieren sie|kontaktiere|anrufen bei|dank an|wenden sie sich an)"
+    r"|(?:signalé|écrit|validé|approuvé|proposé|relu) par|(?:demandez à|demander à|contactez|contacter|merci à|écrire à|appelez)"
+    r"|informe de|(?:escrito|aprobado|revisado|reportado|propuesto) por|(?:pregunte a|preguntar a|contacte a|contacte con|contactar a|gracias a|llame a)"
+    r"|(?:next to|beside|under) the name|aparecía)\s*\Z",
     re.I,
 )
-_SAYERS = ("by", "by:", "assignee=", "owner:", "reporter\":", "week:", "von", "woche:", "par", "semaine :", "semaine:", "informe de", "semana:", "the name", "name='", "author:", "maintainer:", "neben ", "pour ", "para ", "aparecía ", "für ", "mit ", "| ", "cc ")
+_SAYERS = (
+    "by", "by:", "to:", "assignee", "owner", "reporter", "author", "maintainer", "reviewer", "contact", "name", "cc", "autor", "autora", "auteur", "verfasser", "ansprechpartner", "zuständig", "responsable", "contacto",
+    "week:", "woche:", "semaine :", "semaine:", "semana:", "on call:", "on duty:", "guardia:", "astreinte:", "astreinte :", "bereitschaft:", "dienst:", "permanence :", "ask", "asked", "asking", "ping", "pinged", "notify", "tell", "told", "thank", "thanked", "thanks to", "speak to", "spoke to", "talk to", "talked to",
+    "email", "e-mail", "call", "phone", "introduce", "meet", "met", "von", "fragen sie", "frag", "fragt", "kontaktieren sie", "kontaktiere", "dank an", "sich an", "bei", "par", "demandez à", "demander à", "contactez", "contacter", "merci à", "écrire à", "appelez",
+    "informe de", "por", "pregunte a", "preguntar a", "contacte a", "contacte con", "contactar a", "gracias a", "llame a", "the name", "name='", "neben ", "pour ", "para ", "aparecía", "für ", "mit ", "| ", "cc ",
+)
+#: What persons do, behind their name.
+_ACTS = (
+    " approved", " wrote", " said", " says", " reported", " merged", " reviewed", " asked", " confirmed", " suggested", " replied", " noted", " agreed", " signed off", " reproduced", " complained", " volunteered",
+    " schrieb", " sagte", " meldete", " bestätigte", " hat bestätigt", " hat gemeldet", " fragte", " schlug vor", " a écrit", " a signalé", " a confirmé", " a demandé", " a validé", " a proposé", " escribió", " dijo", " informó", " confirmó", " preguntó", " aprobó", " propuso",
+)
+#: Last words of capitalised phrases that are no surnames.
+_NO_SURNAME = frozenset(
+    "release version build team server service services store index queue cache router parser scanner graph module class method file project issue ticket review report meeting call board group department office system "
+    "platform engine library framework database api client gateway worker node cluster pipeline job task test tests suite manager handler controller january february march april may june july august september october "
+    "november december monday tuesday wednesday thursday friday saturday sunday januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag street road avenue".split()
+)
 #: Words that only hint at a person: what follows counts if it begins with an initial.
 _HINTS_NAME = re.compile(r"(?:\b(?:neben|pour|para|für|de|von|for|aparecía|with|and|mit|und|y|et|von|cc)\s+|\|[ \t]*)\Z", re.I)
 _INITIAL_NAME = re.compile(rf"(?:[A-ZÀ-ÖØ-Þ]\.{_GAP}?)+[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*")
-_NOT_NAME = frozenset("The This That These A An In On At If It We I No Yes Not And Or But For From To Der Die Das Ein Eine El La Los Las Un Una Le Les Une Il Elle Subject Re Done Main Worker Range Traceback Run See Call Please TODO CI".split())
+_AFTER_CUE = re.compile(r"[\s:=\"',]*")
+_NOT_NAME = frozenset("The This That These A An In On At If It We I No Yes Not And Or But For From To Der Die Das Ein Eine El La Los Las Un Una Le Les Une Il Elle Subject Re Done Main Worker Range Traceback Run See Call Please TODO CI Bitte Merci Gracias Danke Thanks Hallo Hello Hi Hola Bonjour Dear Liebe Lieber Also When While After Before Then Now Here There What Who Why How Wenn Wer Was Wie Quand Qui Cuando Quien Nous Wir Sie Ich Vous Yo Todos Alle Alles Tous Some Every Each All None Any Both Our My Your His Her Their Its".split())
 _SIGN_OFF = re.compile(r"(?:thanks|thank you|regards|best regards|kind regards|cheers|best|viele grüße|mit freundlichen grüßen|gruß|saludos|un saludo|cordialement|bien à vous|merci|gracias|danke),?[ \t]*(?:\r\n|\r|\n|[ \t])[ \t]*\Z", re.I)
 
 
@@ -108,8 +169,37 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ß", "ss").replace("ø", "o")) if not unicodedata.combining(c))
 
 
-def _gap_class() -> str:
-    return _GAP
+def _ends_sentence(text: str, at: int) -> bool:
+    """Whether what begins at ``at`` stands inside a longer run of capitalised words, as titles do."""
+    before = text[_back(text, at, 1) : at].strip()
+    return before[:1].isupper() and before[-1:].isalnum()
+
+
+def _back(text: str, at: int, n: int) -> int:
+    """Where the ``n`` blank-separated words before ``at`` begin."""
+    for _ in range(n):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _ahead(text: str, at: int, n: int) -> int:
+    """Where the ``n`` blank-separated words from ``at`` on end."""
+    size = len(text)
+    for _ in range(n):
+        while at < size and text[at].isspace():
+            at += 1
+        while at < size and not text[at].isspace():
+            at += 1
+    return at
+
+
+def _run_back(text: str, at: int, chars: frozenset[str]) -> int:
+    while at and text[at - 1] in chars:
+        at -= 1
+    return at
 
 
 class Finder:
@@ -130,6 +220,8 @@ class Finder:
             kinds.setdefault(g, set()).add("given")
         for t in _SAYERS:
             kinds.setdefault(t, set()).add("said")
+        for t in _ACTS:
+            kinds.setdefault(t, set()).add("acts")
         for t in ("thanks", "regards", "cheers", "grüße", "gruß", "saludos", "saludo", "cordialement", "vous", "merci", "gracias", "danke"):
             kinds.setdefault(t, set()).add("said")
         for t in TITLES:
@@ -150,6 +242,8 @@ class Finder:
             at = end - n + 1
             for kind in kinds:
                 if kind == "phone":
+                    if got := self._self_checked(text, at):
+                        spans.add(got)
                     if at < digits_to:
                         continue
                     m = self._phone(text, at)
@@ -172,12 +266,14 @@ class Finder:
 
     # -- e-mail -------------------------------------------------------------------------------------------------
     def _email(self, text: str, at: int, _: int):
-        a = _LOCAL_BACK.search(text[max(0, at - 64) : at])
+        start = at
+        while start and (text[start - 1] in _LOCAL or text[start - 1].isalpha()):
+            start -= 1
         d = _DOMAIN.match(text, at + 1)
-        if not a or not d:
+        if start == at or not d:
             return None
-        start, end = at - len(a[0]), d.end()
-        local = a[0].rsplit("=", 1)[-1].lstrip("'./*=?{|}~!#$%&^-+")
+        end = d.end()
+        local = text[start:at].rsplit("=", 1)[-1].lstrip("'./*=?{|}~!#$%&^-+")
         start = at - len(local)
         if not local or text[end : end + 1] == ":" and text[end + 1 : end + 2].strip() or text[end : end + 1] in ("/", "@", "-"):
             return None  # a git remote or a path
@@ -192,13 +288,30 @@ class Finder:
         m = _AT_HERE.match(text, start)
         if not m or m.end() < at + n:
             return None
-        back = _HIDDEN_BACK.search(text, max(0, start - 80), start)
+        begin = self._local_back(text, start)
         domain = _HIDDEN_DOMAIN.match(text, m.end())
-        if not back or not domain:
+        if begin == start or not domain:
             return None
         if text[at : at + n].strip(" _").lower() == "at" and not _SPELLED.search(domain[0]):
             return None  # "meet at example.org" is no address
-        return back.start(), domain.end(), "email"
+        return begin, domain.end(), "email"
+
+    @staticmethod
+    def _local_back(text: str, at: int) -> int:
+        """Where a local part, whose dots may be spelled out, that ends at ``at`` begins."""
+        begin = here = at
+        while True:
+            word = _run_back(text, here, _HIDDEN_LOCAL)
+            if word == here:
+                break
+            begin = word
+            dot = _DOT_BACK.search(text, _back(text, word, 2), word)
+            if not dot:
+                break
+            here = dot.start()
+        while begin < at and not text[begin].isalnum():
+            begin += 1
+        return begin
 
     # -- phone --------------------------------------------------------------------------------------------------
     def _phone(self, text: str, at: int):
@@ -208,7 +321,7 @@ class Finder:
         m = _PHONE.match(text, at)
         if not m:
             return None
-        if _NO_PHONE.search(text[max(0, at - 12) : at]):
+        if _NO_PHONE.search(text[_back(text, at, 2) : at]):
             return at, m.end(), False
         end = m.end()
         for stop in range(end, at + 5, -1):
@@ -225,6 +338,17 @@ class Finder:
         d = re.sub(r"\D", "", s)
         return any(r.fullmatch(s) for r in _PHONES) and 9 <= len(d) <= 15
 
+    @staticmethod
+    def _self_checked(text: str, at: int):
+        if at and (text[at - 1].isalnum() or text[at - 1] in "_-./+#@"):
+            if not (text[at - 1] in "XYZ" and (at == 1 or not text[at - 2].isalnum())):
+                return None
+            at -= 1
+        for rx, right in _SELF_CHECKED:
+            if (m := rx.match(text, at)) and right(m[0]):
+                return m.start(), m.end(), "id_number"
+        return None
+
     # -- identity numbers ---------------------------------------------------------------------------------------
     def _id(self, text: str, at: int, _: int):
         if at and (text[at - 1].isalnum()):
@@ -244,21 +368,21 @@ class Finder:
     # -- addresses ----------------------------------------------------------------------------------------------
     def _street(self, text: str, at: int, n: int, kind: str):
         if kind == "en":
-            lo = max(0, at - 70)
+            lo = _back(text, at, 8)
             for m in _EN_ADDRESS.finditer(text, lo, min(len(text), at + n + 2)):
                 if m.start() < at < m.end() and not _AFTER_STREET.match(text, m.end()):
                     return m.start(), m.end(), "address"
         elif kind == "de":
-            lo = max(0, at - 60)
+            lo, hi = _back(text, at, 5), _ahead(text, at + n, 4)
             for rx in (_DE_ADDRESS, _DE_SPLIT):
-                for m in rx.finditer(text, lo, min(len(text), at + n + 16)):
+                for m in rx.finditer(text, lo, hi):
                     if m.start() <= at < m.end() and (m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-")):
                         return m.start(), m.end(), "address"
         elif kind == "fr":
             if at and text[at - 1].isalnum():
                 return None
-            lo = max(0, at - 14)
-            for m in _FR_ADDRESS.finditer(text, lo, min(len(text), at + 80)):
+            lo, hi = _back(text, at, 3), _ahead(text, at, 12)
+            for m in _FR_ADDRESS.finditer(text, lo, hi):
                 if m.start() < at < m.end() and re.search(rf"{_GAP}[A-ZÀ-ÖØ-Þ][\w'’-]*\Z", m[0]):
                     return m.start(), m.end(), "address"
         elif not (at and text[at - 1].isalnum()) and (m := _ES_ADDRESS.match(text, at)):
@@ -273,7 +397,7 @@ class Finder:
             return None
         if not text[at].isupper() or text[at:end].isupper() and n > 2:
             return None
-        back = re.search(rf"([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*),{_GAP}?\Z", text[max(0, at - 60) : at])
+        back = re.search(rf"([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*),{_GAP}?\Z", text[_back(text, at, 3) : at])
         if back and (back[1].isupper() or _SURNAME.fullmatch(back[1])):
             a = at - len(back[0])
             if (back[1].isupper() or self._said_before(text, a)) and not (a and (text[a - 1].isalnum() or text[a - 1] in "_@-/.")):
@@ -294,7 +418,7 @@ class Finder:
         nxt = text[stop : stop + 1]
         if nxt and (nxt.isalnum() or nxt in "_@") or nxt in (".", "-", "/") and text[stop + 1 : stop + 2].isalnum():
             return None
-        if re.search(r"[a-z][A-Z]", s[1].replace("Mc", "").replace("Mac", "")) or s[1] in _NOT_NAME:
+        if re.search(r"[a-z][A-Z]", s[1].replace("Mc", "").replace("Mac", "")) or s[1] in _NOT_NAME or s[1].lower() in _NO_SURNAME:
             return None
         gap = text[end : m.end()]
         if "\n" in gap.strip(" \t") and re.search(r"(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)", gap):
@@ -302,20 +426,36 @@ class Finder:
         return at, stop, "name"
 
     def _said_before(self, text: str, at: int) -> bool:
-        before = text[max(0, at - 60) : at]
+        before = text[_back(text, at, 7) : at]
         return bool(_SAYS_NAME.search(before) or _SIGN_OFF.search(before) or re.search(r"\b(?:%s)\.?\s+\Z" % "|".join(TITLES), before))
 
     def _said(self, text: str, at: int, n: int):
         """A name where the text says that one follows."""
         end = at + n
-        m = re.compile(r"[\s:=\"',]*").match(text, end)
-        at = m.end()
+        if text[end - 1].isalnum() and text[end : end + 1].isalnum():
+            return None
+        at = _AFTER_CUE.match(text, end).end()
+        if not text[at : at + 1].isupper():
+            return None
         if self._said_before(text, at):
             return self._name_at(text, at)
-        if _HINTS_NAME.search(text[max(0, at - 16) : at]) and _INITIAL_NAME.match(text, at):
+        if _HINTS_NAME.search(text[_back(text, at, 2) : at]) and _INITIAL_NAME.match(text, at):
             return self._name_at(text, at)
         return None
 
+    def _acts(self, text: str, at: int, n: int):
+        """A name right before what persons do."""
+        end = at + n
+        if not at or not text[at - 1].islower() or end < len(text) and (text[end].isalnum() or text[end] == "_") or not text[_back(text, at, 1)].isupper():
+            return None
+        for start in (_back(text, at, k) for k in (4, 3, 2)):
+            while start < at and not text[start].isalnum():
+                start += 1
+            got = self._name_at(text, start)
+            if got and got[1] == at and "," not in text[got[0] : at] and not _ends_sentence(text, start):
+                return got
+        return None
+
     def _beside(self, text: str, start: int, end: int):
         """Names on the line of an e-mail address whose local part is made of them: given name or initial, and surname."""
         parts = [p for p in re.split(r"[^a-z]+", _plain(re.split(r"@|[\s(\[{<]+at\b", text[start:end], maxsplit=1, flags=re.I)[0])) if p and p != "dot"]
@@ -323,7 +463,7 @@ class Finder:
         if len(joined) < 4 or not _ROLES.isdisjoint(parts):
             return
         left, right = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1, re.compile(r"[\r\n]|\Z").search(text, end).start()
-        left, right = max(left, start - 80), min(right, end + 80)
+        left, right = max(left, _back(text, start, 10)), min(right, _ahead(text, end, 10))
         for m in re.compile(r"(?<![\w@.'’/-])[A-ZÀ-ÖØ-Þ]").finditer(text, left, right):
             got = self._name_at(text, m.start())
             if not got or got[1] > right or got[0] < end and got[1] > start or "," in text[got[0] : got[1]]:
@@ -340,7 +480,7 @@ class Finder:
         return self._name_at(text, m.end()) if m else None
 
     _LAST_FIRST = re.compile(rf"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*,{_GAP}(?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.)*|[A-ZÀ-ÖØ-Þ]\.(?:{_GAP}?[A-ZÀ-ÖØ-Þ]\.)*)")
-    _FIRST_LAST = re.compile(rf"(?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?|[A-ZÀ-ÖØ-Þ]\.)(?:{_GAP}?[A-ZÀ-ÖØ-Þ]\.)*{_GAP}(?:(?:van|von|de|del|da|di|du|la|le|den|der){_GAP})*[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*")
+    _FIRST_LAST = re.compile(rf"(?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?|[A-ZÀ-ÖØ-Þ]\.)(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.|(?<=\.)[A-ZÀ-ÖØ-Þ]\.)*{_GAP}(?:(?:van|von|de|del|da|di|du|la|le|den|der){_GAP})*(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-Þ][^\W\d_]+)*")
 
     def _name_at(self, text: str, at: int):
         for rx in (self._LAST_FIRST, self._FIRST_LAST):
@@ -351,7 +491,7 @@ class Finder:
             if nxt and (nxt.isalnum() or nxt in "_@") or nxt in "./-" and text[m.end() + 1 : m.end() + 2].isalnum() and nxt:
                 continue
             words = re.findall(r"[^\W\d_]+", m[0])
-            if any(re.search(r"[a-z][A-Z]", w) for w in words) or any(w in _NOT_NAME for w in words if len(w) > 1):
+            if any(re.search(r"[a-z][A-Z]", w) for w in words) or any(w in _NOT_NAME for w in words if len(w) > 1) or words[-1].lower() in _NO_SURNAME and len(words[-1]) > 1:
                 continue
             if rx is self._LAST_FIRST and not (words[0].isupper() or words[-1].lower() in self.given or len(words[-1]) == 1):
                 continue
@@ -366,6 +506,7 @@ _PHONES = [
         r"(?:\(\d{3}\){s}?|\d{3}{s})\d{3}{s}\d{4}",
         r"(?:\+44|0044){s}?(?:\(0\){s}?)?\d{2,4}{s}?\d{3,4}{s}?\d{3,4}",
         r"\(?0\d{2,4}\)?{s}\d{3,4}{s}?\d{3,4}",
+        r"\(0\d\){s}?\d{4}{s}?\d{4}",
         r"07\d{3}{s}?\d{3}{s}?\d{3}",
         r"(?:\+49|0049){s}?(?:\(0\){s}?)?\d{2,5}{s}?\d{3,8}(?:{s}?\d{1,6})?",
         r"\(?0\d{2,5}\)?{s}{1,3}\d{3,8}(?:{s}?\d{1,6})?",
@@ -383,11 +524,12 @@ _PHONES = [
 def _settle(spans: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identity numbers and e-mails win over what lies inside them; else the earlier, then the longer mention."""
     rank = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, so neighbours alone can overlap
     for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        i = bisect.bisect_left(taken, s[:2])
+        if (i == 0 or taken[i - 1][1] <= s[0]) and (i == len(taken) or taken[i][0] >= s[1]):
+            taken.insert(i, s)
+    return taken
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

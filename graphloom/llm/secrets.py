@@ -3,7 +3,8 @@
 Method: a keyword automaton (Aho-Corasick, lower case) runs over each text once. At each hit, and only there, the rule of
 that keyword is tried: an issuer's format, a private key block, the password part of a connection URL, the encoded part
 after an authentication scheme, or the literal assigned to a key whose name says secret. The literal is then validated:
-issuer formats by alphabet and length, Basic by decoding to ``user:password``, named values by structure (placeholders,
+issuer formats by alphabet, length and variety or, where the issuer has one, checksum, web tokens by their decoded header,
+Basic by decoding to ``user:password``, named values by structure (placeholders,
 look-ups, hashes, plain settings and plain words are no credentials). Matches are replaced by placeholders of the same
 length whose every character stays in its class (digit, lower, upper, other kept), so the code around keeps parsing.
 
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -46,6 +49,11 @@ ISSUERS = {
     "aiza": r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
     "npm_": r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])",
     "pypi-": r"pypi-[0-9A-Za-z_-]{40,}",
+    "eyj": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}(?![0-9A-Za-z_.-])",
+    "hooks.slack.com/services/": r"hooks\.slack\.com/services/T[0-9A-Z]{6,}/B[0-9A-Z]{6,}/[0-9A-Za-z]{16,}",
+    "accountkey=": r"AccountKey=[0-9A-Za-z+/]{60,}={0,2}",
+    "sk-": r"sk-(?:[a-z]+-)?[0-9A-Za-z_-]{32,}(?![0-9A-Za-z_-])",
+    "ya29.": r"ya29\.[0-9A-Za-z_-]{20,}",
     "sg.": r"SG\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{16,}",
 }
 #: Words in the name of a key that make its literal a candidate.
@@ -53,11 +61,14 @@ NAMED = ("password", "passwd", "passphrase", "pwd", "pass", "pw", "secret", "tok
 SCHEMES = ("bearer", "basic")
 PAIRS = ("auth", "login", "-u", "--user", "creds", "logs in", "log in", "logged in", "sign in", "signs in", "sshpass", "mysql", "mongo", "redis-cli", "ldapsearch", "psql")
 
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"(?:Bearer|Basic)[ \t]+([A-Za-z0-9+/_.~=-]{8,})", re.I)
 _URL = re.compile(r"://[^\s/:@'\"`<>]*:([^\s/@'\"`<>]+)@[\w.\[{$-]")
 _ISSUER = {k: re.compile(v) for k, v in ISSUERS.items()}
-_KEY_HEAD = re.compile(r"[A-Za-z0-9_.$-]*\Z")
+_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
+#: Keys that name nothing but a password; what is assigned to them needs less of a secret's structure.
+_PASSWORD_KEY = re.compile(r"(?i)(?:^|[_.-]|[a-z](?=P))(?:password|passwd|passphrase|pwd)$")
 #: From the start of the key: the name, how it is closed, what assigns, and the literal.
 _ASSIGN = re.compile(
     r"""(?P<key>[A-Za-z0-9_.$-]+)
@@ -91,7 +102,7 @@ _PLACEHOLDER = re.compile(
     r"|[x*.#•_-]+|(?:\*|x|•|\.){3,}.*|none|null|nil|undefined|true|false|test|secret|password|token|changeme)$"
 )
 _HASH = re.compile(r"^(?:\$2[aby]\$|\$argon2|\$pbkdf2|\$[156]\$|pbkdf2[:_]|sha(?:1|256|384|512)[-:]|md5:|scrypt:|data:)", re.I)
-_LOOKUP = re.compile(r"^(?:self|this|settings|config|conf|os|env|process|request|ctx|args|options|params|secrets|vault|get|read|load)\b|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^\$[A-Za-z_]\w*$|^%\w+%$|\(")
+_LOOKUP = re.compile(r"^(?:self|this|settings|config|conf|os|env|process|request|ctx|args|options|params|secrets|vault|get|read|load)\b|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^\$[A-Za-z_]\w*$|^%\w+%$|^[\w.$\[\]'\"-]*\(.*\)?;?$|\)$")
 _WORDS = re.compile(r"[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]?[a-z]+(?:[ _.:/-][A-Za-z]?[a-z]+)*|[A-Z]+(?:[_-][A-Z]+)*")
 
 
@@ -128,6 +139,28 @@ def _random(v: str) -> bool:
     return len(v) >= 10 and lower and upper and not _WORDS.fullmatch(v)
 
 
+def _phrase(v: str) -> bool:
+    """A password without the usual mix: many letters in one run, only digits, or several words, as long as no setting is."""
+    return len(v) >= 16 and v.isalpha() and v.islower() or 6 <= len(v) <= 16 and v.isdigit() and len(set(v)) > 2
+
+
+def _checksum(v: str) -> bool:
+    """Whether the last six characters of a prefixed token are the base-62 checksum of the others."""
+    n, out = zlib.crc32(v.split("_", 1)[1][:-6].encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        out = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[r] + out
+    return out.rjust(6, "0") == v[-6:]
+
+
+def _web_token(v: str) -> bool:
+    head = v.split(".", 1)[0]
+    try:
+        return b'"alg"' in base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))
+    except (binascii.Error, ValueError):
+        return False
+
+
 def _literal(v: str, bare: bool) -> bool:
     if len(v) < 6 or "\n" in v or _PLACEHOLDER.match(v) or _HASH.match(v) or _LOOKUP.search(v) or " " in v.strip():
         return False
@@ -155,6 +188,8 @@ class Scanner:
     def find(self, text: str) -> list[tuple[int, int]]:
         """Spans of the credentials in ``text``, in order, none inside another."""
         spans: set[tuple[int, int]] = set()
+        self.ends: list[tuple[int, int]] | None = None
+        self.key: tuple = (-1, -1, None)
         for end, (n, rules) in self.automaton.iter(_lower(text)):
             at = end - n + 1
             for kind, word in rules:
@@ -168,7 +203,11 @@ class Scanner:
 
     def _pem(self, text: str, at: int, _: str):
         if m := _PEM.match(text, at):
-            yield m.span()
+            if self.ends is None:
+                self.ends = [e.span() for e in _PEM_END.finditer(text)]
+            i = bisect.bisect_left(self.ends, (m.end(), 0))
+            if i < len(self.ends):
+                yield at, self.ends[i][1]
 
     def _url(self, text: str, at: int, _: str):
         if (m := _URL.match(text, at)) and not _PLACEHOLDER.match(m[1]) and not m[1].startswith("$"):
@@ -176,7 +215,14 @@ class Scanner:
 
     def _issuer(self, text: str, at: int, word: str):
         if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := _ISSUER[word].match(text, at)):
-            yield m.span()
+            v = m[0]
+            if v.startswith("eyJ") and not _web_token(v):
+                return
+            # A prefix with a filler behind it is a placeholder, unless its checksum says otherwise.
+            if len(set(v)) < 8 and not (v.startswith("gh") and v[3] == "_" and _checksum(v)):
+                return
+            start = m.start() + (len("AccountKey=") if word == "accountkey=" else 0)
+            yield start, m.end()
 
     def _scheme(self, text: str, at: int, word: str):
         if (at == 0 or not text[at - 1].isalnum()) and (m := _SCHEME.match(text, at)):
@@ -185,9 +231,17 @@ class Scanner:
                 yield m.start(1), m.start(1) + len(v)
 
     def _named(self, text: str, at: int, word: str):
-        head = _KEY_HEAD.search(text[max(0, at - 64) : at])
-        start = at - len(head[0]) if head else at
-        m = _ASSIGN.match(text, start)
+        start = at
+        while start and text[start - 1] in _KEY_CHARS:
+            start -= 1
+            if self.key[0] <= start < self.key[1]:  # a key that has been read already
+                start = self.key[0]
+                break
+        if start == self.key[0]:
+            m = self.key[2]
+        else:
+            m = _ASSIGN.match(text, start)
+            self.key = (start, m.end("key") if m else start + 1, m)
         if not m or m.start() > at or m.end("key") < at + len(word):
             return
         key = m["key"]
@@ -202,7 +256,7 @@ class Scanner:
             v = v.rstrip(".")
         if m["blank"] and not cli and not _literal(v, True):
             return
-        if _literal(v, group == "bare"):
+        if _literal(v, group == "bare") or group == "val" and m["q"] != "`" and _PASSWORD_KEY.search(key) and _phrase(v) and not _PLACEHOLDER.match(v):
             yield m.start(group), m.start(group) + len(v)
 
     @staticmethod
