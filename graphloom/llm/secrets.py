@@ -66,6 +66,7 @@ _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"(?:Bearer|Basic)[ \t]+([A-Za-z0-9+/_.~=-]{8,})", re.I)
 _URL = re.compile(r"://[^\s/:@'\"`<>]*:([^\s/@'\"`<>]+)@[\w.\[{$-]")
 _ISSUER = {k: re.compile(v) for k, v in ISSUERS.items()}
+_KEY_RUN = re.compile(r"[A-Za-z0-9_.$-]*")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
 #: Keys that name nothing but a password; what is assigned to them needs less of a secret's structure.
 _PASSWORD_KEY = re.compile(r"(?i)(?:^|[_.-]|[a-z](?=P))(?:password|passwd|passphrase|pwd)$")
@@ -241,7 +242,7 @@ class Scanner:
             m = self.key[2]
         else:
             m = _ASSIGN.match(text, start)
-            self.key = (start, m.end("key") if m else start + 1, m)
+            self.key = (start, _KEY_RUN.match(text, at).end(), m)
         if not m or m.start() > at or m.end("key") < at + len(word):
             return
         key = m["key"]

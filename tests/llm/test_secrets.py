@@ -106,7 +106,7 @@ def test_unclosed_blocks_and_long_keys_take_linear_time():
     import time
 
     scanner = P.Scanner()
-    for unit in ("-----BEGIN RSA PRIVATE KEY-----\nabc\n", "tokenpasswordsecret_", "password="):
+    for unit in ("-----BEGIN RSA PRIVATE KEY-----\nabc\n", "tokenpasswordsecret_", "password=a b "):
         t = time.perf_counter()
         scanner.find(unit * 2000)
         first = time.perf_counter() - t
