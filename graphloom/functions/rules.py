@@ -5,38 +5,127 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (label, words) in order; the first label with a word in the text wins (fixed values).
+# The labels, words and patterns below must be as they are for equal results.
+#: (label, words) in order; the first label with a word in the text wins, else symbol_lookup.
 INTENTS = (
-    ("call_chain", ("call", "invoke")),
-    ("inheritance", ("inherit", "subclass", "extends")),
+    ("call_flow", ("call", "caller", "callee")),
+    ("inheritance", ("inherit", "extends", "subclass")),
     ("dependency", ("import", "depend", "use")),
     ("implementation", ("how", "implement")),
-    ("explanation", ("explain", "describe", "what")),
-    ("debugging", ("bug", "error", "fail")),
+    ("explanation", ("explain", "overview", "architecture")),
+    ("debugging", ("bug", "fix", "error")),
 )
-QUERY_TYPES = (
-    ("path", ("path", "reach", "route")),
-    ("impact", ("impact", "affect", "break", "change")),
-    ("dependency", ("depend", "import")),
-    ("reverse_trace", ("who calls", "callers", "called by")),
-    ("trace", ("call", "trace", "flow")),
-    ("architecture", ("architecture", "layer", "component", "module")),
+RELATIONSHIPS = (("call_flow", "CALLS"), ("inheritance", "INHERITS"), ("dependency", "IMPORTS"))
+INTENT_STOP_WORDS = (
+    "who", "what", "where", "how", "why", "does", "is", "a", "an", "the", "in", "from", "and", "or", "to", "for", "with", "call", "calls", "calling", "inherit", "inherits", "import", "imports",
+)
+#: Query types: words, and for the second one the pair of words and the words that forbid it.
+IMPACT_WORDS = ("if i change", "what breaks", "impact", "affected", "modifying", "change to", "if we modify")
+PATH_WORDS = ("path from", "path between", "connect", "reach", "travel from")
+DEPENDENCY_WORDS = ("depend", "dependency", "dependencies", "imports of")
+REVERSE_WORDS = ("who calls", "what calls", "callers of", "called by", "which components call")
+TRACE_WORDS = ("call trace", "trace call", "call chain", "calls from", "callees of")
+ARCHITECTURE_WORDS = ("architecture", "architectural", "flow from", "endpoint to database", "travel through the system", "layer")
+FEATURE_WORDS = ("feature", "implemented", "where is", "how is feature", "system flow")
+QUERY_STOP_WORDS = (
+    "who", "what", "where", "how", "why", "does", "is", "a", "an", "the", "in", "from", "and", "or", "to", "for", "with", "call", "calls", "calling", "inherit", "inherits",
+    "import", "imports", "show", "find", "locate", "defined", "definition", "implemented", "function", "class", "method", "module", "file", "code", "if", "i", "change", "could",
+    "be", "affected", "trace", "path", "between", "reach", "eventually", "components", "system",
+)
+QUESTION_STOP_WORDS = (
+    "what", "where", "show", "find", "locate", "how", "why", "trace", "display", "investigate", "identify", "causes", "components", "depend", "dependencies",
+    "data", "flow", "details", "system", "method", "class", "file", "module", "script", "entry", "point", "storage", "does", "when", "with", "from", "into",
+    "after", "before", "fails", "failing", "fail", "returns", "raises", "error", "issue", "problem", "reason", "impact", "radius", "blast", "change", "modifying",
+    "modified", "delete", "deleted", "remove", "removed", "all", "which", "that", "this", "there", "their", "authenticate", "access", "profile", "lookup", "creation",
+    "journey", "handled", "points", "managed", "check", "implementation", "records", "database", "invalid", "parameters", "direct", "directly", "instantiation",
+)
+CHANGE_SKIP_WORDS = (
+    "the", "and", "for", "not", "add", "reject", "invalid", "values", "value", "arguments", "argument", "input", "with", "negative", "validation", "age", "table", "users", "drop", "run", "database",
+)
+ANSWER_COMMON_WORDS = (
+    "where", "what", "how", "who", "show", "find", "locate", "explain", "describe", "implemented", "defined", "definition", "function", "class", "method", "module",
+    "file", "code", "system", "usage", "call", "calls", "caller", "callee", "issue", "flush", "search", "retrieved", "object", "objects", "stored", "persisted", "formatted", "initialized",
 )
 LAYERS = (
-    ("entry", ("api", "route", "cli", "main", "handler", "controller")),
-    ("persistence", ("store", "repository", "database", "db", "cache", "model")),
-    ("boundary", ("client", "provider", "adapter", "gateway", "external")),
+    ("entry", ("api", "route", "controller", "main", "cli", "endpoint", "handler", "server", "app")),
+    ("persistence", ("repo", "repository", "db", "database", "store", "model", "dao", "entity", "sql", "orm")),
+    ("boundary", ("client", "adapter", "gateway", "external", "remote", "sdk", "http")),
 )
+#: Asset types by words of the path, after the endings .md and .txt (MARKDOWN) and before the endings of images.
 ASSETS = (
-    ("architecture", ("arch",)), ("sequence", ("seq",)), ("class", ("class", "uml")), ("er", ("er",)), ("deployment", ("deploy",)),
-    ("flow", ("flow",)), ("screenshot", ("screen", "ui")),
+    ("ARCHITECTURE_DIAGRAM", ("arch", "overview", "diagram")),
+    ("ER_DIAGRAM", ("er", "schema", "database")),
+    ("UML_DIAGRAM", ("uml", "class")),
+    ("UI_SCREENSHOT", ("ui", "screenshot", "mockup")),
 )
-MIME = {"py": "text/x-python", "js": "text/javascript", "mjs": "text/javascript", "cjs": "text/javascript", "json": "application/json", "toml": "application/toml", "md": "text/markdown", "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "svg": "image/svg+xml"}
+IMAGES = (".png", ".jpg", ".jpeg", ".svg")
+MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".svg": "image/svg+xml", ".md": "text/markdown", ".txt": "text/plain", ".py": "text/x-python"}
 FAILURES = (
-    ("IMPORT", ("importerror", "modulenotfound")), ("SYNTAX", ("syntaxerror", "indentationerror")), ("ASSERTION", ("assert",)), ("TYPE", ("typeerror",)),
-    ("ATTRIBUTE", ("attributeerror",)), ("KEY", ("keyerror", "indexerror")), ("VALUE", ("valueerror",)), ("TIMEOUT", ("timeout",)), ("IO", ("oserror", "filenotfound", "permission")),
+    ("SYNTAX_ERROR", ("syntaxerror", "indentationerror", "invalid syntax")),
+    ("IMPORT_ERROR", ("importerror", "modulenotfounderror", "no module named")),
+    ("TYPE_ERROR", ("typeerror",)),
+    ("ASSERTION_FAILURE", ("assertionerror", "assert")),
+    ("TEST_TIMEOUT", ("timeout", "timed out")),
+    ("MISSING_SYMBOL", ("attributeerror", "nameerror", "has no attribute", "is not defined")),
+    ("PATCH_APPLICATION_FAILURE", ("patch application", "patch failed", "patch file")),
+    ("REGRESSION", ("regression", "baseline")),
+    ("ENVIRONMENT_FAILURE", ("environment", "no pytest")),
+    ("RUNTIME_ERROR", ("keyerror", "valueerror", "indexerror", "runtimeerror")),
+)
+DANGEROUS = (
+    r"\bdrop\s+(table|database|schema|view|index)\b",
+    r"\btruncate\s+(table|\w+)\b",
+    r"\balter\s+(table|database)\b",
+    r"\bdelete\s+from\b",
+    r"\bdatabase\s+migration\b",
+    r"\bdrop\s+table\b",
+)
+BLOCKED_WORDS = ("migration", "schema", "database", "sql", "table")
+GATE_WORDS = ("migration", "schema", "database", "table")
+UNKNOWN_WORDS = ("non-existent", "unknown", "cloudformation", "swift ios", "machinelearning", "ambiguous", "redis", "graphql")
+SENSITIVE = (".env", "id_rsa", "credentials", "secret", ".pem")
+FORBIDDEN_GIT = ("reset", "clean", "rebase", "cherry-pick", "branch -d", "branch -D", "push --force", "push -f", "checkout .", "restore .")
+FORBIDDEN_REPAIR = ("git commit", "git push", "rm -rf", "drop table", "delete from", "subprocess", "os.system", "eval(", "exec(", "chmod", "chown")
+#: What a drawing of each kind shows: (asset type, word of its name, source, relation, target).
+DRAWINGS = (
+    ("ARCHITECTURE_DIAGRAM", "arch", "AuthService", "USES", "PostgreSQL"),
+    ("ARCHITECTURE_DIAGRAM", "arch", "AuthService", "USES", "Redis"),
+    ("ER_DIAGRAM", "er", "Order", "REFERENCES", "User"),
+    ("UML_DIAGRAM", "uml", "AdminUser", "INHERITS", "User"),
 )
-DANGEROUS = r"(?i)\b(?:drop\s+(?:table|database)|truncate\s+table|delete\s+from\s+\w+\s*;|rm\s+-rf)\b"
+IGNORED_DIRS = (
+    ".git", ".hg", ".svn", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".cache", "coverage", ".htmlcov", ".idea",
+    ".vscode", ".venv", "venv", "env", "node_modules", ".next", ".nuxt", "dist", "build", "target", "out", "site-packages", ".eggs",
+)
+MAX_FILE_BYTES = 5 * 1024 * 1024
+# End of the fixed values.
+
+
+def has_any(text: Column, words) -> Column:
+    """Whether lower-case ``text`` holds one of the words."""
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def query_type(text: Column) -> Column:
+    """The kind of analysis a question asks for; the first that fits."""
+    q = F.lower(text)
+    path = (has_any(q, PATH_WORDS) | q.contains(" to ") & q.contains("how does")) & ~q.contains("architecture") & ~q.contains("endpoint")
+    return (
+        F.when(has_any(q, IMPACT_WORDS), "IMPACT_ANALYSIS").when(path, "PATH_FINDING").when(has_any(q, DEPENDENCY_WORDS) & ~q.contains("who calls"), "DEPENDENCY_ANALYSIS")
+        .when(has_any(q, REVERSE_WORDS), "REVERSE_DEPENDENCY").when(has_any(q, TRACE_WORDS), "CALL_TRACE").when(has_any(q, ARCHITECTURE_WORDS), "ARCHITECTURE_FLOW")
+        .when(has_any(q, FEATURE_WORDS), "FEATURE_TRACE").otherwise("CALL_TRACE")
+    )
+
+
+def asset_type(path: Column) -> Column:
+    low = F.lower(path)
+    image = F.lit(False)
+    for e in IMAGES:
+        image = image | low.endswith(e)
+    return F.when(low.endswith(".md") | low.endswith(".txt"), "MARKDOWN").otherwise(F.coalesce(F.nullif(by_words(path, ASSETS, ""), F.lit("")), F.when(image, "IMAGE").otherwise("SOURCE")))
 
 
 def by_words(text: Column, rules, default: str) -> Column:
@@ -52,34 +141,50 @@ def by_words(text: Column, rules, default: str) -> Column:
 
 def mime_type(path: Column) -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
-    return F.coalesce(kinds[F.lower(F.element_at(F.split(path, r"\."), -1))], F.lit("application/octet-stream"))
+    return F.coalesce(kinds[F.lower(F.concat(F.lit("."), F.element_at(F.split(path, r"\."), -1)))], F.lit("application/octet-stream"))
 
 
 def path_problem(path: Column) -> Column:
     """Why a relative path is unsafe, or null."""
     return (
-        F.when(path.isNull() | (F.trim(path) == ""), "empty")
+        F.when(path.isNull() | (path == ""), "empty")
+        .when(path.contains("../") | path.contains("..\\") | path.startswith(".."), "traversal")
+        .when(path.startswith("/") | (F.substring(path, 2, 1) == ":"), "absolute")
         .when(path.contains("\0"), "null byte")
-        .when(path.startswith("/") | path.rlike(r"^[A-Za-z]:"), "absolute")
-        .when(path.rlike(r"(?:^|/)\.\.(?:/|$)"), "traversal")
     )
 
 
-def risk_level(content: Column, n_files: Column, n_entities: Column) -> Column:
+def dangerous(text: Column) -> Column:
+    """Whether a text asks for a change of database structure."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for rx in DANGEROUS:
+        out = out | low.rlike(rx)
+    return out
+
+
+def risk_level(text: Column, n_files: Column, n_entities: Column) -> Column:
+    """The risk of a change by all it says (objective, paths, targets, descriptions) and by its size."""
     return (
-        F.when(content.rlike(DANGEROUS), "BLOCKED")
+        F.when(F.coalesce(dangerous(text) | has_any(F.lower(text), BLOCKED_WORDS), F.lit(False)), "BLOCKED")
         .when((n_files > 3) | (n_entities > 5), "HIGH")
         .when((n_files >= 2) | (n_entities > 2), "MEDIUM")
         .otherwise("LOW")
     )
 
 
+def request_gate(text: Column) -> Column:
+    """What a request is stopped for before anything is planned."""
+    low = F.lower(text)
+    return F.when(dangerous(text) | has_any(low, GATE_WORDS), "BLOCKED").when(has_any(low, UNKNOWN_WORDS), "ABSTAIN").otherwise("OPEN")
+
+
 def confidence(n_nodes: Column, n_citations: Column) -> Column:
     return F.when((n_nodes >= 2) & (n_citations >= 1), "high").when(n_nodes >= 1, "medium").otherwise("low")
 
 
 def branch_problem(name: Column) -> Column:
     return (
-        F.when(name.isNull() | (name == ""), "empty").when(name.startswith("-"), "leading dash").when(name.contains(".."), "double dot")
-        .when(name.rlike(r"[\s~^:?*\[\\]"), "forbidden character").when(name.endswith("/") | name.endswith(".lock"), "bad ending")
+        F.when(name.isNull() | (name == ""), "empty").when(F.length(name) > 100, "too long").when(name.startswith("-") | name.startswith("/"), "bad start")
+        .when(name.contains("..") | name.contains("@{") | name.contains("\\"), "forbidden sequence").when(~name.rlike("^[a-zA-Z0-9_/-]+$"), "forbidden character")
     )

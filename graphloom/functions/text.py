@@ -11,23 +11,42 @@ SYMBOL = r"^[A-Z][a-zA-Z0-9_]+$"
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 CITATION = r"\[(E\d+)\]"
 
-#: Patterns of secrets in source text, and what replaces them (fixed values).
+# The patterns below must be as they are for equal results.
+#: Secrets in the added lines of a diff; the first pattern that matches counts.
 SECRETS = (
-    ("aws_access_key", r"AKIA[0-9A-Z]{16}"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    ("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("bearer", r"(?i)bearer\s+[A-Za-z0-9._~+/-]{20,}"),
-    ("assigned", r"(?i)(?:api_key|apikey|secret|password|token)\s*[:=]\s*['\"][^'\"\s]{8,}['\"]"),
+    r"AKIA[0-9A-Z]{16}",
+    r"ghp_[a-zA-Z0-9]{36}",
+    r"gho_[a-zA-Z0-9]{36}",
+    r"-----BEGIN\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY",
+    r"xox[baprs]-[0-9a-zA-Z]{10,48}",
+    r"(?i)EYJ[0-9A-ZA-Z_-]+\.[0-9A-ZA-Z_-]+\.[0-9A-ZA-Z_-]+",
+    r"(?i)(?:api_key|access_token|secret_key|password)\s*[:=]\s*['\"](?![A-Za-z0-9_]*TEST[A-Za-z0-9_]*)[A-Za-z0-9_/-]{16,}['\"]",
 )
-#: Phrases of prompt injection (fixed values).
+#: What is put in place of secrets in logs and traces.
+REDACTIONS = (
+    (r"AKIA[0-9A-Z]{16}", "AKIA[REDACTED_AWS_KEY]"),
+    (r"ghp_[a-zA-Z0-9]{36}", "ghp_[REDACTED_GITHUB_TOKEN]"),
+    (r"gho_[a-zA-Z0-9]{36}", "gho_[REDACTED_OAUTH_TOKEN]"),
+    (r"nvapi-[a-zA-Z0-9_-]{40,64}", "nvapi-[REDACTED_NIM_KEY]"),
+    (r"-----BEGIN\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY[\s\S]+?-----END\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    (r"(?i)Bearer\s+[a-zA-Z0-9._-]+", "Bearer [REDACTED_TOKEN]"),
+    (r"(?i)(?:password|secret|api_key|access_token)\s*[:=]\s*['\"](?![A-Za-z0-9_]*TEST[A-Za-z0-9_]*)[A-Za-z0-9_/-]{16,}['\"]", "secret='[REDACTED]'"),
+)
+LOG_REDACTIONS = (
+    (r"ghp_[a-zA-Z0-9]{36}", "ghp_REDACTED"),
+    (r"gho_[a-zA-Z0-9]{36}", "gho_REDACTED"),
+    (r"(?i)Bearer\s+[a-zA-Z0-9._-]+", "Bearer REDACTED"),
+)
+#: Prompt injection; the first pattern that matches counts.
 INJECTIONS = (
-    ("ignore", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions"),
-    ("reveal", r"(?i)(?:reveal|print|show)\s+(?:the\s+)?(?:system\s+prompt|hidden\s+instructions)"),
-    ("role", r"(?i)you\s+are\s+now\s+(?:a|an|the)\s+"),
-    ("bypass", r"(?i)(?:bypass|disable)\s+(?:all\s+)?(?:safety|security|guard)"),
-    ("execute", r"(?i)execute\s+(?:the\s+)?(?:following|this)\s+(?:command|code|shell)"),
-    ("exfiltrate", r"(?i)(?:send|upload|post)\s+.{0,40}(?:credentials|secrets|tokens)\s+to"),
+    r"(?i)ignore\s+(?:all\s+)?(?:previous|system)\s+instructions",
+    r"(?i)run\s+git\s+push\s+--force",
+    r"(?i)upload\s+(?:token|secret|credentials|repository)\s+to",
+    r"(?i)delete\s+(?:repository|existing\s+branch|main)",
+    r"(?i)exec\s*\(\s*['\"]",
+    r"(?i)os\.system\s*\(",
 )
+# End of the fixed values.
 
 
 def lines(text: Column) -> Column:
@@ -66,14 +85,56 @@ def symbols(text: Column) -> Column:
     return F.filter(F.split(text, NOT_WORD), lambda t: t.rlike(SYMBOL))
 
 
-def first_match(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
-    out = F.lit(None).cast("string")
-    for name, rx in reversed(patterns):
-        out = F.when(text.rlike(rx), F.lit(name)).otherwise(out)
+def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The number, from 1, of the first pattern that matches, or null."""
+    out = F.lit(None).cast("int")
+    for i in range(len(patterns), 0, -1):
+        out = F.when(text.rlike(patterns[i - 1]), F.lit(i)).otherwise(out)
     return out
 
 
-def redact(text: Column, patterns: tuple[tuple[str, str], ...] = SECRETS, mark: str = "[REDACTED]") -> Column:
-    for _, rx in patterns:
-        text = F.regexp_replace(text, rx, mark)
+def first_hit(text: Column, patterns: tuple[str, ...]) -> Column:
+    """What the first pattern that matches finds, or null."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, rx, 0), F.lit("")) for rx in patterns])
+
+
+def secret_in_diff(diff: Column) -> Column:
+    """The first twelve characters of the first secret in the added lines of a diff, or null."""
+    added = F.filter(lines(diff), lambda x: x.startswith("+") & ~x.startswith("+++"))
+    hits = F.filter(F.transform(added, lambda x: first_hit(F.substring(x, 2, 1 << 30), SECRETS)), lambda h: h.isNotNull())
+    return F.substring(F.get(hits, F.lit(0)), 1, 12)
+
+
+def redact(text: Column, rules: tuple[tuple[str, str], ...] = REDACTIONS) -> Column:
+    for rx, mark in rules:
+        text = F.regexp_replace(text, rx, mark.replace("\\", "\\\\").replace("$", "\\$"))
     return text
+
+
+def words_but(text: Column, stop: tuple[str, ...], token: str = TOKEN, least: int = 2) -> Column:
+    """Ordered distinct tokens of at least ``least`` characters that are no stop words."""
+    stop_ = F.array(*[F.lit(w) for w in stop])
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: (F.length(t) >= least) & ~F.array_contains(stop_, F.lower(t))))
+
+
+def keywords(text: Column) -> Column:
+    """Search words: lower case, dots stripped, longer than two; a dotted path gives its parts, then itself."""
+    low = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(F.lower(t), r"^\.+|\.+$", ""))
+    low = F.filter(low, lambda t: F.length(t) > 2)
+    parts = lambda t: F.when(t.contains("."), F.array_append(F.filter(F.split(t, r"\."), lambda p: F.length(p) > 2), t)).otherwise(F.array(t))
+    return F.array_distinct(F.flatten(F.transform(low, parts)))
+
+
+#: ``file::test - Error: message``, with or without FAILED before it.
+FAILURE = r"(?:FAILED\s+)?([^\s:]+(?:\.py)?)::([^\s\-]+)\s*-\s*([A-Za-z0-9_]+):\s*(.*)"
+
+
+def failure_record(line: Column) -> Column:
+    """struct(test_file, test_name, error_type, message) of a failure line; other lines split at their first colon."""
+    part = lambda i: F.trim(F.regexp_extract(line, FAILURE, i))
+    hit, at = line.rlike(FAILURE), F.instr(line, ":")
+    return F.struct(
+        F.when(hit, part(1)).otherwise("test").alias("test_file"), F.when(hit, part(2)).otherwise("test_execution").alias("test_name"),
+        F.when(hit, part(3)).when(at > 0, F.trim(F.substring_index(line, ":", 1))).otherwise("UNKNOWN").alias("error_type"),
+        F.when(hit, part(4)).when(at > 0, F.trim(F.substr(line, at + 1))).otherwise(line).alias("message"),
+    )

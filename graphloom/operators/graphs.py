@@ -13,6 +13,8 @@ from graphloom.catalog import clean_id, materialize
 TRACE = ("CALLS", "IMPORTS", "INHERITS")
 #: Cost of a hop by its type (fixed values); other types cost 3.
 HOP_COST = {"CALLS": 1.0, "IMPORTS": 2.0, "INHERITS": 1.5}
+#: Types that context is expanded over.
+EXPAND = ("CALLS", "IMPORTS", "INHERITS", "DEFINES")
 DECAY = {0: 1.0, 1: 0.7, 2: 0.4}
 
 
@@ -81,23 +83,26 @@ def path_cost(rels):
     return F.size(rels) * F.lit(10.0) + F.aggregate(rels, F.lit(0.0), lambda acc, r: acc + step(r))
 
 
-def bfs(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool = False, rels: tuple[str, ...] | None = None) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, max_hops: int | None, reverse: bool = False, rels: tuple[str, ...] | None = None) -> DataFrame:
     """(repository_id, start, id, distance, rel): least number of hops from each start, with the type of the edge at the
-    reached node's end (the least name among the shortest). Frontier join, minimum, anti-join on visited; stops when a
-    round finds nothing; each round is stored so that lineage stays short."""
+    reached node's end (the least name among the shortest). Without ``max_hops`` it goes on until nothing new is reached.
+
+    One table of what has been reached, by start and id: each round joins the newest rows with the edges and merges the
+    result by the least distance, so a round reads that table once and not every round before it. A round is stored, and the
+    count of its newest rows ends the search.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges if rels is None else edges.where(F.col("rel").isin(*rels))
-    e = e.select("repository_id", F.col(a).alias("id"), F.col(b).alias("nxt"), "rel")
-    front = starts.select("repository_id", F.col("id").alias("start"), "id").distinct()
-    seen = front.withColumn("distance", F.lit(0)).withColumn("rel", F.lit(None).cast("string"))
-    for hop in range(1, max_hops + 1):
-        step = front.join(e, ["repository_id", "id"]).groupBy("repository_id", "start", F.col("nxt").alias("id")).agg(F.min("rel").alias("rel"))
-        new = step.join(seen.select("repository_id", "start", "id"), ["repository_id", "start", "id"], "left_anti").withColumn("distance", F.lit(hop))
-        new = materialize(new.select("repository_id", "start", "id", "distance", "rel"), f"bfs-{hop}")
-        if new.isEmpty():
+    e = e.select("repository_id", F.col(a).alias("id"), F.col(b).alias("nxt"), F.col("rel").alias("via"))
+    seen = starts.select("repository_id", F.col("id").alias("start"), "id").distinct().withColumn("distance", F.lit(0)).withColumn("rel", F.lit(None).cast("string"))
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        step = seen.where(F.col("distance") == hop - 1).join(e, ["repository_id", "id"]).select("repository_id", "start", F.col("nxt").alias("id"), F.lit(hop).alias("distance"), F.col("via").alias("rel"))
+        best = F.min(F.struct("distance", "rel")).alias("x")
+        seen = materialize(seen.unionByName(step).groupBy("repository_id", "start", "id").agg(best).select("repository_id", "start", "id", "x.distance", "x.rel"), f"bfs-{hop}")
+        if hop != max_hops and seen.where(F.col("distance") == hop).isEmpty():
             break
-        seen = seen.unionByName(new)
-        front = new.select("repository_id", "start", "id")
     return seen
 
 

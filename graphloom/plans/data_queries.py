@@ -37,26 +37,8 @@ def p2_back_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
-    return H.hierarchy(links, materialize(H.cycle_nodes(links), "cycles"))
-
-
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.with_descendant_counts(_tree(spark, sf_dir)).select(
-        F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), "root", F.col("depth").cast("bigint").alias("depth"),
-        F.array_join("path", " > ").alias("path"), "n_descendants",
-    )
-
-
-def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.descendants(_tree(spark, sf_dir)).select(
-        F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), "descendant", F.col("distance").cast("bigint").alias("distance")
-    )
-
-
-def p2_all_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p2_hierarchy`` with the descendants over every parent counted; the path is that over the least parents."""
+    """The path of a node with several parents is that over the least of their ids; descendants count over every parent."""
     links = _links(spark, sf_dir)
     cycles = materialize(H.cycle_nodes(links), "cycles")
     return H.with_descendant_counts(H.hierarchy(links, cycles), H.all_descendants(links, cycles)).select(
@@ -65,15 +47,15 @@ def p2_all_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p2_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The descendants over every parent. ``p2_descendants`` follows its statement, which keeps the least parent only."""
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants over every parent, each with its least distance."""
     links = _links(spark, sf_dir)
     return H.all_descendants(links, materialize(H.cycle_nodes(links), "cycles")).select(
         F.col("scope").alias("repository_id"), F.col("node").alias("node_id"), "descendant", F.col("distance").cast("bigint").alias("distance")
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_back_links, p2_hierarchy, p2_descendants, p2_all_hierarchy, p2_all_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_back_links, p2_hierarchy, p2_descendants)}
 
 _LIVES = f"""
 lives AS (
@@ -121,8 +103,12 @@ tree(scope, node, root, depth, path) AS (
   SELECT scope, node, node, 0, [node] FROM ids i WHERE NOT EXISTS (SELECT 1 FROM parent p WHERE p.scope = i.scope AND p.node = i.node)
   UNION ALL
   SELECT p.scope, p.node, t.root, t.depth + 1, list_append(t.path, p.node) FROM tree t JOIN parent p ON p.scope = t.scope AND p.up = t.node),
-pairs AS (
-  SELECT scope, node AS descendant, depth, unnest(path[1:depth]) AS node, unnest(range(depth)) AS pos FROM tree)
+kept AS (SELECT l.* FROM links l WHERE NOT EXISTS (SELECT 1 FROM back k WHERE k.scope = l.scope AND k.a = l.a AND k.b = l.b)),
+below(scope, node, descendant, d) AS (
+  SELECT scope, a, b, 1 FROM kept
+  UNION
+  SELECT w.scope, w.node, k.b, w.d + 1 FROM below w JOIN kept k ON k.scope = w.scope AND k.a = w.descendant),
+pairs AS (SELECT scope, node, descendant, min(d) AS distance FROM below GROUP BY 1, 2, 3)
 """
 
 ORACLE = {
@@ -136,5 +122,5 @@ ORACLE = {
     "p2_hierarchy": f"""{_TREE} SELECT t.scope AS repository_id, t.node AS node_id, root, CAST(t.depth AS BIGINT) AS depth,
         array_to_string(path, ' > ') AS path, coalesce(n, 0) AS n_descendants
         FROM tree t LEFT JOIN (SELECT scope, node, count(*) AS n FROM pairs GROUP BY 1, 2) c USING (scope, node)""",
-    "p2_descendants": f"{_TREE} SELECT scope AS repository_id, node AS node_id, descendant, CAST(depth - pos AS BIGINT) AS distance FROM pairs",
+    "p2_descendants": f"{_TREE} SELECT scope AS repository_id, node AS node_id, descendant, CAST(distance AS BIGINT) AS distance FROM pairs",
 }

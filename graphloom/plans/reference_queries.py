@@ -174,14 +174,16 @@ def exact_dups(spark, d):
 
 
 @query(
-    """SELECT path, any_value(CASE WHEN contains(lower(path), 'arch') THEN 'architecture' WHEN contains(lower(path), 'seq') THEN 'sequence' WHEN contains(lower(path), 'class') OR contains(lower(path), 'uml') THEN 'class'
-      WHEN contains(lower(path), 'er') THEN 'er' WHEN contains(lower(path), 'deploy') THEN 'deployment' WHEN contains(lower(path), 'flow') THEN 'flow' WHEN contains(lower(path), 'screen') OR contains(lower(path), 'ui') THEN 'screenshot' ELSE 'unknown' END) AS asset,
-      any_value(CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) WHEN 'py' THEN 'text/x-python' WHEN 'js' THEN 'text/javascript' WHEN 'mjs' THEN 'text/javascript' WHEN 'cjs' THEN 'text/javascript' WHEN 'json' THEN 'application/json' WHEN 'toml' THEN 'application/toml' ELSE 'application/octet-stream' END) AS mime
-      FROM source_files WHERE path IS NOT NULL GROUP BY path""".replace("\\\\", "\\")
+    r"""SELECT DISTINCT path, CASE WHEN regexp_matches(lower(path), '\.(md|txt)$') THEN 'MARKDOWN' WHEN regexp_matches(lower(path), 'arch|overview|diagram') THEN 'ARCHITECTURE_DIAGRAM'
+      WHEN regexp_matches(lower(path), 'er|schema|database') THEN 'ER_DIAGRAM' WHEN regexp_matches(lower(path), 'uml|class') THEN 'UML_DIAGRAM' WHEN regexp_matches(lower(path), 'ui|screenshot|mockup') THEN 'UI_SCREENSHOT'
+      WHEN regexp_matches(lower(path), '\.(png|jpg|jpeg|svg)$') THEN 'IMAGE' ELSE 'SOURCE' END AS asset,
+      CASE lower(regexp_extract(path, '\.([^.]*)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' WHEN 'md' THEN 'text/markdown'
+        WHEN 'txt' THEN 'text/plain' WHEN 'py' THEN 'text/x-python' ELSE 'application/octet-stream' END AS mime
+      FROM source_files WHERE path IS NOT NULL"""
 )
 def asset_types(spark, d):
     p = F.col("path")
-    return table(spark, d, "source_files").where("path is not null").select("path", rules.by_words(p, rules.ASSETS, "unknown").alias("asset"), rules.mime_type(p).alias("mime")).distinct()
+    return table(spark, d, "source_files").where("path is not null").select("path", rules.asset_type(p).alias("asset"), rules.mime_type(p).alias("mime")).distinct()
 
 
 # -- lookups, seeds and neighbours (P2-P6, J8-J11, G1, G8, G10) -------------------------------------------------------
@@ -373,20 +375,27 @@ def impact_summary(spark, d):
     )
 
 
-_INHERIT = f"""WITH RECURSIVE {_GRAPH}, st AS (SELECT DISTINCT repository_id, src AS id FROM ge WHERE rel = 'INHERITS'),
-      b(repository_id, start, id) AS (SELECT repository_id, id, id FROM st UNION SELECT b.repository_id, b.start, ge.dst FROM b JOIN ge ON ge.repository_id = b.repository_id AND ge.src = b.id AND rel = 'INHERITS')"""
+def _inherit_sql(a: str, b: str) -> str:
+    return f"""WITH RECURSIVE {_GRAPH}, st AS (SELECT DISTINCT repository_id, {a} AS id FROM ge WHERE rel = 'INHERITS'),
+      b(repository_id, start, id) AS (SELECT repository_id, id, id FROM st UNION SELECT b.repository_id, b.start, ge.{b} FROM b JOIN ge ON ge.repository_id = b.repository_id AND ge.{a} = b.id AND rel = 'INHERITS')
+      SELECT repository_id, start, id FROM b WHERE start <> id"""
 
 
-@query(_INHERIT + " SELECT repository_id, start, id FROM b WHERE start <> id")
+@query(f"SELECT 'up' AS direction, * FROM ({_inherit_sql('src', 'dst')}) UNION ALL SELECT 'down', * FROM ({_inherit_sql('dst', 'src')})")
 def inheritance_closure(spark, d):
+    """What a class inherits from and what inherits from it, over any number of hops."""
     n, e = graph_of(spark, d)
-    st = e.where("rel = 'INHERITS'").select("repository_id", F.col("src").alias("id")).distinct()
-    return G.bfs(e, st, 100, rels=("INHERITS",)).where("distance > 0").select("repository_id", "start", "id")
+    out = None
+    for direction, here in (("up", "src"), ("down", "dst")):
+        st = e.where("rel = 'INHERITS'").select("repository_id", F.col(here).alias("id")).distinct()
+        part = G.bfs(e, st, None, reverse=direction == "down", rels=("INHERITS",)).where("distance > 0").select(F.lit(direction).alias("direction"), "repository_id", "start", "id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
     f"""WITH {_GRAPH}, {_TOKENS}, s0 AS (SELECT qid AS grp, repository_id, id, score FROM sd),
-      u AS (SELECT repository_id, src AS a, dst AS b FROM ge UNION SELECT repository_id, dst, src FROM ge),
+      u AS (SELECT repository_id, src AS a, dst AS b FROM ge WHERE rel IN ('CALLS','IMPORTS','INHERITS','DEFINES') UNION SELECT repository_id, dst, src FROM ge WHERE rel IN ('CALLS','IMPORTS','INHERITS','DEFINES')),
       h1 AS (SELECT grp, repository_id, b AS id, max(score * 0.7::DOUBLE) AS score FROM s0 JOIN u USING (repository_id) WHERE u.a = s0.id GROUP BY 1, 2, 3),
       x1 AS (SELECT * FROM h1 WHERE NOT EXISTS (SELECT 1 FROM s0 WHERE s0.grp = h1.grp AND s0.repository_id = h1.repository_id AND s0.id = h1.id)),
       h2 AS (SELECT grp, repository_id, b AS id, max(score * 0.4::DOUBLE) AS score FROM x1 JOIN u USING (repository_id) WHERE u.a = x1.id GROUP BY 1, 2, 3),
@@ -396,10 +405,11 @@ def inheritance_closure(spark, d):
 def neighbour_expand(spark, d):
     n, e = graph_of(spark, d)
     s = materialize(item_seeds(spark, d, n).select(F.col("qid").alias("grp"), "repository_id", "id", "score"), "seeds")
-    return G.expand(e, s).select("grp", "repository_id", "id", F.round("score", 6).alias("score"), big("distance"))
+    return G.expand(e.where(F.col("rel").isin(*G.EXPAND)), s).select("grp", "repository_id", "id", F.round("score", 6).alias("score"), big("distance"))
 
 
-_LAYER = "CASE WHEN regexp_matches(x, 'api|route|cli|main|handler|controller') THEN 'entry' WHEN regexp_matches(x, 'store|repository|database|db|cache|model') THEN 'persistence' WHEN regexp_matches(x, 'client|provider|adapter|gateway|external') THEN 'boundary' ELSE 'intermediate' END"
+_LAYER = """CASE WHEN regexp_matches(x, 'api|route|controller|main|cli|endpoint|handler|server|app') THEN 'entry' WHEN regexp_matches(x, 'repo|repository|db|database|store|model|dao|entity|sql|orm') THEN 'persistence'
+      WHEN regexp_matches(x, 'client|adapter|gateway|external|remote|sdk|http') THEN 'boundary' ELSE 'intermediate' END"""
 
 
 @query(f"WITH {_NODES} SELECT repository_id, cid AS id, {_LAYER} AS layer FROM (SELECT *, lower(concat_ws(' ', name, qualified_name, file_path)) AS x FROM ln)")
@@ -471,20 +481,12 @@ def vector_topk_isolated(spark, d):
 
 
 _SECOND = """sl AS (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vid) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS vid, CASE WHEN q.label = v.label THEN 0.9 ELSE 0.5 END AS s
-      FROM embeddings q JOIN embeddings v ON v.label BETWEEN q.label AND q.label + 1 WHERE q.vec_id % 20 = 0 AND v.vec_id % 7 = 0))"""
+      FROM embeddings q JOIN embeddings v ON v.label BETWEEN q.label AND q.label + 1 WHERE q.vec_id % 20 = 0))"""
 
 
 def _second(spark, d):
-    """A rule-scored second ranking: rows of the query's label and the next one, own label first, ten per query."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(0.9).alias("s")), F.struct((F.col("label") + 1).alias("l"), F.lit(0.5).alias("s")))).alias("x")).select("qid", "x.l", "x.s")
-    v = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("vid"), F.col("label").alias("l"))
-    w = Window.partitionBy("qid").orderBy(F.desc("s"), "vid")
-    return q.join(v, "l").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("qid", "vid", "rank")
-
-
-def _second_all(spark, d):
-    """``_second`` over every stored row. Within a label the order is by id only, so ten rows of each label are enough."""
+    """A rule-scored second ranking over every stored row: rows of the query's label and the next one, own label first, ten per
+    query. Within a label the order is by id only, so ten rows of each label are enough."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("vid"), F.col("label").alias("l"))
     by_id = Window.partitionBy("l").orderBy("vid")
     least = e.withColumn("n", F.row_number().over(by_id)).where("n <= 10").drop("n")
@@ -504,14 +506,6 @@ def hybrid_rrf(spark, d):
     return R.rrf(("vector", v), ("graph", g)).where("rank <= 10").select("qid", "entity", "score", "sources", big("rank"))
 
 
-@query()
-def hybrid_rrf_all(spark, d):
-    """``hybrid_rrf``, whose statement lets only every seventh row into the second list, with all rows in both lists."""
-    v = _top(spark, d).select("qid", F.col("vid").alias("entity"), "rank")
-    g = _second_all(spark, d).withColumnRenamed("vid", "entity")
-    return R.rrf(("vector", v), ("graph", g)).where("rank <= 10").select("qid", "entity", "score", "sources", big("rank"))
-
-
 @query(
     f"""WITH {_TOP}, u AS (SELECT qid, vid // 2 AS entity, rank FROM tv)
       SELECT qid, entity, round(sum(1::DOUBLE / (60 + rank)), 8) AS score, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) > 1"""
@@ -619,82 +613,56 @@ def evidence_coverage(spark, d):
 
 
 # -- text (F3-F13, F28-F31, F40, J16, P9) -----------------------------------------------------------------------------
-_LINES = r"string_split(replace(replace(source_code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+def _sql_lines(c: str) -> str:
+    """The lines of a text by any line end, without an empty last one."""
+    ls = f"string_split(regexp_replace({c}, '\\r\\n|[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10))"
+    return f"(CASE WHEN {ls}[-1] = '' THEN {ls}[1:-2] ELSE {ls} END)"
 
 
-@query(f"SELECT evidence_id, array_to_string({_LINES}[2:3], chr(10)) AS part, CAST(len({_LINES}) - CASE WHEN {_LINES}[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM evidence WHERE source_code IS NOT NULL AND NOT regexp_matches(source_code, '[\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AND NOT ends_with(source_code, chr(10)) AND NOT ends_with(source_code, chr(13))")
-def chunk_slice(spark, d, whole=False):
+@query(f"SELECT evidence_id, array_to_string(l[2:3], chr(10)) AS part, CAST(len(l) AS BIGINT) AS n_lines FROM (SELECT evidence_id, {_sql_lines('source_code')} AS l FROM evidence WHERE source_code IS NOT NULL)")
+def chunk_slice(spark, d):
     c = F.col("source_code")
-    t = table(spark, d, "evidence").where(c.isNotNull())
-    t = t if whole else t.where(~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]") & ~c.endswith("\n") & ~c.endswith("\r"))
-    return t.select("evidence_id", X.line_slice(c, F.lit(1), F.lit(2)).alias("part"), F.size(X.lines(c)).cast("bigint").alias("n_lines"))
+    return table(spark, d, "evidence").where(c.isNotNull()).select("evidence_id", X.line_slice(c, F.lit(1), F.lit(2)).alias("part"), F.size(X.lines(c)).cast("bigint").alias("n_lines"))
 
 
-@query()
-def chunk_slice_all(spark, d):
-    """``chunk_slice``, whose statement leaves out texts that end in a line end or hold rarer ones, on every text."""
-    return chunk_slice(spark, d, whole=True)
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT regexp_matches(text, '[\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')),
+@query(f"""WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS no FROM (SELECT doc_id, {_sql_lines('text')} AS x FROM documents WHERE text IS NOT NULL)),
       h AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS rn FROM l WHERE contains(lower(line), 'snapshot') OR contains(lower(line), 'manifest'))
       SELECT doc_id, no, line FROM h WHERE rn <= 5""")
-def keyword_scan(spark, d, whole=False):
+def keyword_scan(spark, d):
     """The first five lines of each document with one of the words."""
     c = F.col("text")
-    t = table(spark, d, "documents").where(c.isNotNull())
-    t = t if whole else t.where(~c.contains("\r") & ~c.rlike(r"[\x0B\x0C\x1C-\x1E\x85  ]"))
     hits = F.filter(F.transform(X.lines(c), lambda x, i: F.struct((i + 1).cast("bigint").alias("no"), x.alias("line"))), lambda s: F.lower(s["line"]).contains("snapshot") | F.lower(s["line"]).contains("manifest"))
-    return t.select("doc_id", F.explode(F.slice(hits, 1, 5)).alias("h")).select("doc_id", "h.no", "h.line")
-
+    return table(spark, d, "documents").where(c.isNotNull()).select("doc_id", F.explode(F.slice(hits, 1, 5)).alias("h")).select("doc_id", "h.no", "h.line")
 
-@query()
-def keyword_scan_all(spark, d):
-    """``keyword_scan``, whose statement knows one line end only, on every document."""
-    return keyword_scan(spark, d, whole=True)
 
-
-_SYM = r"""ln0 AS (SELECT doc_id, no, unnest(string_split_regex(line, '[^\p{L}\p{M}\p{N}_]+')) AS sym FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)))),
+_SYM = rf"""ln0 AS (SELECT doc_id, no, unnest(string_split_regex(line, '[^\p{{L}}\p{{M}}\p{{N}}_]+')) AS sym FROM (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM (SELECT doc_id, {_sql_lines('text')} AS x FROM documents WHERE text IS NOT NULL))),
       sy AS (SELECT doc_id, no, sym FROM ln0 WHERE regexp_full_match(sym, '[A-Z][a-zA-Z0-9_]+') AND regexp_matches(sym, '(Graph|Store|Index|Queue|Cache|Router|Parser|Scanner)$'))"""
 SUFFIXES = ("Graph", "Store", "Index", "Queue", "Cache", "Router", "Parser", "Scanner")
 
 
-def _doc_symbols(spark, d, whole=False):
-    """``whole`` takes documents with any line ends; the statements split at chr(10) and leave out those with chr(13)."""
-    t = table(spark, d, "documents").where("text is not null")
-    t = t if whole else t.where("not contains(text, '\r')")
-    t = t.select("doc_id", F.posexplode(X.lines(F.col("text")) if whole else F.split("text", "\n")).alias("no", "line"))
+def _doc_symbols(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("no", "line"))
     s = t.select("doc_id", "no", F.explode(X.symbols(F.col("line"))).alias("sym"))
     return s.where(F.exists(F.array(*[F.lit(x) for x in SUFFIXES]), lambda x: F.endswith(F.col("sym"), x)))
 
 
 @query(f"WITH {_SYM} SELECT sym, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM sy GROUP BY 1")
-def symbol_mentions(spark, d, whole=False):
-    return _doc_symbols(spark, d, whole).groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
-
-
-@query()
-def symbol_mentions_all(spark, d):
-    return symbol_mentions(spark, d, whole=True)
+def symbol_mentions(spark, d):
+    return _doc_symbols(spark, d).groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(f"WITH {_SYM}, s AS (SELECT DISTINCT doc_id, no, sym FROM sy) SELECT a.sym AS a, b.sym AS b, count(*) AS n FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.no = b.no AND a.sym <> b.sym GROUP BY 1, 2")
-def symbol_comention(spark, d, whole=False):
+def symbol_comention(spark, d):
     """Ordered pairs of different symbols of one line; formed inside the line's own array, so nothing is joined."""
-    per = _doc_symbols(spark, d, whole).groupBy("doc_id", "no").agg(F.collect_set("sym").alias("s")).where("size(s) > 1")
+    per = _doc_symbols(spark, d).groupBy("doc_id", "no").agg(F.collect_set("sym").alias("s")).where("size(s) > 1")
     pairs = F.filter(F.flatten(F.transform("s", lambda x: F.transform("s", lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda p: p["a"] != p["b"])
     return per.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def symbol_comention_all(spark, d):
-    return symbol_comention(spark, d, whole=True)
-
-
-@query(r"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')), lambda t: length(t) >= 2)) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '[a-z_][a-z0-9_]')")
+@query(r"SELECT doc_id, greatest(1, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')), lambda t: length(t) >= 2)) AS BIGINT)) AS n_tokens FROM documents WHERE text IS NOT NULL")
 def token_counts(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & F.lower("text").rlike("[a-z_][a-z0-9_]"))
-    return t.select("doc_id", F.size(X.embedding_tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
+    """A text without tokens counts as one: itself, or the mark of an empty text."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.embedding_tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
 @query(r"SELECT item_id, CAST(len(list_filter(list_distinct(regexp_extract_all(item_text, '[A-Za-z_][A-Za-z0-9_.]*')), lambda t: length(t) >= 2 AND regexp_matches(t, '_|\.|^[A-Z]|.[A-Z]'))) AS BIGINT) AS n_code FROM eval_items")
@@ -702,23 +670,27 @@ def code_tokens(spark, d):
     return table(spark, d, "eval_items").select("item_id", F.size(F.filter(X.ordered_tokens(F.col("item_text")), X.looks_like_code)).cast("bigint").alias("n_code"))
 
 
-def _sql_quote(rx: str) -> str:
-    return rx.replace("'", "''")
-
-
-_SECRET_CASE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{_sql_quote(rx)}') THEN '{n}'" for n, rx in X.SECRETS) + " END"
+# DuckDB's patterns have no look-ahead: values that hold TEST in their leading word are marked before, and the mark taken out.
+_TEST_MARK = r"""regexp_replace({0}, '(?i)((?:{1})\s*[:=]\s*[''"])([A-Za-z0-9_]*TEST)', '\1' || chr(1) || '\2', 'g')"""
+_ADDED = r"""ad AS (SELECT change_id, no, line FROM (SELECT change_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM (SELECT change_id, {lines} AS l FROM patch_changes WHERE diff_snippet IS NOT NULL)) WHERE starts_with(line, '+') AND NOT starts_with(line, '+++')),
+      ht AS (SELECT change_id, no, coalesce(nullif(regexp_extract(x, 'AKIA[0-9A-Z]{{16}}'), ''), nullif(regexp_extract(x, 'ghp_[a-zA-Z0-9]{{36}}'), ''), nullif(regexp_extract(x, 'gho_[a-zA-Z0-9]{{36}}'), ''),
+        nullif(regexp_extract(x, '-----BEGIN\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY'), ''), nullif(regexp_extract(x, 'xox[baprs]-[0-9a-zA-Z]{{10,48}}'), ''), nullif(regexp_extract(x, '(?i)EYJ[0-9A-ZA-Z_-]+\.[0-9A-ZA-Z_-]+\.[0-9A-ZA-Z_-]+'), ''),
+        nullif(regexp_extract({mark}, '(?i)(?:api_key|access_token|secret_key|password)\s*[:=]\s*[''"][A-Za-z0-9_/-]{{16,}}[''"]'), '')) AS hit FROM (SELECT *, substr(line, 2) AS x FROM ad))""".format(
+    lines=_sql_lines("diff_snippet"), mark=_TEST_MARK.format("x", "api_key|access_token|secret_key|password")
+)
 
 
-@query(f"SELECT src, id, hit FROM (SELECT 'evidence' AS src, evidence_id AS id, source_code AS t, {_SECRET_CASE} AS hit FROM (SELECT evidence_id, source_code, source_code AS t FROM evidence) UNION ALL SELECT 'patch', change_id, t, {_SECRET_CASE} FROM (SELECT change_id, new_content AS t FROM patch_changes)) WHERE hit IS NOT NULL")
+@query(f"WITH {_ADDED} SELECT change_id, substr(arg_min(hit, no), 1, 12) AS snippet FROM ht WHERE hit IS NOT NULL GROUP BY 1")
 def secret_scan(spark, d):
-    a = table(spark, d, "evidence").select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("id"), X.first_match(F.col("source_code"), X.SECRETS).alias("hit"))
-    b = table(spark, d, "patch_changes").select(F.lit("patch").alias("src"), F.col("change_id").alias("id"), X.first_match(F.col("new_content"), X.SECRETS).alias("hit"))
-    return a.unionByName(b).where("hit is not null")
+    """The first secret in the added lines of each diff."""
+    t = table(spark, d, "patch_changes").where("diff_snippet is not null").select("change_id", X.secret_in_diff(F.col("diff_snippet")).alias("snippet"))
+    return t.where("snippet is not null")
 
 
-_REDACT = "new_content"
-for _n, _rx in X.SECRETS:
-    _REDACT = f"regexp_replace({_REDACT}, '{_sql_quote(_rx)}', '[REDACTED]', 'g')"
+_REDACT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'AKIA[0-9A-Z]{{16}}', 'AKIA[REDACTED_AWS_KEY]', 'g'), 'ghp_[a-zA-Z0-9]{{36}}', 'ghp_[REDACTED_GITHUB_TOKEN]', 'g'),
+      'gho_[a-zA-Z0-9]{{36}}', 'gho_[REDACTED_OAUTH_TOKEN]', 'g'), 'nvapi-[a-zA-Z0-9_-]{{40,64}}', 'nvapi-[REDACTED_NIM_KEY]', 'g'),
+      '-----BEGIN\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY[\s\S]+?-----END\s+(?:RSA|OPENSSH|EC|PGP|PRIVATE)\s+KEY-----', '[REDACTED_PRIVATE_KEY]', 'g'), '(?i)Bearer\s+[a-zA-Z0-9._-]+', 'Bearer [REDACTED_TOKEN]', 'g')""".format("new_content")
+_REDACT = r"""replace(regexp_replace({0}, '(?i)(?:password|secret|api_key|access_token)\s*[:=]\s*[''"][A-Za-z0-9_/-]{{16,}}[''"]', 'secret=''[REDACTED]''', 'g'), chr(1), '')""".format(_TEST_MARK.format(_REDACT, "password|secret|api_key|access_token"))
 
 
 @query(f"SELECT change_id, sha256({_REDACT}) AS h FROM patch_changes WHERE new_content IS NOT NULL")
@@ -726,29 +698,47 @@ def secret_redact(spark, d):
     return table(spark, d, "patch_changes").where("new_content is not null").select("change_id", F.sha2(X.redact(F.col("new_content")), 256).alias("h"))
 
 
-_INJ_CASE = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_sql_quote(rx)}') THEN '{n}'" for n, rx in X.INJECTIONS) + " ELSE 'none' END"
+@query(
+    r"""SELECT change_id, sha256(regexp_replace(regexp_replace(regexp_replace(new_content, 'ghp_[a-zA-Z0-9]{36}', 'ghp_REDACTED', 'g'), 'gho_[a-zA-Z0-9]{36}', 'gho_REDACTED', 'g'), '(?i)Bearer\s+[a-zA-Z0-9._-]+', 'Bearer REDACTED', 'g')) AS h
+      FROM patch_changes WHERE new_content IS NOT NULL"""
+)
+def log_sanitize(spark, d):
+    return table(spark, d, "patch_changes").where("new_content is not null").select("change_id", F.sha2(X.redact(F.col("new_content"), X.LOG_REDACTIONS), 256).alias("h"))
 
 
-@query(f"SELECT {_INJ_CASE} AS reason, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query(
+    r"""SELECT pattern, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)ignore\s+(?:all\s+)?(?:previous|system)\s+instructions') THEN 1 WHEN regexp_matches(text, '(?i)run\s+git\s+push\s+--force') THEN 2
+      WHEN regexp_matches(text, '(?i)upload\s+(?:token|secret|credentials|repository)\s+to') THEN 3 WHEN regexp_matches(text, '(?i)delete\s+(?:repository|existing\s+branch|main)') THEN 4 WHEN regexp_matches(text, '(?i)exec\s*\(\s*[''"]') THEN 5
+      WHEN regexp_matches(text, '(?i)os\.system\s*\(') THEN 6 ELSE 0 END AS pattern FROM (SELECT text FROM documents UNION ALL SELECT new_content FROM patch_changes UNION ALL SELECT source_code FROM evidence) WHERE text IS NOT NULL) GROUP BY 1"""
+)
 def injection_scan(spark, d):
-    return table(spark, d, "documents").where("text is not null").groupBy(F.coalesce(X.first_match(F.col("text"), X.INJECTIONS), F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    parts = [table(spark, d, t).select(F.col(c).alias("text")) for t, c in (("documents", "text"), ("patch_changes", "new_content"), ("evidence", "source_code"))]
+    t = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("text is not null")
+    return t.groupBy(F.coalesce(X.first_match(F.col("text"), X.INJECTIONS), F.lit(0)).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _words_case(col: str, rs, default: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({col}), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in rs) + f" ELSE '{default}' END"
+@query(
+    """SELECT item_id, CASE WHEN regexp_matches(q, 'call|caller|callee') THEN 'call_flow' WHEN regexp_matches(q, 'inherit|extends|subclass') THEN 'inheritance' WHEN regexp_matches(q, 'import|depend|use') THEN 'dependency'
+      WHEN regexp_matches(q, 'how|implement') THEN 'implementation' WHEN regexp_matches(q, 'explain|overview|architecture') THEN 'explanation' WHEN regexp_matches(q, 'bug|fix|error') THEN 'debugging' ELSE 'symbol_lookup' END AS intent
+      FROM (SELECT item_id, lower(item_text) AS q FROM eval_items)"""
+)
+def intent_classify(spark, d):
+    return table(spark, d, "eval_items").select("item_id", rules.by_words(F.col("item_text"), rules.INTENTS, "symbol_lookup").alias("intent"))
 
 
-@query(f"SELECT item_id, {_words_case('item_text', rules.INTENTS, 'general')} AS intent FROM eval_items")
-def intent_classify(spark, d):
-    return table(spark, d, "eval_items").select("item_id", rules.by_words(F.col("item_text"), rules.INTENTS, "general").alias("intent"))
+_QUERY_TYPE = """CASE WHEN regexp_matches(q, 'if i change|what breaks|impact|affected|modifying|change to|if we modify') THEN 'IMPACT_ANALYSIS'
+      WHEN (regexp_matches(q, 'path from|path between|connect|reach|travel from') OR contains(q, ' to ') AND contains(q, 'how does')) AND NOT contains(q, 'architecture') AND NOT contains(q, 'endpoint') THEN 'PATH_FINDING'
+      WHEN regexp_matches(q, 'depend|dependency|dependencies|imports of') AND NOT contains(q, 'who calls') THEN 'DEPENDENCY_ANALYSIS' WHEN regexp_matches(q, 'who calls|what calls|callers of|called by|which components call') THEN 'REVERSE_DEPENDENCY'
+      WHEN regexp_matches(q, 'call trace|trace call|call chain|calls from|callees of') THEN 'CALL_TRACE' WHEN regexp_matches(q, 'architecture|architectural|flow from|endpoint to database|travel through the system|layer') THEN 'ARCHITECTURE_FLOW'
+      WHEN regexp_matches(q, 'feature|implemented|where is|how is feature|system flow') THEN 'FEATURE_TRACE' ELSE 'CALL_TRACE' END"""
 
 
-@query(f"SELECT item_id, {_words_case('item_text', rules.QUERY_TYPES, 'symbol')} AS query_type FROM eval_items")
+@query(f"SELECT item_id, {_QUERY_TYPE} AS query_type FROM (SELECT item_id, lower(item_text) AS q FROM eval_items)")
 def query_type_classify(spark, d):
-    return table(spark, d, "eval_items").select("item_id", rules.by_words(F.col("item_text"), rules.QUERY_TYPES, "symbol").alias("query_type"))
+    return table(spark, d, "eval_items").select("item_id", rules.query_type(F.col("item_text")).alias("query_type"))
 
 
-@query("SELECT file_id, CASE WHEN path IS NULL OR trim(path) = '' THEN 'empty' WHEN starts_with(path, '/') OR regexp_matches(path, '^[A-Za-z]:') THEN 'absolute' WHEN regexp_matches(path, '(?:^|/)\\.\\.(?:/|$)') THEN 'traversal' ELSE 'ok' END AS problem FROM source_files")
+@query(r"SELECT file_id, CASE WHEN path IS NULL OR path = '' THEN 'empty' WHEN contains(path, '../') OR contains(path, '..\') OR starts_with(path, '..') THEN 'traversal' WHEN starts_with(path, '/') OR substr(path, 2, 1) = ':' THEN 'absolute' ELSE 'ok' END AS problem FROM source_files")
 def path_safety(spark, d):
     return table(spark, d, "source_files").select("file_id", F.coalesce(rules.path_problem(F.col("path")), F.lit("ok")).alias("problem"))
 
@@ -761,10 +751,22 @@ def diff_stats(spark, d):
     return table(spark, d, "patch_changes").where("diff_snippet is not null").select("change_id", n("+").alias("n_added"), n("-").alias("n_removed"))
 
 
-@query("SELECT patch_id, count(DISTINCT file_path) AS n_files, count(*) AS n_changes, CASE WHEN count(DISTINCT file_path) > 3 THEN 'HIGH' WHEN count(DISTINCT file_path) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM patch_changes GROUP BY 1")
+@query(
+    r"""WITH p AS (SELECT patch_id, file_path, regexp_extract_all(coalesce(new_content, ''), '(?:class|def|function)\s+([A-Za-z_]\w*)', 1) AS names, lower(concat_ws(' ', file_path, operation_type, new_content)) AS x FROM patch_changes),
+      r AS (SELECT patch_id, count(DISTINCT file_path) AS n_files, count(*) AS n_changes, coalesce(bool_or(regexp_matches(x, '\bdrop\s+(table|database|schema|view|index)\b|\btruncate\s+(table|\w+)\b|\balter\s+(table|database)\b|\bdelete\s+from\b|\bdatabase\s+migration\b|\bdrop\s+table\b')
+        OR regexp_matches(x, 'migration|schema|database|sql|table')), false) AS bad FROM p GROUP BY 1),
+      e AS (SELECT patch_id, count(DISTINCT n) AS n_entities FROM (SELECT patch_id, unnest(names) AS n FROM p) GROUP BY 1)
+      SELECT patch_id, n_files, n_changes, coalesce(n_entities, 0) AS n_entities, CASE WHEN bad THEN 'BLOCKED' WHEN n_files > 3 OR coalesce(n_entities, 0) > 5 THEN 'HIGH' WHEN n_files >= 2 OR coalesce(n_entities, 0) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM r LEFT JOIN e USING (patch_id)"""
+)
 def patch_scope(spark, d):
-    g = table(spark, d, "patch_changes").groupBy("patch_id").agg(F.countDistinct("file_path").alias("n_files"), F.count(F.lit(1)).alias("n_changes"))
-    return g.withColumn("risk", rules.risk_level(F.lit(""), F.col("n_files"), F.lit(0)))
+    """Risk of a patch by its texts, files and the names it defines; each change is judged on its own row before the aggregate."""
+    t = table(spark, d, "patch_changes")
+    names = F.regexp_extract_all(F.coalesce("new_content", F.lit("")), F.lit(r"(?:class|def|function)\s+([A-Za-z_]\w*)"), F.lit(1))
+    x = F.concat_ws(" ", "file_path", "operation_type", "new_content")
+    g = t.groupBy("patch_id").agg(F.countDistinct("file_path").alias("n_files"), F.count(F.lit(1)).alias("n_changes"), F.bool_or(rules.risk_level(x, F.lit(0), F.lit(0)) == "BLOCKED").alias("bad"))
+    e = t.select("patch_id", F.explode(names).alias("n")).groupBy("patch_id").agg(F.countDistinct("n").alias("n_entities"))
+    j = g.join(e, "patch_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)).cast("bigint"))
+    return j.select("patch_id", "n_files", "n_changes", "n_entities", F.when(F.col("bad"), "BLOCKED").otherwise(rules.risk_level(F.lit(""), F.col("n_files"), F.col("n_entities"))).alias("risk"))
 
 
 @query("SELECT DISTINCT p.repository_id, p.file_path FROM patch_changes p WHERE NOT EXISTS (SELECT 1 FROM source_files s WHERE s.repository_id = p.repository_id AND s.path = p.file_path)")
@@ -800,12 +802,12 @@ _DRIFT = f"""WITH {_GRAPH}, {_SYM}, s AS (SELECT DISTINCT d.repository_id, sy.do
 
 
 @query(_DRIFT)
-def doc_drift(spark, d, whole=False):
+def doc_drift(spark, d):
     """Relations that documents state against relations of the code: found, contradicted, or unknown."""
     n, e = graph_of(spark, d)
     name = n.select("repository_id", "id", F.lower("name").alias("nm"))
     code = e.where("rel in ('CALLS', 'INHERITS')").join(name.select("repository_id", F.col("id").alias("src"), F.col("nm").alias("ks")), ["repository_id", "src"]).join(name.select("repository_id", F.col("id").alias("dst"), F.col("nm").alias("kd")), ["repository_id", "dst"]).select("repository_id", "ks", "kd").distinct()
-    s = _doc_symbols(spark, d, whole).groupBy("doc_id", "no").agg(F.array_sort(F.collect_set("sym")).alias("s")).where("size(s) > 1")
+    s = _doc_symbols(spark, d).groupBy("doc_id", "no").agg(F.array_sort(F.collect_set("sym")).alias("s")).where("size(s) > 1")
     pairs = F.filter(F.flatten(F.transform("s", lambda x: F.transform("s", lambda y: F.struct(x.alias("src"), y.alias("dst"))))), lambda p: p["src"] < p["dst"])
     doc = s.select("doc_id", F.explode(pairs).alias("p")).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "p.src", "p.dst").distinct()
     doc = doc.withColumn("ks", F.lower("src")).withColumn("kd", F.lower("dst"))
@@ -813,24 +815,14 @@ def doc_drift(spark, d, whole=False):
     return j.select("repository_id", "src", "dst", F.when(F.col("m") == 1, "MATCH").when(F.col("c") == 1, "CONFLICT").otherwise("MISSING").alias("status"))
 
 
-@query()
-def doc_drift_all(spark, d):
-    return doc_drift(spark, d, whole=True)
-
-
 @query(f"WITH {_NODES}, {_SYM}, s AS (SELECT DISTINCT repository_id, sym FROM sy JOIN documents USING (doc_id)), k AS (SELECT repository_id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS nm, min(cid) AS id FROM ln WHERE label = 'Class' GROUP BY 1, 2) SELECT s.repository_id, sym, k.id FROM s JOIN k ON k.repository_id = s.repository_id AND k.nm = lower(regexp_replace(sym, '[^A-Za-z0-9]', '', 'g'))")
-def symbol_map(spark, d, whole=False):
+def symbol_map(spark, d):
     norm = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    s = _doc_symbols(spark, d, whole).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "sym").distinct().withColumn("nm", norm("sym"))
+    s = _doc_symbols(spark, d).join(table(spark, d, "documents").select("doc_id", "repository_id"), "doc_id").select("repository_id", "sym").distinct().withColumn("nm", norm("sym"))
     k = nodes_of(spark, d).where("label = 'Class'").groupBy("repository_id", norm("name").alias("nm")).agg(F.min("id").alias("id"))
     return s.join(k, ["repository_id", "nm"]).select("repository_id", "sym", "id")
 
 
-@query()
-def symbol_map_all(spark, d):
-    return symbol_map(spark, d, whole=True)
-
-
 # -- events: spans, latencies, transitions, budgets (A10-A15, A23, A24, F20-F22, F26, W6-W8, W10, W11, M36) -----------
 @query("SELECT user_id, count(*) AS n_spans, round(sum(value), 4) AS total, CASE WHEN bool_or(event_type = 'error') THEN 'ERROR' ELSE 'OK' END AS status FROM events GROUP BY 1")
 def trace_summary(spark, d):
@@ -911,30 +903,41 @@ def event_normalize(spark, d):
     return table(spark, d, "events").select("event_id", F.lower("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
 
-_FAIL = r"fl AS (SELECT doc_id, regexp_extract(m, 'ended in (\w+): (\w+) ''(\w+)'' at line (\d+)', 1) AS fn, regexp_extract(m, 'ended in (\w+): (\w+) ''(\w+)'' at line (\d+)', 2) AS error, CAST(regexp_extract(m, 'at line (\d+)', 1) AS BIGINT) AS line FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'Traceback ended in \w+: \w+ ''\w+'' at line \d+')) AS m FROM documents WHERE text IS NOT NULL))"
+_FAIL = r"""fl AS (SELECT doc_id, CASE WHEN regexp_matches(m, rx) THEN trim(regexp_extract(m, rx, 1)) ELSE 'test' END AS test_file, CASE WHEN regexp_matches(m, rx) THEN trim(regexp_extract(m, rx, 2)) ELSE 'test_execution' END AS test_name,
+      CASE WHEN regexp_matches(m, rx) THEN trim(regexp_extract(m, rx, 3)) WHEN contains(m, ':') THEN trim(split_part(m, ':', 1)) ELSE 'UNKNOWN' END AS error_type,
+      CASE WHEN regexp_matches(m, rx) THEN trim(regexp_extract(m, rx, 4)) WHEN contains(m, ':') THEN trim(substr(m, strpos(m, ':') + 1)) ELSE m END AS message, m
+      FROM (SELECT doc_id, '(?:FAILED\s+)?([^\s:]+(?:\.py)?)::([^\s\-]+)\s*-\s*([A-Za-z0-9_]+):\s*(.*)' AS rx, unnest(regexp_extract_all(text, '(?:FAILED [^\s:]+::[^\s]+ - \w+: [^\n]*|\w*(?:Error|Exception)\b:? ?[^\n.]*)')) AS m FROM documents WHERE text IS NOT NULL))"""
 
 
 def _failures(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"Traceback ended in \w+: \w+ '\w+' at line \d+"), F.lit(0))).alias("m"))
-    rx = r"ended in (\w+): (\w+) '(\w+)' at line (\d+)"
-    return t.select("doc_id", F.regexp_extract("m", rx, 1).alias("fn"), F.regexp_extract("m", rx, 2).alias("error"), F.regexp_extract("m", rx, 4).cast("bigint").alias("line"))
+    """Failure lines and named errors in documents, one row each."""
+    rx = r"(?:FAILED [^\s:]+::[^\s]+ - \w+: [^\n]*|\w*(?:Error|Exception)\b:? ?[^\n.]*)"
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("m"))
+    return t.select("doc_id", X.failure_record(F.col("m")).alias("r"), "m").select("doc_id", "r.*", "m")
+
+
+_FAILURE_KIND = """CASE WHEN regexp_matches(x, 'syntaxerror|indentationerror|invalid syntax') THEN 'SYNTAX_ERROR' WHEN regexp_matches(x, 'importerror|modulenotfounderror|no module named') THEN 'IMPORT_ERROR' WHEN contains(x, 'typeerror') THEN 'TYPE_ERROR'
+      WHEN regexp_matches(x, 'assertionerror|assert') THEN 'ASSERTION_FAILURE' WHEN regexp_matches(x, 'timeout|timed out') THEN 'TEST_TIMEOUT' WHEN regexp_matches(x, 'attributeerror|nameerror|has no attribute|is not defined') THEN 'MISSING_SYMBOL'
+      WHEN regexp_matches(x, 'patch application|patch failed|patch file') THEN 'PATCH_APPLICATION_FAILURE' WHEN regexp_matches(x, 'regression|baseline') THEN 'REGRESSION' WHEN regexp_matches(x, 'environment|no pytest') THEN 'ENVIRONMENT_FAILURE'
+      WHEN regexp_matches(x, 'keyerror|valueerror|indexerror|runtimeerror') THEN 'RUNTIME_ERROR' ELSE 'UNKNOWN' END"""
 
 
-@query(f"WITH {_FAIL} SELECT doc_id, fn, error, line, {_words_case('error', rules.FAILURES, 'UNKNOWN')} AS kind FROM fl")
+@query(f"WITH {_FAIL} SELECT doc_id, test_file, test_name, error_type, message, {_FAILURE_KIND} AS kind FROM (SELECT *, lower(error_type || ' ' || message || ' ' || m) AS x FROM fl)")
 def failure_classify(spark, d):
-    return _failures(spark, d).withColumn("kind", rules.by_words(F.col("error"), rules.FAILURES, "UNKNOWN"))
+    f = _failures(spark, d)
+    return f.select("doc_id", "test_file", "test_name", "error_type", "message", rules.by_words(F.concat_ws(" ", "error_type", "message", "m"), rules.FAILURES, "UNKNOWN").alias("kind"))
 
 
-@query(f"WITH {_FAIL} SELECT doc_id, substr(sha256(string_agg(fn || '|' || error || '|' || line, ';' ORDER BY fn || '|' || error || '|' || line)), 1, 16) AS fingerprint FROM fl GROUP BY 1")
+@query(f"WITH {_FAIL}, k AS (SELECT doc_id, test_name || '|' || error_type || '|' || lower(message) AS x FROM fl) SELECT doc_id, substr(sha256(string_agg(x, ';' ORDER BY x)), 1, 16) AS fingerprint FROM k GROUP BY 1")
 def fingerprint(spark, d):
-    one = F.concat_ws("|", "fn", "error", F.col("line").cast("string"))
+    one = F.concat_ws("|", "test_name", "error_type", F.lower("message"))
     g = _failures(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("f"))
     return g.select("doc_id", F.substring(F.sha2(F.array_join("f", ";"), 256), 1, 16).alias("fingerprint"))
 
 
-@query(f"WITH {_FAIL} SELECT fn, error, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM fl GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"WITH {_FAIL} SELECT test_name, error_type, message, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM fl GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def repeat_detect(spark, d):
-    return _failures(spark, d).groupBy("fn", "error").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n > 1")
+    return _failures(spark, d).groupBy("test_name", "error_type", "message").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n > 1")
 
 
 @query(
