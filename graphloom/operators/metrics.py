@@ -34,3 +34,27 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
 def rounded_index_percentile(values: Column, p: float) -> Column:
     """The element at index round-half-even(p * (n - 1)) of the sorted values."""
     return F.element_at(F.array_sort(values), F.bround(F.lit(p) * (F.size(values) - 1), 0).cast("int") + 1)
+
+
+def rates(rows: DataFrame, parts: dict, values: dict | None = None) -> DataFrame:
+    """One row of rates: ``name: (condition, among, default)`` is the share of rows among ``among`` (all if None) that fulfil the
+    condition, or the default where there are none; ``values`` are aggregates of their own. All in one pass."""
+    out = []
+    for name, (cond, among, default) in parts.items():
+        base = F.count(F.lit(1)) if among is None else F.count_if(among)
+        hit = F.count_if(cond if among is None else cond & among)
+        out.append(F.round(F.coalesce(F.try_divide(hit.cast("double"), base.cast("double")), F.lit(default)), 6).alias(name))
+    for name, v in (values or {}).items():
+        out.append((v if name.startswith(("max", "median")) else F.round(v, 6)).alias(name))
+    return rows.agg(*out)
+
+
+def path_quality(starts: DataFrame, got: DataFrame, want: DataFrame) -> DataFrame:
+    """(repository_id, start, path_recall, path_precision): nodes on returned paths (repeats count for precision) against wanted ones."""
+    k = ["repository_id", "start"]
+    a = want.join(got.distinct().withColumn("hit", F.lit(1)), [*k, "id"], "left").groupBy(*k).agg(F.count(F.lit(1)).alias("n_want"), F.count("hit").alias("n_hit"))
+    b = got.join(want.withColumn("right", F.lit(1)), [*k, "id"], "left").groupBy(*k).agg(F.count(F.lit(1)).alias("n_got"), F.count("right").alias("n_right"))
+    j = starts.join(a, k, "left").join(b, k, "left")
+    recall = F.when(F.col("n_want").isNull(), 1.0).when(F.col("n_got").isNull(), 0.0).otherwise(F.col("n_hit") / F.col("n_want"))
+    precision = F.when(F.col("n_got").isNull(), F.when(F.col("n_want").isNull(), 1.0).otherwise(0.0)).otherwise(F.col("n_right") / F.col("n_got"))
+    return j.select(*k, F.round(recall, 6).alias("path_recall"), F.round(precision, 6).alias("path_precision"))

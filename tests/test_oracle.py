@@ -2,10 +2,10 @@
 
 import pytest
 
-from graphloom.plans import data_queries, reference_queries
+from graphloom.plans import analysis_queries, data_queries, reference_queries
 from verify import rows
 
-MODULES = (data_queries, reference_queries)
+MODULES = (data_queries, reference_queries, analysis_queries)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES if n in m.ORACLE]
 
 
