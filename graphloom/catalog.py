@@ -40,12 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    app = re.sub(r"\W", "_", spark.sparkContext.applicationId)
-    path = f"{shared_dir(spark)}/graphloom-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes everything that ``materialize`` and the streams of this application have stored. Frames built on it are void
+    afterwards, so it is for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def app_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder."""
+    return f"{shared_dir(spark)}/graphloom-" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly, by turns, if it has fewer partitions than there are cores.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.catalog import materialize
+
 Z = 1.96
 
 
@@ -58,3 +60,39 @@ def path_quality(starts: DataFrame, got: DataFrame, want: DataFrame) -> DataFram
     recall = F.when(F.col("n_want").isNull(), 1.0).when(F.col("n_got").isNull(), 0.0).otherwise(F.col("n_hit") / F.col("n_want"))
     precision = F.when(F.col("n_got").isNull(), F.when(F.col("n_want").isNull(), 1.0).otherwise(0.0)).otherwise(F.col("n_right") / F.col("n_got"))
     return j.select(*k, F.round(recall, 6).alias("path_recall"), F.round(precision, 6).alias("path_precision"))
+
+
+def ranked_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, c, upto): each different value, how often it comes, and how many rows of its key are not above it.
+
+    Values are counted, ranged over partitions by (key, value), summed inside each partition, and the sums of the partitions
+    before it are added: no key is sorted in one task, however many values it has.
+    """
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    ranged = materialize(counts.repartitionByRange(key, value).withColumn("pid", F.spark_partition_id()), "ranged-values")
+    totals = ranged.groupBy("pid", key).agg(F.sum("c").alias("t"))
+    before = totals.select("pid", key, (F.sum("t").over(Window.partitionBy(key).orderBy("pid")) - F.col("t")).alias("before"))
+    local = F.sum("c").over(Window.partitionBy("pid", key).orderBy(value))
+    return ranged.withColumn("local", local).join(before, ["pid", key]).select(key, value, "c", (F.col("local") + F.col("before")).alias("upto"))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(key, one column per wanted percentile): name to (kind, p) with kind disc (nearest rank), cont (interpolated) or index
+    (the element at round-half-even of p * (n - 1))."""
+    r = materialize(ranked_values(rows, key, value), "ranked-values")
+    n = r.groupBy(key).agg(F.sum("c").alias("n"))
+    at = {}
+    for name, (kind, p) in wanted.items():
+        last = F.col("n") - 1
+        if kind == "disc":
+            at[name] = [(F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) - 1, F.lit(1.0))]
+        elif kind == "index":
+            at[name] = [(F.bround(F.lit(p) * last, 0), F.lit(1.0))]
+        else:
+            low = F.floor(F.lit(p) * last)
+            part = F.lit(p) * last - low
+            at[name] = [(low, 1 - part), (F.least(low + 1, last), part)]
+    picks = [F.struct(F.lit(name).alias("name"), i.cast("bigint").alias("i"), w.alias("w")) for name, xs in at.items() for i, w in xs]
+    asked = n.select(key, F.explode(F.array(*picks)).alias("x")).select(key, "x.name", "x.i", "x.w")
+    hit = r.join(asked, key).where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
+    return hit.groupBy(key).agg(*[F.sum(F.when(F.col("name") == name, F.col(value) * F.col("w"))).alias(name) for name in wanted])

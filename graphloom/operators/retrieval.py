@@ -12,39 +12,49 @@ from pyspark.sql import functions as F
 
 RRF_K = 60
 QUERY_BLOCK = 2048
-VECTOR_PARTS = 16
+#: Vectors of a part: one matrix of so many rows is held by a task.
+PART_VECTORS = 100_000
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """Exact top-k by cosine: queries (qid, qvec[, scope]) against all vectors (vid, vec[, scope]), in blocks.
 
-    (qid, vid, score, rank). Queries form blocks of ``QUERY_BLOCK``; vectors are dealt out to ``VECTOR_PARTS`` parts. Each
-    (block, part) is one matrix product that hands on its k best per query, so what is shuffled afterwards is
-    k * parts rows per query. Scores are max(0, cosine) rounded to 6 digits; ties go to the smaller id. With ``scope`` a
-    query sees only vectors of its own scope. A zero or null vector scores 0.
+    (qid, vid, score, rank). Queries form blocks of ``QUERY_BLOCK``; vectors are dealt out to as many parts as their number
+    asks for (``PART_VECTORS`` each), so a part stays as large however many there are. Each (block, part) is one matrix
+    product that hands on its k best per query, so what is shuffled afterwards is k * parts rows per query. Scores are max(0,
+    cosine) rounded to 6 digits; ties go to the smaller id. With ``scope`` a query sees only vectors of its own scope. A zero
+    or null vector scores 0.
     """
     n = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-vectors.count() // PART_VECTORS))
+    parts = max(parts, min(queries.sparkSession.sparkContext.defaultParallelism, 8))
     s = [scope] if scope else []
     q = queries.select("qid", "qvec", *[F.col(x).alias("qs") for x in s]).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_PARTS - 1))))
-    v = vectors.select("vid", "vec", *[F.col(x).alias("vs") for x in s]).withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(VECTOR_PARTS)).cast("int"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    v = vectors.select("vid", "vec", *[F.col(x).alias("vs") for x in s]).withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int"))
     v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "vid": [], "score": []})
+        b = b.sort_values("vid")
         dim = max((len(x) for x in (*a["qvec"], *b["vec"]) if x is not None), default=1)
         qm, vm = (np.stack([np.zeros(dim) if x is None or len(x) != dim else np.asarray(x, float) for x in c]) for c in (a["qvec"], b["vec"]))
         qm, vm = (m / np.where((d := np.linalg.norm(m, axis=1, keepdims=True)) > 0, d, 1) for m in (qm, vm))
-        sim = np.round(np.maximum(qm @ vm.T, 0), 6) + 0.0
-        ids = b["vid"].to_numpy()
-        out = []
-        for i, qid in enumerate(a["qid"]):
-            row = sim[i]
-            keep = np.flatnonzero((b["vs"] == a["qs"].iloc[i]).to_numpy()) if s else np.arange(len(ids))
-            top = keep[np.lexsort((ids[keep], -row[keep]))[:k]]
-            out.append(pd.DataFrame({"qid": qid, "vid": ids[top], "score": row[top]}))
-        return pd.concat(out)
+        ids, m = b["vid"].to_numpy(), len(b)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, 8_000_000 // m)
+        for lo in range(0, len(a), step):
+            sim = np.round(np.maximum(qm[lo : lo + step] @ vm.T, 0), 6)
+            # One number orders by score, then by the smaller id.
+            order = np.round(sim * 1e6).astype(np.int64) * m + np.arange(m - 1, -1, -1)
+            if s:
+                order[a["qs"].to_numpy()[lo : lo + step, None] != b["vs"].to_numpy()[None, :]] = -1
+            top = np.argpartition(-order, min(k, m) - 1, axis=1)[:, :k] if m > k else np.tile(np.arange(m), (len(sim), 1))
+            keep = np.take_along_axis(order, top, 1) >= 0
+            row = np.broadcast_to(np.arange(len(sim))[:, None], top.shape)[keep]
+            out.append((a["qid"].to_numpy()[lo + row], ids[top[keep]], sim[row, top[keep]] + 0.0))
+        return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("qid", "vid", "score"))})
 
     part = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(best, "qid bigint, vid bigint, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")

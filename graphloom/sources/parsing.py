@@ -90,8 +90,24 @@ def _function(n, owner: str | None) -> Iterator[tuple]:
             while isinstance(f, ast.Attribute):
                 parts.append(f.attr)
                 f = f.value
-            if isinstance(f, ast.Name):
-                yield ("call", owner, n.name, ".".join([f.id, *reversed(parts)]), None, None, None, None, None, None, *_span(c))
+            called = ".".join([f.id, *reversed(parts)]) if isinstance(f, ast.Name) else _text(c.func)
+            if called:
+                yield ("call", owner, n.name, called, None, None, None, None, None, None, *_span(c))
+
+
+#: Up to so many repeated deliveries are broadcast.
+MAX_REPEATS = 1_000_000
+
+
+def once_delivered(files: DataFrame) -> DataFrame:
+    """``files`` without repeated deliveries of the same content. Contents stay where they are: digests are compared, and only
+    the ids of the repeats go round."""
+    if "file_id" not in files.columns:
+        return files.distinct()
+    digest = F.sha2("content", 256)
+    g = files.select("repository_id", "path", digest.alias("h"), "file_id").groupBy("repository_id", "path", "h").agg(F.collect_set("file_id").alias("ids")).where("size(ids) > 1")
+    repeats = g.select(F.explode(F.array_except("ids", F.array(F.array_min("ids")))).alias("file_id"))
+    return files.join(F.broadcast(repeats) if repeats.count() <= MAX_REPEATS else repeats, "file_id", "left_anti")
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -106,7 +122,7 @@ def parsed(files: DataFrame) -> DataFrame:
                     rows.append((repo, path, *r[:9], params, *r[10:]))
             yield pd.DataFrame(rows, columns=["repository_id", "path", *_NAMES])
 
-    take = files.where("content is not null and path like '%.py'").select("repository_id", "path", "content").distinct()
+    take = once_delivered(files.where("content is not null and path like '%.py'")).select("repository_id", "path", "content")
     return take.mapInPandas(run, f"repository_id string, path string, {ROW}").withColumn("module_name", ids.module_name(F.col("path")))
 
 
@@ -129,7 +145,7 @@ def definitions(rows: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "method", F.concat_ws(":", F.lit("method"), "module_name", "class_name", "name")).otherwise(F.concat_ws(":", "kind", "module_name", "name"))
     )
     d = rows.where("kind in ('class', 'function', 'method')").select("repository_id", "kind", q.alias("qname"), ident.alias("id"), F.col("name").alias("short"), "path")
-    return d.groupBy("repository_id", "kind", "qname").agg(F.max_by("id", "path").alias("id"), F.first("short").alias("short"))
+    return d.groupBy("repository_id", "kind", "qname").agg(F.max_by("id", "path").alias("id"), F.max("short").alias("short"))
 
 
 def bindings(rows: DataFrame) -> DataFrame:
@@ -215,6 +231,6 @@ def chunks(rows: DataFrame, files: DataFrame) -> DataFrame:
     ident = F.when(F.col("kind") == "method", F.concat_ws(":", F.lit("method"), "module_name", "class_name", "name")).otherwise(F.concat_ws(":", "kind", "module_name", "name"))
     w = Window.partitionBy("repository_id", "id").orderBy("path", "start_line")
     d = d.withColumn("id", ident).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    src = files.where("content is not null").groupBy("repository_id", "path").agg(F.first("content").alias("content")).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
+    src = files.where("content is not null").groupBy("repository_id", "path").agg((F.min_by("content", "file_id") if "file_id" in files.columns else F.min("content")).alias("content")).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     j = d.join(src, ["repository_id", "path"])
     return j.select("repository_id", "id", ids.qualified_name(F.col("module_name"), F.concat_ws(".", "class_name", "name")).alias("qualified_name"), X.line_slice(F.col("text"), F.col("start_line"), F.col("end_line")).alias("source_code"), "start_line", "end_line")

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphloom.catalog import shared_dir
+from graphloom.catalog import app_dir
 from graphloom.sources.repository import upsert
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -26,13 +27,58 @@ def event_stream(spark: SparkSession, directory: str, files_per_batch: int = 8)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now and gives what it wrote."""
+def _base(spark: SparkSession, base: str | None) -> str:
+    return base or f"{app_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+
+
+def _run(writer, base: str) -> None:
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def _written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What lies at ``path``, or nothing if no batch came."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def run_to_table(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Runs a stream over what there is now and gives what it wrote. What waits for the watermark stays in its state."""
+    base = _base(stream.sparkSession, base)
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
+    _run(writer, base)
+    return _written(stream.sparkSession, f"{base}/out", stream.schema)
+
+
+def run_updates(stream: DataFrame, keys: list[str], base: str | None = None) -> DataFrame:
+    """Runs an aggregate in update mode and gives the newest row of each key: windows that are still open come out too.
+
+    A batch writes its rows to a folder of its own, so it can be written again after a failure.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out")
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    base = _base(spark, base)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{base}/log/batch={epoch}")
+
+    _run(stream.writeStream.outputMode("update").foreachBatch(put), base)
+    schema = T.StructType([*stream.schema.fields, T.StructField("_epoch", T.LongType())])
+    values = [c for c in stream.columns if c not in keys]
+    newest = _written(spark, f"{base}/log", schema).groupBy(*keys).agg(F.max_by(F.struct(*values), "_epoch").alias("x"))
+    return newest.select(*keys, *[F.col(f"x.{c}").alias(c) for c in values]).select(*stream.columns)
+
+
+def run_complete(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Runs an aggregate in complete mode and gives its last state; for session windows, which know no update mode."""
+    spark = stream.sparkSession
+    base = _base(spark, base)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/now")
+
+    _run(stream.writeStream.outputMode("complete").foreachBatch(put), base)
+    return _written(spark, f"{base}/now", stream.schema)
 
 
 def windows(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -76,18 +122,14 @@ def job_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, schema, "state string, retries int", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_latest(stream: DataFrame) -> DataFrame:
-    """The latest event per user, kept by ``foreachBatch`` as versions of a table: a batch never rewrites what it reads."""
+def upsert_latest(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """The latest event per user. A batch writes the latest of its own rows, and no others, to a folder of its own; reading
+    merges the folders. A run with the same ``base`` goes on where the last one ended, with all earlier rows."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    versions: list[str] = []
+    base = _base(spark, base)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.parquet(versions[-1]) if versions else None
-        path = f"{base}/v={epoch}"
-        upsert(old, batch, ["user_id"], ["ts", "event_id"]).write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(versions[-1])
+        upsert(None, batch, ["user_id"], ["ts", "event_id"]).write.mode("overwrite").parquet(f"{base}/log/batch={epoch}")
+
+    _run(stream.writeStream.foreachBatch(put), base)
+    return upsert(None, _written(spark, f"{base}/log", stream.schema), ["user_id"], ["ts", "event_id"])
