@@ -18,6 +18,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where("piece_no = 1 and n_pieces > 1").select("evidence_id")
 
 
+def p6_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces put together again, each without what it repeats, and whether all keep the limit."""
+    p = splitting.split_items(table(spark, sf_dir, "evidence"))
+    part = F.struct("piece_no", F.expr("substring(piece, overlap_chars + 1)").alias("new"), (F.length("piece") <= splitting.LIMIT).alias("fits"))
+    g = p.groupBy("evidence_id").agg(F.array_sort(F.collect_list(part)).alias("x"))
+    return g.select("evidence_id", F.sha2(F.array_join(F.transform("x", lambda s: s["new"]), ""), 256).alias("h"), F.forall("x", lambda s: s["fits"]).alias("fits"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -57,7 +65,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mentions(table(spark, sf_dir, "documents")).select("doc_id", F.size("found").alias("n_mentions"), "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p10_found, p10_redacted, p6_pieces, p6_found, p8_ids, p9_found, p9_phrases, p9_proximity, p9_report)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p10_found, p10_redacted, p6_pieces, p6_joined, p6_found, p8_ids, p9_found, p9_phrases, p9_proximity, p9_report)}
 
 _GRAMS = r"""
 iw AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}_]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
@@ -71,6 +79,7 @@ runs AS (
 """
 
 ORACLE = {
+    "p6_joined": "SELECT evidence_id, sha256(source_code) AS h, true AS fits FROM evidence WHERE length(source_code) > 4000",
     "p6_found": "SELECT evidence_id FROM evidence WHERE length(source_code) > 4000",
     "p9_found": f"WITH {_GRAMS} SELECT DISTINCT doc_id, item_id FROM hit",
     "p9_phrases": f"WITH {_GRAMS} SELECT doc_id, item_id, CAST(item_from + diag AS INT) AS doc_from, CAST(item_from AS INT) AS item_from, CAST(n AS INT) AS n_words FROM runs",

@@ -7,7 +7,8 @@ where the strongest cut lies, ties going to the right; then the next piece steps
 Defined cases
     * null and empty texts give no piece; a text within the limit gives one piece.
     * line ends are ``\\n``, ``\\r\\n`` and ``\\r``; they stay with their line, and count as characters.
-    * the overlap is two whole units, or fewer where two would leave no room for a new unit (very long lines).
+    * the overlap is two whole units; cuts where two and a new unit would be over the limit are taken only if a window has no
+      other, and the overlap is shorter there (very long lines).
     * pieces without their overlap, joined, give the text back exactly.
     * ``start_line`` of a piece is that of the item (0 if null or negative) plus the lines before the piece; it is not
       corrected against ``end_line``, which is not used.
@@ -55,7 +56,9 @@ def _cuts(ends: np.ndarray, strength: np.ndarray, limit: int, overlap: int) -> l
     n = len(ends) - 1
     if n <= 0:
         return []
-    index = RangeMaximum(strength)
+    gap = np.arange(n + 1)
+    room = ends[np.minimum(gap + 1, n)] - ends[np.maximum(gap - overlap, 0)] <= limit
+    index = RangeMaximum(np.where(room, strength.astype(np.int16) + 1, 0))
     out, start, cut = [], 0, 0
     while True:
         hi = int(np.searchsorted(ends, ends[start] + limit, "right")) - 1
