@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Frames stored once per application, by (application, name, folder).
+_ONCE: dict[tuple[str, ...], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +47,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, name: str, sf_dir: str, make) -> DataFrame:
+    """``make()`` stored under ``name`` for the tables in ``sf_dir``, the first time it is asked for in this application."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _ONCE:
+        _ONCE[key] = materialize(make(), name)
+    return _ONCE[key]
+
+
 def release(spark: SparkSession) -> None:
     """Removes everything that ``materialize`` and the streams of this application have stored. Frames built on it are void
     afterwards, so it is for the end of a job."""
     path = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
+        del _ONCE[key]
 
 
 def app_dir(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.catalog import clean_id, materialize, table, trimmed
+from graphloom.catalog import clean_id, materialize, once, table, trimmed
 from graphloom.functions import ids, rules
 from graphloom.functions import text as X
 from graphloom.operators import graphs as G
@@ -50,16 +50,10 @@ def nodes_of(spark, d):
     return G.latest_nodes(table(spark, d, "nodes"))
 
 
-_STORED: dict = {}
-
-
 def graph_of(spark, d):
     """The graph of the tables in ``d``, stored once per application and read by every query over it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
-        n = materialize(nodes_of(spark, d), "live-nodes")
-        _STORED[key] = n, materialize(G.stored_edges(table(spark, d, "edges"), n), "stored-edges")
-    return _STORED[key]
+    n = once(spark, "live-nodes", d, lambda: nodes_of(spark, d))
+    return n, once(spark, "stored-edges", d, lambda: G.stored_edges(table(spark, d, "edges"), n))
 
 
 # -- sources, upserts and identity (S3, S8-S10, S13, S14, A1, A3, F1, F18, F19, J6, J23) ------------------------------
