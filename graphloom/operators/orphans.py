@@ -8,10 +8,11 @@ Shape of the plan
        the map side, so a key that holds a third of all rows costs one row per map task.
     2. Those keys are anti-joined against parent lives that cover the whole span of use. What remains is suspect;
        it splits into keys without any parent and keys whose parents lived only part of the time.
-    3. Rows of absent keys are orphans. Rows of partly living keys are tested one by one with a running maximum
-       over (key, hour) windows, with the maximum of the earlier hours carried in by a small per-hour table, so
-       neither a hot key nor a key with many lives is gathered into one task.
-    4. The join back salts the referring rows; the suspect keys, unique and few, are repeated once per salt.
+    3. Rows of absent keys are orphans. Rows of partly living keys meet one row per (key, hour) that holds the lives
+       begun in that hour and the latest end of all earlier ones, a running maximum over the key's hours, so neither
+       a hot key nor a burst of references within an hour is gathered into one task.
+    4. Both joins back salt the referring rows by the count of the most used key; the suspect keys, unique and few, are
+       repeated once per salt.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import clean_id, materialize, trimmed
 
-SALTS = 8
+#: References of one key that a task should have; a key with more is dealt out over as many salts as its number asks for.
+ROWS_PER_SALT = 1_000_000
 #: Before the key of a reference by module name; no cleaned id begins with it.
 MODULE = "\x01"
 FOREVER = "9999-12-31 00:00:00"
@@ -95,37 +97,43 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     odd = refs.where("scope is null or at is null")
     refs = refs.where("scope is not null and at is not null")
     lives = materialize(lives, "lives")
-    used = refs.groupBy(*k).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    used = materialize(refs.groupBy(*k).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n")), "used-keys")
+    salts = max(1, -(-(used.agg(F.max("n")).first()[0] or 0) // ROWS_PER_SALT))
     u, p = used.alias("u"), lives.alias("p")
     same = (F.col("u.scope") == F.col("p.scope")) & (F.col("u.key") == F.col("p.key"))
     covering = (F.col("p.born") <= F.col("u.first_at")) & (F.col("p.gone") > F.col("u.last_at"))
     suspect = materialize(u.join(p, same & covering, "left_anti").select(*k), "suspect-keys")
     some = lives.join(suspect, k, "left_semi")
     known = some.select(*k).distinct().withColumn("known", F.lit(True))
-    salted = suspect.join(known, k, "left").select(*k, F.coalesce("known", F.lit(False)).alias("known")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id"), F.lit(SALTS)).cast("int")).join(salted, [*k, "salt"]).drop("salt")
+    salted = suspect.join(known, k, "left").select(*k, F.coalesce("known", F.lit(False)).alias("known")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = refs.withColumn("salt", _salt(salts)).join(salted, [*k, "salt"]).drop("salt")
     hit = materialize(hit, "suspect-refs")
     absent = hit.where("not known").drop("known")
-    return absent.unionByName(_dead_at(hit.where("known").drop("known"), some)).unionByName(odd)
+    return absent.unionByName(_dead_at(hit.where("known").drop("known"), some, salts)).unionByName(odd)
 
 
-def _dead_at(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """Rows of ``refs`` at whose time the latest end of all lives begun so far has passed."""
+def _salt(salts: int):
+    return F.pmod(F.xxhash64("ref_table", "ref_id"), F.lit(salts)).cast("int")
+
+
+def _dead_at(refs: DataFrame, lives: DataFrame, salts: int) -> DataFrame:
+    """Rows of ``refs`` at whose time the latest end of all lives begun so far has passed.
+
+    Lives are few against references. Per (key, hour) there is one row: the latest end of lives begun in earlier hours, carried
+    by a running maximum over the key's hours, and the lives begun in that hour. References meet it by an equi-join with
+    salt, so no window holds them, however many of one key fall into one hour.
+    """
     k = ["scope", "key", "hour"]
-    end = lives.schema["gone"].dataType
-    born = lives.select(
-        "scope", "key", F.col("born").alias("at"), F.lit(0).alias("kind"), "gone",
-        F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("bigint").alias("ref_id"),
-    )
-    asked = refs.select("scope", "key", "at", F.lit(1).alias("kind"), F.lit(None).cast(end).alias("gone"), "ref_table", "ref_id")
-    events = born.unionByName(asked).withColumn("hour", F.date_trunc("hour", "at"))
-    per_hour = events.groupBy(*k).agg(F.max("gone").alias("top"))
+    begun = lives.select("scope", "key", F.date_trunc("hour", "born").alias("hour"), "born", "gone")
+    hours = refs.select("scope", "key", F.date_trunc("hour", "at").alias("hour")).distinct()
+    per_hour = begun.groupBy(*k).agg(F.max("gone").alias("top"), F.collect_list(F.struct("born", "gone")).alias("begun"))
     before = Window.partitionBy("scope", "key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_hour.select(*k, F.max("top").over(before).alias("carried"))
-    inside = Window.partitionBy(*k).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.join(carried, k).withColumn("until", F.greatest(F.max("gone").over(inside), F.col("carried")))
-    dead = seen.where("kind = 1 and (until is null or until <= at)")
-    return dead.select("ref_table", "ref_id", "scope", "key", "at")
+    known = hours.join(per_hour, k, "full_outer").select(*k, "begun", F.max("top").over(before).alias("carried"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    seen = refs.withColumn("hour", F.date_trunc("hour", "at")).withColumn("salt", _salt(salts)).join(known, [*k, "salt"])
+    inside = F.array_max(F.transform(F.filter("begun", lambda x: x["born"] <= F.col("at")), lambda x: x["gone"]))
+    until = F.greatest(inside, F.col("carried"))
+    return seen.where(until.isNull() | (until <= F.col("at"))).select("ref_table", "ref_id", "scope", "key", "at")
 
 
 def all_references(edges: DataFrame, imports: DataFrame, external_modules: DataFrame) -> tuple[DataFrame, DataFrame]:

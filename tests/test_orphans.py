@@ -84,3 +84,19 @@ def test_extra_columns_do_not_clash(spark):
     assert out.count() == 1
     report = O.orphan_report(O.edge_references(e).unionByName(O.import_references(i, x)), out).collect()
     assert [(r.ref_table, r.period, r.n_refs, r.n_orphans) for r in report] == [("edges", "2025-01", 1, 1)]
+
+
+def test_burst_of_one_key_within_an_hour(spark, monkeypatch):
+    """Thousands of references of one key in one hour, against lives that begin and end in it, with and without salt."""
+    import datetime as dt
+    import random
+
+    rnd, t0 = random.Random(2), dt.datetime(2024, 1, 1, 10)
+    lives = [("s", "k", t0 + dt.timedelta(minutes=a), t0 + dt.timedelta(minutes=b)) for a, b in ((-120, -70), (-65, 3), (5, 9), (7, 20), (40, 41))]
+    refs = [("edges", i, "s", "k", t0 + dt.timedelta(seconds=rnd.randrange(-9000, 5000))) for i in range(3000)]
+    want = {i for _, i, _, _, at in refs if not any(b <= at < g for _, _, b, g in lives)}
+    r = spark.createDataFrame(refs, "ref_table string, ref_id bigint, scope string, key string, at timestamp_ntz")
+    p = spark.createDataFrame(lives, "scope string, key string, born timestamp_ntz, gone timestamp_ntz")
+    for rows in (1_000_000, 100):
+        monkeypatch.setattr(O, "ROWS_PER_SALT", rows)
+        assert {x.ref_id for x in O.orphan_references(r, p).collect()} == want
