@@ -188,3 +188,15 @@ def branch_problem(name: Column) -> Column:
         F.when(name.isNull() | (name == ""), "empty").when(F.length(name) > 100, "too long").when(name.startswith("-") | name.startswith("/"), "bad start")
         .when(name.contains("..") | name.contains("@{") | name.contains("\\"), "forbidden sequence").when(~name.rlike("^[a-zA-Z0-9_/-]+$"), "forbidden character")
     )
+
+
+#: Endings of names that documents speak of as parts of a system (fixed values).
+KNOWN_SUFFIXES = ("Service", "Controller", "Manager", "Repository", "Model", "View", "Handler", "Middleware", "User", "Auth", "Token", "Order")
+#: Namespace of name-based ids, in hexadecimal (fixed value of the standard for URLs).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def asset_id(repository_id: Column, path: Column) -> Column:
+    """``ast_`` and ten digits of the name-based id of ``repository:path``; they lie before the digit that tells the version."""
+    name = F.encode(F.concat_ws(":", repository_id, path), "UTF-8")
+    return F.concat(F.lit("ast_"), F.substring(F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), name)), 1, 10))

@@ -138,3 +138,23 @@ def expand(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         front = step.join(seen.select(*k), k, "left_anti").withColumn("distance", F.lit(hop)).select(*k, "score", "distance")
         seen = seen.unionByName(front)
     return seen
+
+
+def routes(reached: DataFrame, edges: DataFrame, rels: tuple[str, ...] = TRACE) -> DataFrame:
+    """One shortest path per (repository_id, start, id) that ``bfs`` reached forwards: (…, distance, route array).
+
+    Each node points to the least of its predecessors one hop nearer; the routes of all nodes of a distance are built from
+    those of the distance before by one join, as often as the longest route is long.
+    """
+    e = edges.where(F.col("rel").isin(*rels)).select("repository_id", F.col("src").alias("prev"), F.col("dst").alias("id")).distinct()
+    near = reached.select("repository_id", "start", F.col("id").alias("prev"), (F.col("distance") + 1).alias("distance"))
+    back = reached.where("distance > 0").select("repository_id", "start", "id", "distance").join(e, ["repository_id", "id"]).join(near, ["repository_id", "start", "prev", "distance"])
+    back = materialize(back.groupBy("repository_id", "start", "id", "distance").agg(F.min("prev").alias("prev")), "predecessors")
+    longest = back.agg(F.max("distance")).first()[0] or 0
+    done = now = reached.where("distance = 0").select("repository_id", "start", "id", "distance", F.array("id").alias("route"))
+    for hop in range(1, longest + 1):
+        before = now.select("repository_id", "start", F.col("id").alias("prev"), "route")
+        step = back.where(F.col("distance") == hop).join(before, ["repository_id", "start", "prev"])
+        now = materialize(step.select("repository_id", "start", "id", "distance", F.array_append("route", F.col("id")).alias("route")), f"routes-{hop}")
+        done = done.unionByName(now)
+    return done

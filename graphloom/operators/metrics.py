@@ -96,3 +96,13 @@ def percentiles(rows: DataFrame, key: str, value: str, wanted: dict[str, tuple[s
     asked = n.select(key, F.explode(F.array(*picks)).alias("x")).select(key, "x.name", "x.i", "x.w")
     hit = r.join(asked, key).where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
     return hit.groupBy(key).agg(*[F.sum(F.when(F.col("name") == name, F.col(value) * F.col("w"))).alias(name) for name in wanted])
+
+
+def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = 0.95) -> DataFrame:
+    """(metric, verdict) of the metrics in both tables (metric, value): a latency may grow by half, any other metric may fall to
+    ``tolerance`` of its baseline; better ones are improvements, the rest is unchanged."""
+    j = now.select("metric", F.col("value").alias("now")).join(baseline.select("metric", F.col("value").alias("was")), "metric")
+    late = F.lower("metric").contains("latency")
+    bad = F.when(late, F.col("now") > F.col("was") * 1.5).otherwise(F.col("now") < F.col("was") * tolerance)
+    good = F.when(late, F.col("now") < F.col("was")).otherwise(F.col("now") > F.col("was"))
+    return j.select("metric", F.when(bad, "REGRESSION").when(good, "IMPROVEMENT").otherwise("UNCHANGED").alias("verdict"))

@@ -786,3 +786,127 @@ def stop_reasons(spark, d):
     reason = F.when(c("strong") >= 3, "strong evidence").when(c("step") >= 10, "iterations").when(c("step") >= 12, "steps").when(c("evidence") >= 100, "evidence").when(c("elapsed") >= 300000, "time").when(c("empty3") == 3, "nothing new")
     r = s.withColumn("reason", reason).where("reason is not null")
     return r.groupBy("user_id").agg(F.min(F.struct("step", "reason")).alias("x")).select("user_id", "x.step", "x.reason")
+
+
+# -- routes, impact lists, assets and gates (A4, F4, F40, G4, J22, M10, M16, M27, M28, S7, S15, T10) ------------------------
+@query(
+    Q._bfs_sql(8, "src", "dst", "'CALLS','IMPORTS','INHERITS'")
+    + """, e AS (SELECT DISTINCT repository_id, src, dst FROM ge WHERE rel IN ('CALLS','IMPORTS','INHERITS')),
+      pr AS (SELECT m.repository_id, m.start, m.id, m.distance, min(e.src) AS prev FROM m JOIN e ON e.repository_id = m.repository_id AND e.dst = m.id JOIN m p ON p.repository_id = m.repository_id AND p.start = m.start AND p.id = e.src AND p.distance = m.distance - 1 GROUP BY ALL),
+      rt(repository_id, start, id, distance, route) AS (SELECT repository_id, start, id, 0, [id] FROM m WHERE distance = 0 UNION ALL SELECT pr.repository_id, pr.start, pr.id, pr.distance, list_append(rt.route, pr.id) FROM rt JOIN pr ON pr.repository_id = rt.repository_id AND pr.start = rt.start AND pr.prev = rt.id AND pr.distance = rt.distance + 1)
+      SELECT repository_id, start, id, CAST(distance AS BIGINT) AS distance, array_to_string(route, ' > ') AS route FROM rt WHERE distance > 0"""
+)
+def shortest_routes(spark, d):
+    """A shortest path of at most eight hops from each seed to what it reaches."""
+    n, e = Q.graph_of(spark, d)
+    reached = G.bfs(e, Q._seed_starts(spark, d, n), 8, rels=G.TRACE)
+    return G.routes(reached, e).where("distance > 0").select("repository_id", "start", "id", big("distance"), F.array_join("route", " > ").alias("route"))
+
+
+@query(
+    Q._bfs_sql(4, "dst", "src", "'CALLS','IMPORTS','INHERITS'")
+    + " SELECT m.repository_id, start, array_to_string(list_sort(list_distinct(list(file_path) FILTER (file_path IS NOT NULL))), ',') AS files, array_to_string(list_sort(list_distinct(list(module_name) FILTER (module_name IS NOT NULL))), ',') AS modules FROM m JOIN ln ON ln.repository_id = m.repository_id AND ln.cid = m.id WHERE distance > 0 GROUP BY 1, 2"
+)
+def impact_lists(spark, d):
+    """The files and modules that a change of a seed affects, distinct and in order."""
+    n, e = Q.graph_of(spark, d)
+    out = G.bfs(e, Q._seed_starts(spark, d, n), 4, reverse=True, rels=G.TRACE).where("distance > 0")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return out.join(n.select("repository_id", "id", "file_path", "module_name"), ["repository_id", "id"]).groupBy("repository_id", "start").agg(listed("file_path").alias("files"), listed("module_name").alias("modules"))
+
+
+@query(
+    f"""SELECT evidence_id, CASE WHEN s BETWEEN 1 AND len(l) THEN array_to_string(l[s:least(e, len(l))], chr(10)) ELSE '# Symbol ' || qualified_name || ' defined in ' || file_path || ':' || s || '-' || e END AS snippet
+      FROM (SELECT evidence_id, qualified_name, file_path, coalesce(nullif(start_line, 0), 1) AS s, coalesce(nullif(end_line, 0), coalesce(nullif(start_line, 0), 1)) AS e, {_sql_lines('source_code')} AS l FROM evidence WHERE source_code IS NOT NULL AND qualified_name IS NOT NULL AND file_path IS NOT NULL) WHERE e >= s"""
+)
+def context_snippets(spark, d):
+    """Lines counted from 1, and a comment that names the symbol where there are none."""
+    c = F.col
+    s = F.coalesce(F.nullif("start_line", F.lit(0)), F.lit(1))
+    t = table(spark, d, "evidence").where("source_code is not null and qualified_name is not null and file_path is not null").select(
+        "evidence_id", "qualified_name", "file_path", s.alias("s"), F.coalesce(F.nullif("end_line", F.lit(0)), s).alias("e"), "source_code", F.size(X.lines(c("source_code"))).alias("n")
+    ).where("e >= s")
+    note = F.concat(F.lit("# Symbol "), "qualified_name", F.lit(" defined in "), "file_path", F.lit(":"), c("s").cast("string"), F.lit("-"), c("e").cast("string"))
+    return t.select("evidence_id", F.when((c("s") >= 1) & (c("s") <= c("n")), X.line_slice(c("source_code"), c("s") - 1, c("e") - 1)).otherwise(note).alias("snippet"))
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, no, unnest(string_split_regex(line, '[^\p{{L}}\p{{M}}\p{{N}}_]+')) AS sym FROM (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS no FROM (SELECT doc_id, {_sql_lines('text')} AS x FROM documents WHERE text IS NOT NULL)))
+      SELECT sym, CASE WHEN contains(sym, 'Service') THEN 'SERVICE' ELSE 'CLASS' END AS kind, count(*) AS n, min(no) AS first_line FROM l WHERE regexp_full_match(sym, '[A-Z][a-zA-Z0-9_]+') AND regexp_matches(sym, '(Service|Controller|Manager|Repository|Model|View|Handler|Middleware|User|Auth|Token|Order)$') GROUP BY 1, 2"""
+)
+def documented_parts(spark, d):
+    """Parts of a system that documents name, by the endings of their names."""
+    t = table(spark, d, "documents").where("text is not null").select(F.posexplode(X.lines(F.col("text"))).alias("no", "line"))
+    s = t.select("no", F.explode(X.symbols(F.col("line"))).alias("sym")).where(F.exists(F.array(*[F.lit(x) for x in rules.KNOWN_SUFFIXES]), lambda x: F.endswith(F.col("sym"), x)))
+    return s.groupBy("sym", F.when(F.col("sym").contains("Service"), "SERVICE").otherwise("CLASS").alias("kind")).agg(F.count(F.lit(1)).alias("n"), (F.min("no") + 1).cast("bigint").alias("first_line"))
+
+
+@query(
+    """SELECT DISTINCT repository_id, path, 'ast_' || substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(repository_id || ':' || path)), 1, 10) AS asset_id, sha256(content) AS hash, octet_length(content) AS size FROM source_files WHERE content IS NOT NULL AND repository_id IS NOT NULL AND path IS NOT NULL"""
+)
+def asset_rows(spark, d):
+    """Assets with their name-based ids, digests and sizes."""
+    t = table(spark, d, "source_files").where("content is not null and repository_id is not null and path is not null")
+    return t.select("repository_id", "path", rules.asset_id(F.col("repository_id"), F.col("path")).alias("asset_id"), F.sha2("content", 256).alias("hash"), F.length("content").cast("bigint").alias("size")).distinct()
+
+
+_GATE = """now AS (SELECT 'mean_value' AS metric, avg(value) AS value FROM events UNION ALL SELECT 'p95_latency', quantile_disc(value, 0.95) FROM events WHERE value IS NOT NULL UNION ALL SELECT 'error_share', avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) FROM events),
+      base(metric, value) AS (VALUES ('mean_value', 10.0::DOUBLE), ('p95_latency', 20.0), ('error_share', 0.1), ('unknown', 1.0))"""
+
+
+@query(f"WITH {_GATE} SELECT metric, CASE WHEN contains(metric, 'latency') AND n.value > b.value * 1.5 OR NOT contains(metric, 'latency') AND n.value < b.value * 0.95 THEN 'REGRESSION' WHEN contains(metric, 'latency') AND n.value < b.value OR NOT contains(metric, 'latency') AND n.value > b.value THEN 'IMPROVEMENT' ELSE 'UNCHANGED' END AS verdict FROM now n JOIN base b USING (metric)")
+def baseline_gate(spark, d):
+    """Metrics of now against a baseline; what only one side has is left out."""
+    e = table(spark, d, "events")
+    one = M.percentiles(e.where("value is not null").withColumn("k", F.lit(1)), "k", "value", {"p95_latency": ("disc", 0.95)}).select("p95_latency")
+    now = e.agg(F.avg("value").alias("mean_value"), F.avg((F.col("event_type") == "error").cast("double")).alias("error_share"))
+    now = now.unpivot([], ["mean_value", "error_share"], "metric", "value").unionByName(one.unpivot([], ["p95_latency"], "metric", "value"))
+    base = spark.createDataFrame([("mean_value", 10.0), ("p95_latency", 20.0), ("error_share", 0.1), ("unknown", 1.0)], "metric string, value double")
+    return M.regressions(now, base)
+
+
+@query(
+    f"""WITH {_NODES}, c AS (SELECT DISTINCT item_id, repository_id, t FROM (SELECT item_id, repository_id, unnest(regexp_extract_all(item_text, '[A-Za-z_][A-Za-z0-9_]*')) AS t FROM eval_items) WHERE length(t) >= 3 AND lower(t) NOT IN ('the','and','for','not','add','reject','invalid','values','value','arguments','argument','input','with',
+        'negative','validation','age','table','users','drop','run','database')),
+      m AS (SELECT item_id, ln.cid AS id, ln.label, ln.file_path, ln.repository_id FROM c JOIN ln ON ln.repository_id = c.repository_id AND ln.name = c.t AND ln.label IN ('Class', 'Function', 'Method')),
+      r AS (SELECT m.item_id, m.id, CASE WHEN m.label <> 'Class' AND EXISTS (SELECT 1 FROM m k WHERE k.item_id = m.item_id AND k.label = 'Class' AND k.file_path = m.file_path) THEN 1 WHEN m.label <> 'Class' THEN 2 ELSE 3 END AS p FROM m)
+      SELECT item_id, arg_min(id, (p, id)) AS id, min(p) AS priority FROM r GROUP BY 1"""
+)
+def target_grounding(spark, d):
+    """What a request is about: a function in the file of a class it names too, else any function, else a class."""
+    words = X.words_but(F.col("item_text"), rules.CHANGE_SKIP_WORDS, "[A-Za-z_][A-Za-z0-9_]*", 3)
+    c = _items(spark, d).select("item_id", "repository_id", F.explode(words).alias("name"))
+    m = c.join(Q.nodes_of(spark, d).where("label in ('Class', 'Function', 'Method')").select("repository_id", "name", "id", "label", "file_path"), ["repository_id", "name"])
+    m = materialize(m.select("item_id", "id", "label", "file_path"), "named-nodes")
+    files = m.where("label = 'Class' and file_path is not null").select("item_id", "file_path").distinct().withColumn("with_class", F.lit(True))
+    p = F.when((F.col("label") != "Class") & F.col("with_class"), 1).when(F.col("label") != "Class", 2).otherwise(3)
+    return m.join(files, ["item_id", "file_path"], "left").groupBy("item_id").agg(F.min(F.struct(p.alias("p"), "id")).alias("x")).select("item_id", "x.id", F.col("x.p").alias("priority"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, row_number() OVER w AS n, sum(value) OVER w AS used, count(*) OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS same, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+      r AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 'SUCCESS' WHEN same > 1 THEN 'FAILURE: repeated' WHEN n >= 5 THEN 'FAILURE: iterations' WHEN used >= 300 THEN 'FAILURE: budget' END AS verdict FROM s) SELECT user_id, min(n) AS iterations, arg_min(verdict, n) AS verdict FROM r WHERE verdict IS NOT NULL GROUP BY 1"""
+)
+def repair_stops(spark, d):
+    """Where a loop of attempts ends: success, an attempt that was there before, too many attempts, or a spent budget."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    again = Window.partitionBy("user_id", "event_type", "props").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    s = table(spark, d, "events").select("user_id", "event_type", F.count(F.lit(1)).over(w).alias("n"), F.sum("value").over(w).alias("used"), F.count(F.lit(1)).over(again).alias("same"))
+    v = F.when(F.col("event_type") == "purchase", "SUCCESS").when(F.col("same") > 1, "FAILURE: repeated").when(F.col("n") >= 5, "FAILURE: iterations").when(F.col("used") >= 300, "FAILURE: budget")
+    r = s.withColumn("verdict", v).where("verdict is not null")
+    return r.groupBy("user_id").agg(F.min(F.struct("n", "verdict")).alias("x")).select("user_id", F.col("x.n").alias("iterations"), "x.verdict")
+
+
+@query(
+    """WITH a AS (SELECT query_id, repository_id, entity_id AS id, max(retrieval_score) AS score, 'CODE' AS kind FROM evidence WHERE entity_id IS NOT NULL AND retrieval_score IS NOT NULL GROUP BY 1, 2, 3
+        UNION ALL SELECT e.query_id, d.repository_id, 'document:' || d.doc_id, 0.92, 'DOCUMENT' FROM (SELECT DISTINCT query_id, repository_id FROM evidence) e JOIN (SELECT repository_id, min(doc_id) AS doc_id FROM documents WHERE doc_kind = 'design_note' GROUP BY 1) d ON d.repository_id = e.repository_id)
+      SELECT query_id, id, kind, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repository_id, id) AS rank FROM a) WHERE rank <= 5"""
+)
+def merged_results(spark, d):
+    """Code and document results of a query in one ranking, the best five."""
+    e = table(spark, d, "evidence")
+    code = e.where("entity_id is not null and retrieval_score is not null").groupBy("query_id", "repository_id", F.col("entity_id").alias("id")).agg(F.max("retrieval_score").alias("score")).withColumn("kind", F.lit("CODE"))
+    note = table(spark, d, "documents").where("doc_kind = 'design_note'").groupBy("repository_id").agg(F.min("doc_id").alias("doc_id"))
+    docs = e.select("query_id", "repository_id").distinct().join(note, "repository_id").select("query_id", "repository_id", F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("id"), F.lit(0.92).alias("score"), F.lit("DOCUMENT").alias("kind"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "repository_id", "id")
+    return code.unionByName(docs).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "id", "kind", "score", big("rank"))
