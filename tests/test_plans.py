@@ -84,3 +84,23 @@ def test_release_removes_what_was_stored(spark):
     assert catalog.once(spark, "y", "d", lambda: spark.range(9)) is first
     catalog.release(spark)
     assert not os.path.exists(path) and catalog.once(spark, "y", "d", lambda: spark.range(9)).count() == 9
+
+
+def test_parts_that_documents_name(spark, tmp_path):
+    from graphloom.plans import analysis_queries as A
+
+    texts = ["The UserService calls the OrderRepository.\r\nUserService and Token", "a userservice, XService2 and Authority", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in A.documented_parts(spark, str(tmp_path)).collect()}
+    assert got == {("UserService", "SERVICE", 2, 1), ("OrderRepository", "CLASS", 1, 1), ("Token", "CLASS", 1, 2)}
+
+
+def test_dealing_out_keeps_all_rows(spark):
+    df = spark.createDataFrame([(i, f"t{i % 5}") for i in range(40)], "i int, t string").coalesce(1)
+    assert sorted(r.i for r in catalog.spread(df).collect()) == list(range(40))
+
+
+def test_metrics_against_a_baseline(spark):
+    now = spark.createDataFrame([("recall", 0.50), ("p50_latency_ms", 140.0), ("mrr", 0.9), ("x", 1.0)], "metric string, value double")
+    base = spark.createDataFrame([("recall", 0.8667), ("p50_latency_ms", 100.0), ("mrr", 0.8), ("y", 1.0)], "metric string, value double")
+    assert {tuple(r) for r in M.regressions(now, base).collect()} == {("recall", "REGRESSION"), ("p50_latency_ms", "UNCHANGED"), ("mrr", "IMPROVEMENT")}
