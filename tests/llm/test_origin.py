@@ -91,3 +91,11 @@ def test_shared_rules(spark):
     got = O.shared_rules(files).collect()
     assert {r.file_id for r in got} == {1, 2, 3} and all(r.most == 2 and r.n_shared == r.n_rules > 0 for r in got)
     assert O.shared_rules(files.limit(0)).count() == 0
+
+
+def test_equal_contents_in_different_places(spark):
+    """A content is parsed once, but what its place says holds for each file."""
+    rows = [(1, "r", "a/x.py", HAND), (2, "r", "a/vendor/x.py", HAND), (3, "q", "b/x.py", HAND), (4, "q", "b/x.js", HAND), (5, "q", "node_modules/x.py", HAND)]
+    files = spark.createDataFrame([(i, r, p, bytearray(c.encode())) for i, r, p, c in rows], FILES)
+    got = {r.file_id: (r.repository_id, r.reasons) for r in O.reasons(files, spark.createDataFrame([], UP)).collect()}
+    assert got == {1: ("r", []), 2: ("r", ["vendored"]), 3: ("q", []), 4: ("q", []), 5: ("q", ["vendored"])}
