@@ -169,23 +169,29 @@ def name_lookup(spark, d):
 def entity_resolution(spark, d):
     """A term to one node: exact function or method, exact class, then any exact or suffix match; ties by id.
 
-    Suffixes of names and qualified names become join keys, so nothing is compared pair by pair.
+    Suffixes of names and qualified names become keys, so nothing is compared pair by pair. A proper suffix of a name says no
+    more than its least node, so names are split once each. Keys and terms meet in one grouping and not in a join: what
+    ``explode`` makes of a table is estimated at the size of the table, and a join by estimate would broadcast all keys.
     """
     e = table(spark, d, "evidence")
     terms = None
     for c in (F.col("qualified_name"), F.regexp_extract("qualified_name", "[^.]+$", 0), F.regexp_extract("qualified_name", "[^_.]+$", 0)):
         t = e.select("repository_id", c.alias("term"))
         terms = t if terms is None else terms.unionByName(t)
-    terms = terms.where("length(term) >= 2").distinct()
-    n = Q.nodes_of(spark, d)
-    name_ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.substr(F.col("name"), i))
+    n = G.latest_nodes(table(spark, d, "nodes").select("node_no", "repository_id", "id", "label", "name", "qualified_name", "first_seen_at", "ingested_at", "deleted_at"))
     parts = F.split("qualified_name", r"\.")
-    qual_ends = F.when(F.size(parts) >= 1, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
-    keys = F.array_distinct(F.array_compact(F.concat(F.array("id", "name", "qualified_name"), F.coalesce(name_ends, F.array().cast("array<string>")), F.coalesce(qual_ends, F.array().cast("array<string>")))))
-    hit = n.select("repository_id", "id", "label", "name", "qualified_name", F.explode(keys).alias("term")).join(terms, ["repository_id", "term"])
+    qual_ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    keys = F.array_distinct(F.array_compact(F.concat(F.array("id", "name"), F.when(F.col("qualified_name").isNull(), F.array().cast("array<string>")).otherwise(qual_ends))))
     exact = (F.col("qualified_name") == F.col("term")) | (F.col("name") == F.col("term"))
     p = F.when(F.col("label").isin("Function", "Method") & exact, 1).when((F.col("label") == "Class") & (F.col("qualified_name") == F.col("term")), 2).otherwise(3)
-    return hit.groupBy("repository_id", "term").agg(F.min(F.struct(p.alias("p"), "id")).alias("x")).select("repository_id", "term", "x.id", F.col("x.p").alias("priority"))
+    own = n.select("repository_id", "id", "label", "name", "qualified_name", F.explode(keys).alias("term")).select("repository_id", "term", F.struct(p.alias("p"), "id").alias("x"))
+    names = n.where("length(name) > 2").groupBy("repository_id", "name").agg(F.min("id").alias("id"))
+    name_ends = F.transform(F.sequence(F.lit(2), F.length("name") - 1), lambda i: F.substr(F.col("name"), i))
+    ends = names.select("repository_id", F.explode(name_ends).alias("term"), F.struct(F.lit(3).alias("p"), "id").alias("x"))
+    asked = terms.select("repository_id", "term", F.lit(None).cast("struct<p:int,id:string>").alias("x"), F.lit(True).alias("asked"))
+    met = own.unionByName(ends).withColumn("asked", F.lit(False)).unionByName(asked).where("length(term) >= 2")
+    out = met.groupBy("repository_id", "term").agg(F.min("x").alias("x"), F.max("asked").alias("asked")).where("asked and x is not null")
+    return out.select("repository_id", "term", "x.id", F.col("x.p").alias("priority"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Plans that must hold at any size: unbounded search, ranks without a large task, streams that go on after a restart."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -104,3 +105,29 @@ def test_metrics_against_a_baseline(spark):
     now = spark.createDataFrame([("recall", 0.50), ("p50_latency_ms", 140.0), ("mrr", 0.9), ("x", 1.0)], "metric string, value double")
     base = spark.createDataFrame([("recall", 0.8667), ("p50_latency_ms", 100.0), ("mrr", 0.8), ("y", 1.0)], "metric string, value double")
     assert {tuple(r) for r in M.regressions(now, base).collect()} == {("recall", "REGRESSION"), ("p50_latency_ms", "UNCHANGED"), ("mrr", "IMPROVEMENT")}
+
+
+def test_terms_meet_all_suffixes_without_a_broadcast(spark, tmp_path):
+    from graphloom.plans import analysis_queries as A
+
+    odd = [
+        ("function:m:load_row", "Function", "load_row", "m.load_row"), ("method:m:C:load_row", "Method", "load_row", "m.C.load_row"), ("class:m:C", "Class", "CC", "m.CC"), ("class:a:row", "Class", "row", "row"), ("class:b:xrow", "Class", "xrow", "b.xrow"),
+        ("file:a/row.py", "File", "row.py", None), ("module:m", "Module", "m", "m"), ("function:n", "Function", None, "q.r.row"), ("x", None, "", ""), ("yy", "Class", "ow", "z..ow"), ("aa:load_row", "File", "load_row", None),
+    ]
+    spark.createDataFrame([(i, r, *x, "2024-01-01") for i, (r, x) in enumerate((r, x) for r in "rq" for x in odd[: 11 if r == "r" else 3])], "node_no bigint, repository_id string, id string, label string, name string, qualified_name string, t string").selectExpr(
+        "*", "cast(t as timestamp_ntz) as first_seen_at", "cast(t as timestamp_ntz) as ingested_at", "cast(null as timestamp_ntz) as deleted_at").drop("t").write.parquet(f"{tmp_path}/nodes.parquet")
+    asked = ["m.load_row", "m.C.load_row", "C.load_row", "x.row", "a.ow", "CC", "m.CC", "row.py", "yy", "m", "r.row", ".ow", "load_row", "nothing", None, "", "_row"]
+    spark.createDataFrame([(r, q) for r in ("r", "q", "z", None) for q in asked], "repository_id string, qualified_name string").write.parquet(f"{tmp_path}/evidence.parquet")
+    words = {w for q in asked if q for w in (q, re.search("[^.]*$", q)[0], re.search("[^_.]*$", q)[0]) if len(w) >= 2}
+    want = set()
+    for r in "rq":
+        for w in words:
+            hit = []
+            for i, label, name, qn in odd[: 11 if r == "r" else 3]:
+                if w in (i, name, qn) or (qn or "").endswith("." + w) or (name or "").endswith(w):
+                    hit.append((1 if label in ("Function", "Method") and w in (qn, name) else 2 if label == "Class" and qn == w else 3, i))
+            if hit:
+                want.add((r, w, min(hit)[1], min(hit)[0]))
+    df = A.entity_resolution(spark, str(tmp_path))
+    assert {tuple(x) for x in df.collect()} == want and {x[3] for x in want} == {1, 2, 3}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
