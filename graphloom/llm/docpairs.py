@@ -2,13 +2,14 @@
 
 Method: island grammars. For each language only documentation, decorators, signatures and balanced bodies are parsed; all
 other code is water that is skipped token by token, so that strings, comments, brackets and templates in it cannot be
-mistaken for islands. A file counts only if it parses (checked exactly, and only for files that have pairs).
+mistaken for islands; Python's tokens are those of its own tokenizer. A file counts only if it parses (checked exactly, and
+only for files that have pairs).
 
 Documentation is the Python docstring, or the comment that ends on the line directly above the definition and its
 decorators (in Python only without a docstring; an empty docstring is one). ``says_something`` keeps texts of at least
 ``MIN_WORDS`` words apart from fields, the function's own name, fillers, placeholders and linter directives.
 
-Defined cases: null content, unreadable bytes and other languages give nothing; repeated deliveries, and a property with
+Defined cases: null content, bytes that Python can't read and other languages give nothing; repeated deliveries, and a property with
 several definitions, give one row; nested functions and functions below ``if`` or ``try`` are water.
 """
 
@@ -18,6 +19,7 @@ import ast
 import io
 import re
 import tokenize
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,81 +101,82 @@ def says_something(text: str, name: str, least: int = MIN_WORDS) -> bool:
 _PY = re.compile(
     r"(?P<c>#[^\n]*)|(?P<s>(?:[rRbBuUfFtT]{0,3})(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"))|(?P<o>[(\[{])|(?P<x>[)\]}])|(?P<k>\\\n)|(?P<n>\n)|[^\W\d]\w*|\d[\w.]*|[^\S\n]+|.", re.S
 )
-_DEF = re.compile(r"(?:async\s+)?def\s+(\w+)")
-_CLASS = re.compile(r"class\s+(\w+)")
 
 
 def decode_python(data: bytes) -> str | None:
+    """The text as Python reads it. In UTF-8 it decodes strings and names only, so bad bytes are replaced, and the check of the
+    whole file decides whether they may stand where they do."""
+    data = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")  # first, as the coding line is one of the first two
+    head = b"\n".join(data.split(b"\n", 2)[:2]).decode("utf-8", "replace").encode()
     try:
-        encoding, _ = tokenize.detect_encoding(io.BytesIO(data).readline)
-        return data.decode(encoding).removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    except (SyntaxError, UnicodeDecodeError, LookupError):
+        encoding, _ = tokenize.detect_encoding(io.BytesIO(head).readline)
+        return data.decode(encoding, "replace" if encoding.startswith("utf-8") else "strict").removeprefix("\ufeff")
+    except (SyntaxError, ValueError, LookupError):
         return None
 
 
-def _logical_lines(text: str) -> Iterator[tuple[int, int, int, str, list[str]]]:
-    """(line, indent, offset, text, strings) of each logical line: islands begin at these; comments are no lines."""
-    depth, line, at = 0, 1, 0
-    begin = -1
-    first = indent = 0
-    strings: list[str] = []
-    only = True
-    column_start = 0
-    for m in _PY.finditer(text):
-        kind, v = m.lastgroup, m[0]
-        if kind == "n":
-            if depth == 0 and begin >= 0:
-                yield first, indent, begin, text[begin : m.start()], strings
-                begin, strings = -1, []
-            line += 1
-            column_start = m.end()
-            continue
-        if kind == "c" or v.isspace() and kind is None or kind == "k":
-            line += v.count("\n")
-            if kind == "k" and begin < 0:
-                column_start = m.end()
-            continue
-        if begin < 0:
-            begin, first = m.start(), line
-            indent = len(text[column_start : m.start()].expandtabs(8))
-        if kind == "s":
-            strings.append(v)
-            line += v.count("\n")
-        elif kind == "o":
+def _statements(text: str, comments: list[str]) -> Iterator[tuple[int, list[tokenize.TokenInfo]]]:
+    """(block depth, tokens) of each logical line: islands begin at these. Comments alone on their line go to ``comments``."""
+    depth = 0
+    tokens: list[tokenize.TokenInfo] = []
+    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+        kind = t.type
+        if kind == tokenize.NEWLINE:
+            if tokens:
+                yield depth, tokens
+            tokens = []
+        elif kind == tokenize.COMMENT:
+            if not t.line[: t.start[1]].strip():
+                comments[t.start[0] - 1] = t.string
+        elif kind == tokenize.INDENT:
             depth += 1
-        elif kind == "x":
-            depth = max(0, depth - 1)
-    if begin >= 0:
-        yield first, indent, begin, text[begin:], strings
-
-
-_STRING_STATEMENT = re.compile(r"(?:\(\s*)*((?:[rRuU]?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")(?:\s|\\\n)*)+)(?:\)\s*)*(?:#[^\n]*)?(?:;|\Z)", re.S)
+        elif kind == tokenize.DEDENT:
+            depth -= 1
+        elif kind not in (tokenize.NL, tokenize.ENDMARKER):
+            tokens.append(t)
 
 
-def _docstring(statement: str) -> str | None:
-    m = _STRING_STATEMENT.match(statement)
-    if not m:
+def _docstring(tokens: list[tokenize.TokenInfo]) -> str | None:
+    """The value of the string that is the first statement in ``tokens``, if it is one."""
+    n = at = 0
+    while at < len(tokens) and tokens[at].string == "(":
+        at += 1
+    n = at
+    while at < len(tokens) and tokens[at].type == tokenize.STRING:
+        at += 1
+    strings = [t.string for t in tokens[n:at]]
+    end = at + n
+    if not strings or any(t.string != ")" for t in tokens[at:end]) or end > len(tokens) or end < len(tokens) and tokens[end].string != ";":
         return None
     try:
-        value = ast.literal_eval("(" + m[1] + ")")
+        value = ast.literal_eval("(" + " ".join(strings) + ")")
     except (ValueError, SyntaxError, MemoryError):
         return None
     return value if isinstance(value, str) else None
 
 
-def _header_end(line: str) -> int:
-    """Offset behind the colon that ends a def or class header, or -1."""
-    depth = 0
-    for m in _PY.finditer(line):
-        if m.lastgroup == "o":
-            depth += 1
-        elif m.lastgroup == "x":
-            depth -= 1
-        elif m[0] == ":" and depth == 0:
-            return m.end()
+def _header_end(tokens: list[tokenize.TokenInfo]) -> int:
+    """Number of tokens up to the colon that ends a def header, or -1; a lambda outside brackets has a colon of its own."""
+    depth = own = 0
+    for i, t in enumerate(tokens):
+        if t.type == tokenize.OP:
+            if t.string in "([{":
+                depth += 1
+            elif t.string in ")]}":
+                depth -= 1
+            elif t.string == ":" and depth == 0:
+                if not own:
+                    return i + 1
+                own -= 1
+        elif depth == 0 and t.string == "lambda" and t.type == tokenize.NAME:
+            own += 1
     return -1
 
 
+def _identifier(name: str) -> str:
+    return name if name.isascii() else unicodedata.normalize("NFKC", name)
+
+
 def _comment_above(lines: list[str], no: int) -> str:
     """The block of comment lines that ends on the line above line ``no`` (from 1)."""
     i = no - 2
@@ -185,41 +188,47 @@ def _comment_above(lines: list[str], no: int) -> str:
 
 
 def python_pairs(text: str, module: str) -> list[tuple[str, str, str]]:
-    """(qualified name, name, documentation) of the functions and methods with documentation of any kind."""
-    lines = text.split("\n")
-    out = []
-    rows = list(_logical_lines(text))
-    cls, body = "", -1
-    decorated: dict[int, int] = {}
-    for i, (no, indent, _, line, _s) in enumerate(rows):
-        if indent == 0:
-            cls, body = "", -1
-            if m := _CLASS.match(line):
-                cls = m[1]
-                if i + 1 < len(rows) and rows[i + 1][1] > 0 and line[_header_end(line) :].split("#")[0].strip() == "":
-                    body = rows[i + 1][1]
-        elif not cls or indent != body:
-            continue
-        if line.startswith("@"):
-            decorated.setdefault(indent, no)
-            continue
-        top = decorated.pop(indent, no)
-        m = _DEF.match(line)
-        if not m:
-            continue
-        end = _header_end(line)
-        if end < 0:
-            continue
-        inline = line[end:].strip()
-        doc = None
-        if inline and not inline.startswith("#"):
-            doc = _docstring(inline)
-        elif i + 1 < len(rows) and rows[i + 1][1] > indent:
-            doc = _docstring(rows[i + 1][3])
+    """(qualified name, name, documentation) of the functions and methods with documentation of any kind; nothing if the tokens
+    end in an error, as the file doesn't parse then."""
+    if "\0" in text:  # no source has these, and the tokenizer breaks off at one with an error of its own
+        return []
+    comments = [""] * (text.count("\n") + 2)
+    out: list[tuple[str, str, str]] = []
+    cls, top = "", 0
+    waiting: tuple[int, str, int] | None = None  # block depth, name and first line of a function whose body comes next
+
+    def add(name: str, first: int, doc: str | None) -> None:
         if doc is None:
-            doc = _comment_above(lines, top)
+            doc = _comment_above(comments, first)
         if doc:
-            out.append((".".join(x for x in (module, cls, m[1]) if x), m[1], doc))
+            out.append((".".join(x for x in (module, cls, name) if x), name, doc))
+
+    try:
+        for depth, tokens in _statements(text, comments):
+            if waiting:
+                add(*waiting[1:], _docstring(tokens) if depth > waiting[0] else None)
+                waiting = None
+            if depth == 0:
+                cls = ""
+            elif depth > 1 or not cls:
+                continue
+            word = tokens[0].string
+            if word == "@":
+                top = top or tokens[0].start[0]
+                continue
+            first, top = top or tokens[0].start[0], 0
+            if depth == 0 and word == "class":
+                cls = _identifier(tokens[1].string)
+            at = 2 if word == "async" else 1
+            if tokens[at - 1].string != "def" or (end := _header_end(tokens)) < 0:
+                continue
+            name = _identifier(tokens[at].string)
+            if end < len(tokens):
+                add(name, first, _docstring(tokens[end:]))
+            else:
+                waiting = depth, name, first
+    except (tokenize.TokenError, SyntaxError, ValueError, IndexError):
+        return []
     return out
 
 

@@ -146,3 +146,26 @@ def test_methods_named_by_reserved_words_and_other_tags():
     assert D.says_something("@summary Writes sorted runs to disk.\n@param x all the words of a parameter", "f")
     assert D.says_something("@description\n  Writes sorted runs to\n  disk.", "f")
     assert not D.says_something("@param x Writes sorted runs to disk again.\n@returns {int} how many rows came out", "f")
+
+
+def test_python_tokens_that_hid_functions():
+    doc = '"Walk every frozen list and keep entries."'
+    f, m = f"def f():\n    {doc}\n", f"    def f(self):\n        {doc}\n"
+    sources = [
+        """x = f'{d['(']}'\n""" + f, """x = f"{d["["]}"\n""" + f, "x = f'{a # it's ( [\n}'\n" + f, "x = f'''{a['''(''']}'''\n" + f, """y = f'{f'{f'{a['(']}'}'}'\n""" + f, """def f(a=f'{x['(']}'): """ + doc,
+        "x = 1\n\x0c" + f, "class C:\n    \x0c" + m, "def \\\n  f():\n    " + doc, "async \\\n  def f():\n    " + doc, "class \\\n  C:\n" + m, "class C:\n    \\\n" + m.lstrip(), "def f(): \\\n  " + doc,
+        "def f() -> lambda: 3:\n    " + doc, "def f() -> lambda: lambda: 3: " + doc, "def f():\n    ( # why\n    " + doc + "\n    # so\n    )\n", "def f():\n    ('Walk every frozen ' # one\n     'list and keep entries.')\n",
+        "def ℘():\n    " + doc, "def a·b():\n    " + doc, "class ﬁx:\n    def ﬂow(self):\n        " + doc, "x = 1\n\\\n\n" + f,
+    ]
+    for s in sources:
+        tree = ast.parse(s).body[-1]
+        cls, n = (tree.name + ".", tree.body[0]) if isinstance(tree, ast.ClassDef) else ("", tree)
+        assert D.python_pairs(s, "") == [(cls + n.name, n.name, ast.get_docstring(n, clean=False))], s
+        assert [q for q, *_ in D.file_pairs("python", "a/b.py", s.encode())] == ["a.b." + cls + n.name], s
+    assert D.file_pairs("python", "a.py", f"# x\r# y\r# coding: foo\r{f}".replace("\n", "\r").encode()) == [("a.f", "f", doc[1:-1])]
+    for b in (b"# \xff\n" + f.encode(), b"# coding: latin-1 \xe9\n" + f.encode(), f.encode() + b"    # \xc3 x\n"):
+        assert [q for q, *_ in D.file_pairs("python", "a.py", b)] == ["a.f"], b
+    for b in (b"x = '\xff'\n", b"x\0 = 1\n", b"# coding: utf-7\nx = '+2AA-'\n", b"# coding: undefined\n"):
+        assert D.file_pairs("python", "a.py", b + f.encode()) == [], b
+    for s in ('x = """\n# Walk every frozen list and keep """\ndef f(): pass\n', 'x = """\n""" # Walk every frozen list and keep entries\ndef f(): pass\n', "def f():\n    (" + doc + ",)\n", "def f():\n    (" + doc + ").strip()\n", "def f():\n    " + doc + " + f''\n", f + "x = (\n", "async", f + "  x = 1\n"):
+        assert D.python_pairs(s, "") == [], s
